@@ -64,12 +64,25 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def median_fill(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     """Number views of the columns with gaps filled by the exact column median."""
-    views = {c: as_number(df, c) for c in columns}
-    middle = medians(df, views)
-    empty = [c for c, m in middle.items() if m is None]
+    return _fill_views(df, {c: as_number(df, c) for c in columns})
+
+
+def _fill_views(df: DataFrame, views: dict[str, Column]) -> dict[str, Column]:
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(views.values())]).first()
+    have = {c: counts[f"n{i}"] for i, c in enumerate(views)}
+    empty = [c for c, n in have.items() if not n]
     if empty:
         raise ValueError("no numeric values in: " + ", ".join(empty))
-    return {c: F.coalesce(v, F.lit(middle[c])) for c, v in views.items()}
+    middle = medians(df, {c: v for c, v in views.items() if have[c] < counts["rows"]})
+    return {c: F.coalesce(v, F.lit(middle[c])) if c in middle else v for c, v in views.items()}
+
+
+def distance_views(df: DataFrame, columns: Sequence[str], standardize: bool) -> list[Column]:
+    """Coordinates for distances: z-scored first if asked, then filled by the median."""
+    views = {c: as_number(df, c) for c in columns}
+    if standardize:
+        views = zscore_views(df, views)
+    return list(_fill_views(df, views).values())
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -32,7 +33,20 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and return the stored table."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` once and return the stored table.
+
+    The row count is observed during the write and kept as ``.stored_rows``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_rows = seen.get["rows"]
+    return stored
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a table, for free when it was materialized."""
+    stored = getattr(df, "stored_rows", None)
+    return df.count() if stored is None else stored

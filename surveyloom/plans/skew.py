@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
+from surveyloom.plans.scratch import row_count
 
 # A key is hot when it alone exceeds a quarter of an average shuffle partition.
 # At most 4 x partitions keys can do that, which bounds the table of hot keys.
@@ -50,17 +51,19 @@ def lookup(
     keys: Sequence[str],
     how: str = "left",
     hot: DataFrame | None = None,
-    find_hot: bool = True,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right`` on ``keys``, splitting keys that are hot on the left.
 
     Hot keys are counted with a map-side combine; their rows are dealt over
     several tasks and only those keys of ``right`` are repeated. Null keys are
-    dealt out too: they match nothing and need not meet in one task.
+    dealt out too: they match nothing and need not meet in one task. ``rows``
+    is an upper bound on the rows of ``left`` when the caller knows one, and
+    ``hot`` the hot keys when they were found before.
     """
     keys = list(keys)
-    if hot is None and find_hot:
-        total = left.count()
+    if hot is None:
+        total = row_count(left) if rows is None else rows
         if total > _MIN_HOT_ROWS:
             hot = hot_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", total)
     if hot is None:
