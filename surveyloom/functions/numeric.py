@@ -30,7 +30,8 @@ def strip(c: Column) -> Column:
 
 def finite(c: Column) -> Column:
     """Null out NaN and the infinities of a double."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)
+    # NaN sorts above infinity, so one comparison rules out both
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def number_of(c: Column, dtype: T.DataType) -> Column:

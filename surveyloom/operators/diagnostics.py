@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.numeric import as_number, col
 from surveyloom.operators.kmeans import SEEDS, Fit, best_fit, fit_all, nearest
 from surveyloom.operators.missing import zscore_views
-from surveyloom.operators.sample import seeded_sample
+from surveyloom.operators.sample import draw
 from surveyloom.plans.scratch import materialize
 
 # Sample sizes and the smallest usable inputs.
@@ -30,7 +30,7 @@ def _sampled(df: DataFrame, columns: Sequence[str], row_id: str, cap: int, stand
     names = [f"x{i}" for i in range(len(columns))]
     carried = df.select(col(row_id).cast("bigint").alias("row_id"), *[views[c].alias(x) for c, x in zip(columns, names)],
                         *[col(e) for e in extra])
-    return materialize(seeded_sample(carried, names, "row_id", cap), "sample"), names
+    return materialize(draw(carried.dropna(subset=names), "row_id", cap), "sample"), names
 
 
 def _matrix(sample: DataFrame, names: Sequence[str]) -> tuple[list, np.ndarray]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,8 +170,8 @@ def assign(df: DataFrame, views: Sequence[Column], centers: np.ndarray) -> Colum
         return nearest_center(views, centers)
 
     @F.pandas_udf("int")
-    def label(x):
-        return nearest(np.vstack(x.to_numpy()), centers)[0].astype(np.int32)
+    def label(x: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.vstack(x.to_numpy()), centers)[0].astype(np.int32))
 
     return label(F.array(*views))
 

@@ -93,7 +93,7 @@ def _scan_batch(df, columns, first, exact_distinct):
             F.coalesce(F.bool_and(flag), F.lit(False)).alias(f"flag{i}"),
         ]
         if not exact_distinct:
-            aggregates.append(F.approx_count_distinct(cell, 0.02).alias(f"approx{i}"))
+            aggregates.append(F.approx_count_distinct(cell).alias(f"approx{i}"))
     totals = df.agg(*aggregates)
     rows = F.array(*[
         F.struct(
@@ -113,8 +113,9 @@ def _scan_batch(df, columns, first, exact_distinct):
     scan = totals.select(F.inline(rows))
     counted = columns
     if not exact_distinct:
-        scan = df.sparkSession.createDataFrame(scan.collect(), scan.schema)
-        near = {r["idx"] for r in scan.collect() if r["approx"] <= 2 * TOO_MANY_ABOVE}
+        rows = scan.collect()
+        scan = df.sparkSession.createDataFrame(rows, scan.schema)
+        near = {r["idx"] for r in rows if r["approx"] <= 2 * TOO_MANY_ABOVE}
         counted = [c for i, c in enumerate(columns) if i in near]
     scan = scan.join(_distinct(df, columns, counted), "idx", "left")
     unique = F.coalesce("exact", "approx", F.lit(0))

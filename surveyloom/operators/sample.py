@@ -107,7 +107,11 @@ def seeded_sample(df: DataFrame, columns: Sequence[str], row_id: str, cap: int,
     Rows are drawn at random and not by stride, which on ordered files would
     land on one stratum.
     """
-    whole = df.filter(complete_test(df, columns))
+    return draw(df.filter(complete_test(df, columns)), row_id, cap, seed)
+
+
+def draw(whole: DataFrame, row_id: str, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:
+    """The seeded sample of rows already known to be complete."""
     n = whole.count()
     if n <= cap:
         return whole

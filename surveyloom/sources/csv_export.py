@@ -12,7 +12,7 @@ from surveyloom.functions.numeric import NUMBER_PATTERN, cell_text, col, is_text
 
 # Characters that start a formula, and the byte-order mark.
 FORMULA_PATTERN = r"^[=+\-@\t\r]"
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def guarded(c: Column) -> Column:

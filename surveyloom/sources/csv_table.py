@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.functions.numeric import as_number, can_hold_numbers, col, is_text, number_of, strip
+from surveyloom.functions.numeric import as_number, col, is_text, number_of, strip
 
 # Delimiters tried, characters no typed header contains, and the
 # number formats recognised in text columns, strictest first.
 DELIMITERS = (",", "\t", "|", ";")
-BINARY_PATTERN = re.compile("[\x00-\x08\x0B\x0C\x0E-\x1F\x7F�]")
+BINARY_PATTERN = re.compile(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFD]")
 NUMERIC_TEXT_PATTERNS = (
     ("thousands separators", r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"),
     ("decimal commas", r"^-?\d+,\d+$"),
@@ -96,7 +96,7 @@ def name_columns(fields: list[str]) -> list[str | None]:
 
 
 def read_header(spark: SparkSession, path: str, delimiter: str | None = None) -> Header:
-    lines = [r["value"].rstrip("\r").lstrip("﻿") for r in spark.read.text(path).limit(_HEADER_SAMPLE).collect()]
+    lines = [r["value"].rstrip("\r").lstrip("\ufeff") for r in spark.read.text(path).limit(_HEADER_SAMPLE).collect()]
     if not lines:
         raise ValueError("no columns found; is the first row a header?")
     found, detected = (delimiter, True) if delimiter else detect_delimiter(lines)
@@ -301,14 +301,3 @@ def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A Parquet table with its own types, and its audit."""
     table = spark.read.parquet(path)
     return table, audit_table(table)
-
-
-def require_numeric_pair(df: DataFrame) -> list[str]:
-    """The first two numeric columns; a table without two cannot be plotted."""
-    from surveyloom.operators.profile import numeric_columns
-
-    able = [c for c in df.columns if can_hold_numbers(df.schema[c].dataType)]
-    found = numeric_columns(df.select(*[col(c) for c in able])) if able else []
-    if len(found) < 2:
-        raise ValueError("at least two numeric columns are needed")
-    return found[:2]

@@ -58,20 +58,21 @@ def start_append(stream: DataFrame, sink: AppendSink, valid: Column, once: bool
     ``valid`` go to the quarantine with their attempt count, and a row rejected
     five times is marked as dropped.
     """
-    ready = tagged(stream, sink.source_app)
-    keyed = (
-        ready.filter(col(sink.key).isNotNull()).withWatermark(sink.at, sink.lateness)
-        .dropDuplicatesWithinWatermark([sink.key])
-    )
-    loose = ready.filter(col(sink.key).isNull()).withWatermark(sink.at, sink.lateness)
+    accepted = F.coalesce(valid, F.lit(False))
+    timed = stream.withColumn(sink.at, col(sink.at).cast("timestamp"))
+    ready = tagged(timed, sink.source_app).withWatermark(sink.at, sink.lateness)
+    deduplicable = accepted & col(sink.key).isNotNull()
+    # streaming state treats nulls as equal, so rows without a key go around it,
+    # and so do rejected rows, whose every delivery is an attempt
+    once_each = ready.filter(deduplicable).dropDuplicatesWithinWatermark([sink.key])
+    around = ready.filter(~deduplicable)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        accepted = F.coalesce(valid, F.lit(False))
         _write_new(batch.filter(accepted), sink, batch_id)
         _quarantine(batch.filter(~accepted), sink, batch_id)
 
     writer = (
-        keyed.unionByName(loose).writeStream.foreachBatch(append)
+        once_each.unionByName(around).writeStream.foreachBatch(append)
         .option("checkpointLocation", sink.checkpoint).outputMode("append")
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -88,20 +89,23 @@ def _write_new(rows: DataFrame, sink: AppendSink, batch_id: int) -> None:
 
 
 def _quarantine(rows: DataFrame, sink: AppendSink, batch_id: int) -> None:
+    """One row per rejected key and batch, with the rejections so far."""
+    first = F.min_by(F.struct(*[col(c) for c in rows.columns]), col(sink.at))
+    keyed = (
+        rows.filter(col(sink.key).isNotNull()).groupBy(col(sink.key).alias("_key"))
+        .agg(first.alias("r"), F.count(F.lit(1)).alias("attempts")).select("r.*", "attempts")
+    )
     earlier = _stored(rows, sink.quarantine, [sink.key, "attempts", "batch"])
-    counted = rows.withColumn("attempts", F.lit(1))
     if earlier is not None:
         tried = (
             earlier.filter((F.col("batch") != batch_id) & col(sink.key).isNotNull())
             .groupBy(col(sink.key)).agg(F.max("attempts").alias("_tried"))
         )
-        counted = (
-            rows.join(tried, sink.key, "left")
-            .withColumn("attempts", F.coalesce("_tried", F.lit(0)) + 1).drop("_tried")
-            .select(*[col(c) for c in rows.columns], "attempts")
-        )
-    counted.withColumn("dropped", F.col("attempts") >= MAX_ATTEMPTS).write.mode("overwrite").parquet(
-        f"{sink.quarantine}/batch={batch_id}")
+        keyed = keyed.join(tried, sink.key, "left").select(
+            *[col(c) for c in rows.columns], (F.col("attempts") + F.coalesce("_tried", F.lit(0))).alias("attempts"))
+    loose = rows.filter(col(sink.key).isNull()).withColumn("attempts", F.lit(1).cast("bigint"))
+    counted = keyed.unionByName(loose).withColumn("dropped", F.col("attempts") >= MAX_ATTEMPTS)
+    counted.write.mode("overwrite").parquet(f"{sink.quarantine}/batch={batch_id}")
 
 
 def retry_candidates(quarantine: DataFrame, key: str = "client_key") -> DataFrame:
