@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import round_half_up
+from surveyloom.sources.parquet_table import dealt_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table dealt out over all cores, for queries heavy on every cell."""
+    return dealt_out(table(spark, folder, name))
+
+
 def rounded(name: str, places: int = 6) -> Column:
     return round_half_up(F.col(name), places).alias(name)
 

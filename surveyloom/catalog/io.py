@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.catalog.common import table
+from surveyloom.catalog.common import spread_table, table
 from surveyloom.operators import feedback, search, view
 from surveyloom.plans.scratch import scratch_path
 from surveyloom.sources import csv_export, csv_table, snapshots
@@ -80,7 +80,7 @@ def csv_audit(spark, folder):
     UNION ALL SELECT 'comma', 'decimal commas', 1.0::DOUBLE FROM lineitem HAVING count(*) > 0
     UNION ALL SELECT 'percent', 'percent signs', avg(CASE WHEN l_linenumber = 7 THEN 0.0 ELSE 1.0 END::DOUBLE) FROM lineitem""")
 def numeric_text(spark, folder):
-    lineitem = table(spark, folder, "lineitem")
+    lineitem = spread_table(spark, folder, "lineitem")
     texts = lineitem.select(
         F.concat((F.col("l_linenumber")).cast("string"), F.lit(","), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")).alias("grouped"),
         F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(",5")).alias("comma"),
@@ -92,7 +92,7 @@ def numeric_text(spark, folder):
 
 @query("""SELECT l_linenumber, CAST(sum(l_linenumber * 1000 + l_partkey % 1000) AS DOUBLE) AS total FROM lineitem GROUP BY 1""")
 def parsed_numeric_text(spark, folder):
-    lineitem = table(spark, folder, "lineitem").select(
+    lineitem = spread_table(spark, folder, "lineitem").select(
         "l_linenumber",
         F.concat((F.col("l_linenumber")).cast("string"), F.lit(","), F.lpad((F.col("l_partkey") % 1000).cast("string"), 3, "0")).alias("grouped"))
     parsed = csv_table.parse_numeric_text(lineitem, "grouped", "thousands separators")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from surveyloom.catalog.common import rounded, sql_round, table
+from surveyloom.catalog.common import rounded, spread_table, sql_round, table
 from surveyloom.functions.numeric import as_number
 from surveyloom.operators import missing, profile
 from surveyloom.operators.crosstab import category_index
@@ -59,7 +59,7 @@ def _rated(spark, folder):
 
 @query(_scan_sql("lineitem", LINEITEM))
 def column_scan(spark, folder):
-    return profile.scan_columns(table(spark, folder, "lineitem"))
+    return profile.scan_columns(spread_table(spark, folder, "lineitem"))
 
 
 @query(_scan_sql(RATED, [("doc_id", "n"), ("lang", "t"), ("source", "t"), ("n_chars", "n"), ("quality", "n"), ("toxic", "n")]))

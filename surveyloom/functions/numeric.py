@@ -15,6 +15,9 @@ BLANK_CHARACTERS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+_BLANKS = "[" + BLANK_CHARACTERS + "]*"
+_PADDED_NUMBER = "^" + _BLANKS + NUMBER_PATTERN[1:-1] + _BLANKS + "$"
+
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.BooleanType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -45,11 +48,15 @@ def number_of(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, _FLOATING):
         return finite(c.cast("double"))
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return finite(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
+        return finite(F.when(c.rlike(_PADDED_NUMBER), strip(c).try_cast("double")))
     return F.lit(None).cast("double")
 
 
+def number_of_stripped(c: Column) -> Column:
+    """The same rule for text that has been stripped already."""
+    return finite(F.when(c.rlike(NUMBER_PATTERN), c.try_cast("double")))
+
+
 def as_number(df: DataFrame, name: str) -> Column:
     return number_of(col(name), df.schema[name].dataType)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from surveyloom.functions import names
 from surveyloom.functions.numeric import (
-    as_number, can_hold_numbers, col, finite, is_text, label_of, round_half_up, strip,
+    as_number, can_hold_numbers, col, finite, is_text, label_of, number_of, number_of_stripped, round_half_up, strip,
 )
 from surveyloom.plans.ranking import nearest_rank, order_statistics
 
@@ -39,23 +40,26 @@ def present(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-def long_values(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per non-missing cell: column index, number or text, in one unpivot."""
+def long_values(df: DataFrame, columns: Sequence[str], labels: bool = True) -> DataFrame:
+    """One row per non-missing cell: column index, number or text, in one unpivot.
+
+    Dates become ISO labels, or with ``labels=False`` any distinct text.
+    """
+    label = partial(label_of, df) if labels else (lambda name: col(name).cast("string"))
     entries = []
     for i, name in enumerate(columns):
         dtype = df.schema[name].dataType
         numeric = can_hold_numbers(dtype) and not is_text(df, name)
         number = as_number(df, name) if numeric else F.lit(None).cast("double")
         text = F.lit(None).cast("string") if numeric else (
-            present(df, name) if is_text(df, name) else label_of(df, name))
+            present(df, name) if is_text(df, name) else label(name))
         entries.append(F.struct(F.lit(i).alias("idx"), number.alias("num"), text.alias("txt")))
-    cells = df.select(*extra, F.inline(F.array(*entries)))
-    return cells.filter("num is not null or txt is not null")
+    return df.select(F.inline(F.array(*entries))).filter("num is not null or txt is not null")
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts(df: DataFrame, columns: Sequence[str], labels: bool = True) -> DataFrame:
     """(idx, num, txt, n): how often each distinct value occurs in each column."""
-    return long_values(df, columns).groupBy("idx", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    return long_values(df, columns, labels).groupBy("idx", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
@@ -76,25 +80,30 @@ def scan_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_dist
     return out
 
 
+def _cells_and_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns c0, c1 ... (cells under the load rules) and m0, m1 ... (their numbers).
+
+    Text is stripped and read as a number once here, not in every aggregate.
+    """
+    cells = df.select(*[present(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return cells.select("*", *[
+        (number_of_stripped(F.col(f"c{i}")) if is_text(df, c) else number_of(F.col(f"c{i}"), df.schema[c].dataType))
+        .alias(f"m{i}") for i, c in enumerate(columns)
+    ])
+
+
 def _scan_batch(df, columns, first, exact_distinct):
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(columns):
-        number, cell = as_number(df, name), present(df, name)
+        number, cell = F.col(f"m{i}"), F.col(f"c{i}")
+        aggregates += [F.count(cell).alias(f"present{i}"), F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}")]
         if is_text(df, name):
-            flag = cell.isin("true", "false")
+            aggregates.append(F.bool_and(cell.isin("true", "false")).alias(f"flag{i}"))
         elif can_hold_numbers(df.schema[name].dataType):
-            flag = number.isin(0.0, 1.0)
-        else:
-            flag = F.when(cell.isNotNull(), F.lit(False))
-        aggregates += [
-            F.count(cell).alias(f"present{i}"),
-            F.min(number).alias(f"min{i}"),
-            F.max(number).alias(f"max{i}"),
-            F.coalesce(F.bool_and(flag), F.lit(False)).alias(f"flag{i}"),
-        ]
+            aggregates.append(F.bool_and(number.isin(0.0, 1.0)).alias(f"flag{i}"))
         if not exact_distinct:
             aggregates.append(F.approx_count_distinct(cell).alias(f"approx{i}"))
-    totals = df.agg(*aggregates)
+    totals = _cells_and_numbers(df, columns).agg(*aggregates)
     rows = F.array(*[
         F.struct(
             F.lit(name).alias("column"),
@@ -104,7 +113,8 @@ def _scan_batch(df, columns, first, exact_distinct):
             F.col(f"min{i}").isNotNull().alias("is_numeric"),
             F.col(f"min{i}").alias("min"),
             F.col(f"max{i}").alias("max"),
-            F.col(f"flag{i}").alias("boolean_like"),
+            (F.coalesce(F.col(f"flag{i}"), F.lit(False)) if can_hold_numbers(df.schema[name].dataType)
+             else F.lit(False)).alias("boolean_like"),
             F.lit(not is_text(df, name) and can_hold_numbers(df.schema[name].dataType)).alias("numbers"),
             (F.lit(None).cast("bigint") if exact_distinct else F.col(f"approx{i}")).alias("approx"),
         )
@@ -136,7 +146,7 @@ def _distinct(df, columns, counted):
     place = {name: i for i, name in enumerate(columns)}
     real = F.element_at(F.array(*[F.lit(place[c]) for c in counted]), F.col("idx") + 1)
     return (
-        value_counts(df, counted).groupBy("idx").agg(F.count(F.lit(1)).alias("exact"))
+        value_counts(df, counted, labels=False).groupBy("idx").agg(F.count(F.lit(1)).alias("exact"))
         .select(real.alias("idx"), "exact")
     )
 

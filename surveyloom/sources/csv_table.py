@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.functions.numeric import as_number, col, is_text, number_of, strip
+from surveyloom.functions.numeric import col, is_text, number_of, number_of_stripped, strip
 
 # Delimiters tried, characters no typed header contains, and the
 # number formats recognised in text columns, strictest first.
@@ -239,11 +239,12 @@ def numeric_text(df: DataFrame) -> DataFrame:
     schema = "column string, format string, share double"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    shares = df.agg(*[
-        e for i, c in enumerate(columns)
+    texts = df.select(*[F.nullif(strip(col(c)), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns)])
+    shares = texts.agg(*[
+        e for i in range(len(columns))
         for e in (
-            F.count(as_number(df, c)).alias(f"plain{i}"),
-            *[F.avg(strip(col(c)).rlike(p).cast("double")).alias(f"share{i}_{j}")
+            F.count(number_of_stripped(F.col(f"c{i}"))).alias(f"plain{i}"),
+            *[F.avg(F.col(f"c{i}").rlike(p).cast("double")).alias(f"share{i}_{j}")
               for j, (_, p) in enumerate(NUMERIC_TEXT_PATTERNS)],
         )
     ])
@@ -297,7 +298,3 @@ def audit_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(found, AUDIT_SCHEMA)
 
 
-def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A Parquet table with its own types, and its audit."""
-    table = spark.read.parquet(path)
-    return table, audit_table(table)
