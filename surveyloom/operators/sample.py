@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
@@ -58,47 +59,52 @@ def ids_at(df: DataFrame, row_id: str, positions: Sequence[int]) -> list[int]:
     low, high = ids.agg(F.min("id"), F.max("id")).first()
     if low is None:
         return []
-    width = max(1, -(-(high - low + 1) // _BUCKETS))
-    # start of each open bucket -> rows below it and the places wanted inside it
-    counts = _count_buckets(ids, low, width, None)
-    open_buckets = _settle(counts, {None: (0, sorted(positions))}, lambda start: None)
-    found: list[int] = []
+    # widths are powers of one number, so finer buckets nest in coarser ones
+    width = 1
+    while (high - low) // width >= _BUCKETS:
+        width *= _SPLIT
+    pending = {0: (0, sorted(positions))}
+    parent, rows, found = None, ids, []
     while True:
+        held = _settle(_count_buckets(rows, low, width), pending, parent)
         pending = {}
-        for start, (below, places, n, least) in open_buckets.items():
+        for start, (below, places, n, least) in held.items():
             if n == 1 or width == 1:
                 found.append(least)
             else:
                 pending[start] = (below, places)
         if not pending:
             return sorted(found)
-        parent, width = width, max(1, -(-width // _SPLIT))
-        rows = ids.filter(((F.col("id") - low) - F.pmod(F.col("id") - low, F.lit(parent))).isin(list(pending)))
-        counts = _count_buckets(rows, low, width, parent)
-        open_buckets = _settle(counts, pending, lambda start: start - start % parent if parent else None)
+        parent, width = width, width // _SPLIT
+        rows = ids.filter(_bucket(low, parent).isin(list(pending)))
 
 
-def _count_buckets(ids, low, width, parent):
+def _bucket(low: int, width: int) -> Column:
     offset = F.col("id") - low
-    inside = F.pmod(offset, F.lit(parent)) if parent else offset
-    start = offset - F.pmod(inside, F.lit(width))
-    rows = ids.groupBy(start.alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).collect()
+    return offset - F.pmod(offset, F.lit(width))
+
+
+def _count_buckets(ids: DataFrame, low: int, width: int) -> list[tuple[int, int, int]]:
+    rows = ids.groupBy(_bucket(low, width).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).collect()
     return sorted((r["start"], r["n"], r["least"]) for r in rows)
 
 
-def _settle(counts, pending, parent_of):
-    """Give every wanted place to the finer bucket that contains it."""
-    seen: dict = {}
-    result = {}
+def _settle(counts, pending, parent):
+    """Buckets that hold wanted places: rows below them, the places, rows, smallest id.
+
+    ``pending`` maps each coarser bucket to the rows below it and its places.
+    """
+    seen: dict[int, int] = {}
+    held = {}
     for start, n, least in counts:
-        key = parent_of(start)
+        key = start - start % parent if parent else 0
         first, places = pending[key]
         below = seen.get(key, first)
         seen[key] = below + n
-        inside = [q for q in places if below <= q < below + n]
+        inside = places[bisect_left(places, below) : bisect_left(places, below + n)]
         if inside:
-            result[start] = (below, inside, n, least)
-    return result
+            held[start] = (below, inside, n, least)
+    return held
 
 
 def seeded_sample(df: DataFrame, columns: Sequence[str], row_id: str, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:

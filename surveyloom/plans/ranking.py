@@ -33,7 +33,7 @@ def running_counts(counts: DataFrame, value: str, n: str) -> DataFrame:
     within = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         ranged.withColumn("_inside", F.coalesce(F.sum(n).over(within), F.lit(0)))
-        .join(offsets, "_range")
+        .join(F.broadcast(offsets), "_range")  # one row per partition
         .select(value, n, (F.col("_offset") + F.col("_inside")).alias("before"))
     )
 
@@ -104,9 +104,12 @@ def _narrow(view: DataFrame, wanted: list[dict]) -> None:
     entries = []
     for t, (i, lo, hi) in enumerate(intervals):
         v = F.col(f"v{i}")
-        bin_no = F.least(F.lit(_BINS - 1), F.floor((v - lo) / F.lit(hi - lo) * _BINS).cast("int"))
-        inside = F.when(v.between(lo, hi), F.lit(t))
-        entries.append(F.struct(inside.alias("t"), bin_no.alias("b"), v.alias("v")))
+        # halves keep the width of the widest possible interval finite; lo falls in
+        # the first bin and hi in the last, so every pass makes progress
+        share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+        inside = v.between(lo, hi)
+        bin_no = F.when(inside, F.least(F.lit(_BINS - 1), F.floor(share * _BINS).cast("int")))
+        entries.append(F.struct(F.when(inside, F.lit(t)).alias("t"), bin_no.alias("b"), v.alias("v")))
     bins = (
         view.select(F.inline(F.array(*entries))).filter("t is not null")
         .groupBy("t", "b")

@@ -54,4 +54,5 @@ def with_row_id(df: DataFrame, order: str | None = None, name: str = "row_id") -
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).select(
         "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return stored.join(starts, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+    # one row per written partition
+    return stored.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")

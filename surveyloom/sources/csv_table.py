@@ -157,24 +157,30 @@ def _typed(df: DataFrame) -> DataFrame:
     ])
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): text lines with their 1-based number inside their file.
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): text lines with their input split and place in reading order."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+
+
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Add the 1-based line number inside its file to some of the lines.
 
     Lines are counted per input split, and the splits of a file in order give
     each split its offset, so files are read in parallel.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
-    return lines.join(starts, ["file", "block"]).select(
-        "file", (F.col("at") - F.col("first") + F.col("skip") + 1).alias("line"), "value")
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
+    return rows.join(starts, ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("skip") + 1)
 
 
 def _line_findings(spark: SparkSession, path: str, header: Header) -> DataFrame:
-    """Ragged rows and lines that leave a quotation mark open, with the first three lines."""
+    """Ragged rows and lines that leave a quotation mark open, with the first three lines.
+
+    Only the three lines to show of each kind are numbered; the rest are counted.
+    """
     value = F.rtrim(F.col("value"), F.lit("\r"))
     bare = F.regexp_replace(value, r'"[^"]*"', "")
     separator = F.lit(header.delimiter)
@@ -186,20 +192,16 @@ def _line_findings(spark: SparkSession, path: str, header: Header) -> DataFrame:
         .when(width > len(header.fields), "too-many-cells")
         .when(width < len(header.fields), "too-few-cells")
     )
-    bad = (
-        numbered_lines(spark, path).filter(F.col("line") > 1)
-        .select("file", "line", F.when(~blank, kind).alias("kind")).filter("kind is not null")
-    )
-    first = Window.partitionBy("kind").orderBy("file", "line")
-    shown = (
-        bad.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_LINES)
-        .groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))),
-                                         lambda s: s["line"]).alias("sample_lines"))
-    )
+    lines = split_lines(spark, path)
+    bad = lines.select("file", "block", "at", F.when(~blank, kind).alias("kind")).filter("kind is not null")
+    first = Window.partitionBy("kind").orderBy("file", "block", "at")
+    shown = bad.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_LINES)
+    located = with_line_numbers(shown, lines).groupBy("kind").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("places"))
     return (
-        bad.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(shown, "kind")
-        .select("kind", "n", "sample_lines", F.lit(None).cast("array<string>").alias("columns"),
-                F.lit(None).cast("string").alias("detail"))
+        bad.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(located, "kind")
+        .select("kind", "n", F.transform("places", lambda s: s["line"]).alias("sample_lines"),
+                F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("string").alias("detail"))
     )
 
 

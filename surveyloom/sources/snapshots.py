@@ -87,12 +87,12 @@ def problems(manifest: Mapping | None) -> list[str]:
         return ["not a snapshot: no version number"]
     if version > VERSION:
         return [f"saved by a newer version ({version}, this one reads {VERSION})"]
-    tables = manifest.get("tables") or {}
+    tables = {} if manifest.get("tables") is None else manifest["tables"]
     if not isinstance(tables, Mapping):
         return ["the tables section is not an object"]
     found = [f"table {k} is not well formed" for k, t in tables.items() if not _is_table(t)]
     for section in ("datasets", "views"):
-        entries = manifest.get(section) or []
+        entries = [] if manifest.get(section) is None else manifest[section]
         if not isinstance(entries, Sequence) or isinstance(entries, str):
             found.append(f"the {section} section is not a list")
             continue
