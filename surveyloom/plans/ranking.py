@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,9 +105,12 @@ def _narrow(view: DataFrame, wanted: list[dict]) -> None:
     entries = []
     for t, (i, lo, hi) in enumerate(intervals):
         v = F.col(f"v{i}")
-        # halves keep the width of the widest possible interval finite; lo falls in
-        # the first bin and hi in the last, so every pass makes progress
-        share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+        # lo falls in the first bin and hi in the last, so every pass makes progress;
+        # halves keep the width of an interval beyond the double range finite
+        if math.isinf(hi - lo):
+            share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+        else:
+            share = (v - lo) / F.lit(hi - lo)
         inside = v.between(lo, hi)
         bin_no = F.when(inside, F.least(F.lit(_BINS - 1), F.floor(share * _BINS).cast("int")))
         entries.append(F.struct(F.when(inside, F.lit(t)).alias("t"), bin_no.alias("b"), v.alias("v")))
