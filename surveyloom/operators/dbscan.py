@@ -21,7 +21,7 @@ from surveyloom.functions.numeric import col
 from surveyloom.operators.missing import distance_views
 from surveyloom.plans.components import components
 from surveyloom.plans.ranking import dense_index
-from surveyloom.plans.scratch import materialize
+from surveyloom.plans.scratch import materialize, row_count
 from surveyloom.plans.skew import hot_keys, lookup
 
 _MARGIN = 1e-9
@@ -111,45 +111,45 @@ class Grid:
             return left.join(right, list(keys), how)
         return lookup(left, right, keys, how=how, hot=self.hot)
 
-    def _near(self, dense: bool) -> DataFrame:
-        """Points of sparse cells beside the points of other dense (or sparse) cells within eps."""
-        other = self.dense if dense else self.sparse
+    def _near(self) -> DataFrame:
+        """What each point of a sparse cell has within eps in other cells.
+
+        (p, cell, q, n): for a dense cell the number of its points and q null,
+        for a sparse cell one row per point q.
+        """
         occupied = (
             _around(self.sparse.select("cell"), len(self.names), self.eps, self.side)
-            .join(other.select(F.col("cell").alias("other")), "other")
+            .join(self.cells.select(F.col("cell").alias("other")), "other")
         )
         mine = self.points.filter(F.col("n") < self.min_samples).select(
             F.col("row_id").alias("p"), "cell", *[F.col(x).alias(f"p{x}") for x in self.names])
         asking = mine.join(occupied, "cell").select("p", F.col("other").alias("cell"), *[f"p{x}" for x in self.names])
-        size = F.col("n") >= self.min_samples if dense else F.col("n") < self.min_samples
-        theirs = self.points.filter(size).select(
-            F.col("row_id").alias("q"), "cell", *[F.col(x).alias(f"q{x}") for x in self.names])
+        theirs = self.points.select(
+            F.when(F.col("n") < self.min_samples, F.col("row_id")).alias("q"), "cell",
+            *[F.col(x).alias(f"q{x}") for x in self.names])
         # the points of a hot cell are dealt over several tasks, its few askers repeated
-        pairs = self.by_cell(theirs, asking, ["cell"], how="inner") if dense else theirs.join(asking, "cell")
-        return pairs.filter(_squared(self.names, "p", "q") <= self.eps2)
+        pairs = self.by_cell(theirs, asking, ["cell"], how="inner")
+        return (
+            pairs.filter(_squared(self.names, "p", "q") <= self.eps2)
+            .groupBy("p", "cell", "q").agg(F.count(F.lit(1)).alias("n"))
+        )
 
     def _count_neighbours(self) -> None:
-        spark = self.points.sparkSession
-        if self.any_dense and self.any_sparse:
-            self.near_dense = materialize(
-                self._near(True).groupBy("p", "cell").agg(F.count(F.lit(1)).alias("n")), "near-dense")
-        else:
-            self.near_dense = spark.createDataFrame([], "p bigint, cell array<bigint>, n bigint")
         if self.any_sparse:
-            self.near_sparse = materialize(self._near(False).select("p", "q", "cell"), "near-sparse")
+            self.near = materialize(self._near(), "near")
         else:
-            self.near_sparse = spark.createDataFrame([], "p bigint, q bigint, cell array<bigint>")
-        reached = (
-            self.near_dense.select("p", "n")
-            .unionByName(self.near_sparse.select("p", F.lit(1).cast("bigint").alias("n")))
-            .groupBy("p").agg(F.sum("n").alias("reached"))
-        )
+            self.near = self.points.sparkSession.createDataFrame([], "p bigint, cell array<bigint>, q bigint, n bigint")
+        reached = self.near.groupBy("p").agg(F.sum("n").alias("reached"))
         mine = self.points.filter(F.col("n") < self.min_samples).select(F.col("row_id").alias("p"), "cell", "n")
         self.sparse_points = materialize(
             mine.join(reached, "p", "left").select(
                 "p", "cell", (F.col("n") + F.coalesce("reached", F.lit(0)) >= self.min_samples).alias("core")),
             "sparse-points",
         )
+        # neighbours that are core: every point of a dense cell, and the core points of sparse ones
+        core_q = self.sparse_points.filter("core").select(F.col("p").alias("q"))
+        self.near_core = self.near.filter("q is null").select("p", "cell").unionByName(
+            self.near.join(core_q, "q", "left_semi").select("p", "cell"))
 
     def core_points(self) -> DataFrame:
         dense = self.points.filter(F.col("n") >= self.min_samples).select("row_id", "cell")
@@ -158,10 +158,8 @@ class Grid:
     def core_links(self) -> DataFrame:
         """Pairs of cells (a, b) joined by two core points within eps."""
         core = self.sparse_points.filter("core").select("p", F.col("cell").alias("a"))
-        to_dense = self.near_dense.join(core, "p").select("a", F.col("cell").alias("b"))
-        q_core = core.select(F.col("p").alias("q"))
-        to_sparse = self.near_sparse.join(core, "p").join(q_core, "q", "left_semi").select("a", F.col("cell").alias("b"))
-        return to_dense.unionByName(to_sparse).unionByName(self._dense_links())
+        beside = self.near_core.join(core, "p").select("a", F.col("cell").alias("b"))
+        return beside.unionByName(self._dense_links()) if self.any_dense else beside
 
     def _dense_links(self) -> DataFrame:
         """Pairs of dense cells with points within eps of each other."""
@@ -177,6 +175,8 @@ class Grid:
             "cell-pairs",
         )
         linked = [judged.filter("linked").select("a", "b")]
+        if not judged.stored_rows:
+            return linked[0]
         open_pairs, side = judged.filter("not linked").drop("linked", "possible"), self.side
         while not open_pairs.isEmpty():
             small = (F.col("a_n") <= _DIRECT) & (F.col("b_n") <= _DIRECT)
@@ -253,12 +253,7 @@ def _labels(grid: Grid) -> DataFrame:
     )
 
     own = grid.by_cell(grid.points.select("row_id", "cell", "n"), clusters, ["cell"])
-    core_q = grid.sparse_points.filter("core").select(F.col("p").alias("q"))
-    reached = (
-        grid.near_dense.select("p", "cell")
-        .unionByName(grid.near_sparse.join(core_q, "q", "left_semi").select("p", "cell"))
-    )
-    reached = lookup(reached, clusters, ["cell"])
+    reached = lookup(grid.near_core, clusters, ["cell"], rows=row_count(grid.near))
     border = reached.groupBy("p").agg(F.min("cluster").alias("beside"))
     rest = grid.sparse_points.join(border, "p", "left").select(F.col("p").alias("row_id"), "core", "beside")
     in_dense = F.col("n") >= grid.min_samples

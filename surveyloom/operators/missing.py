@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import as_number, col
@@ -69,20 +69,26 @@ def median_fill(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
 
 def _fill_views(df: DataFrame, views: dict[str, Column]) -> dict[str, Column]:
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(views.values())]).first()
-    have = {c: counts[f"n{i}"] for i, c in enumerate(views)}
+    return _fill_gaps(df, views, counts["rows"], {c: counts[f"n{i}"] for i, c in enumerate(views)})
+
+
+def _fill_gaps(df: DataFrame, views: dict[str, Column], rows: int, have: dict[str, int]) -> dict[str, Column]:
+    """Fill with exact medians, which are only looked for where something is missing."""
     empty = [c for c, n in have.items() if not n]
     if empty:
         raise ValueError("no numeric values in: " + ", ".join(empty))
-    middle = medians(df, {c: v for c, v in views.items() if have[c] < counts["rows"]})
+    middle = medians(df, {c: v for c, v in views.items() if have[c] < rows})
     return {c: F.coalesce(v, F.lit(middle[c])) if c in middle else v for c, v in views.items()}
 
 
 def distance_views(df: DataFrame, columns: Sequence[str], standardize: bool) -> list[Column]:
     """Coordinates for distances: z-scored first if asked, then filled by the median."""
     views = {c: as_number(df, c) for c in columns}
-    if standardize:
-        views = zscore_views(df, views)
-    return list(_fill_views(df, views).values())
+    if not standardize:
+        return list(_fill_views(df, views).values())
+    moments = _moments(df, views)
+    have = {c: moments[f"n{i}"] for i, c in enumerate(views)}
+    return list(_fill_gaps(df, _scaled(views, moments), moments["rows"], have).values())
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -91,16 +97,17 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[filled[c].alias(c) if c in filled else col(c) for c in df.columns])
 
 
-def zscore_views(df: DataFrame, views: dict[str, Column]) -> dict[str, Column]:
-    """Standardize with the population sd, keeping nulls; a constant column becomes 0."""
-    names = list(views)
-    moments = df.agg(*[
-        f(views[c]).alias(f"{tag}{i}") for i, c in enumerate(names)
-        for tag, f in (("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max))
+def _moments(df: DataFrame, views: dict[str, Column]) -> Row:
+    return df.agg(F.count(F.lit(1)).alias("rows"), *[
+        f(v).alias(f"{tag}{i}") for i, v in enumerate(views.values())
+        for tag, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop), ("lo", F.min), ("hi", F.max))
     ]).first()
+
+
+def _scaled(views: dict[str, Column], moments: Row) -> dict[str, Column]:
     scaled = {}
-    for i, c in enumerate(names):
-        v, mean, sd = views[c], moments[f"mean{i}"], moments[f"sd{i}"]
+    for i, (c, v) in enumerate(views.items()):
+        mean, sd = moments[f"mean{i}"], moments[f"sd{i}"]
         if mean is None:
             scaled[c] = v
         elif not sd or moments[f"lo{i}"] == moments[f"hi{i}"]:
@@ -110,6 +117,11 @@ def zscore_views(df: DataFrame, views: dict[str, Column]) -> dict[str, Column]:
     return scaled
 
 
+def zscore_views(df: DataFrame, views: dict[str, Column]) -> dict[str, Column]:
+    """Standardize with the population sd, keeping nulls; a constant column becomes 0."""
+    return _scaled(views, _moments(df, views))
+
+
 def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFrame:
     scaled = zscore_views(df, {c: as_number(df, c) for c in columns})
     return df.withColumns({f"{c}{suffix}": v for c, v in scaled.items()})

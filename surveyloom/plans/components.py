@@ -22,20 +22,17 @@ def _leap(pointers: DataFrame, rows: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) where root is the smallest node of the component.
 
-    Each round every node points at its smallest neighbour, pointers leap
-    ahead twice, and the graph contracts to the nodes pointed at. Neighbour
+    Each round every node points at its smallest neighbour, pointers leap one
+    step ahead, and the graph contracts to the nodes pointed at. Neighbour
     minima combine map-side and lookups split hot nodes, so a hub is no burden.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     links = materialize(both.filter("u != v").distinct(), "links")
     rounds: list[DataFrame] = []
     while links.stored_rows:
-        hooks = materialize(
-            links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to"))
-            .select("node", F.least("node", "to").alias("to")),
-            "hooks",
-        )
-        pointers = materialize(_leap(_leap(hooks, hooks.stored_rows), hooks.stored_rows), "pointers")
+        hooks = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("to")).select(
+            "node", F.least("node", "to").alias("to"))
+        pointers = materialize(_leap(hooks, links.stored_rows), "pointers")
         rounds.append(pointers)
         ends = lookup(links, _renamed(pointers, "u", "ru"), ["u"], rows=links.stored_rows)
         ends = lookup(ends, _renamed(pointers, "v", "rv"), ["v"], rows=links.stored_rows)
