@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surveyloom.catalog.common import spread_table, table
 from surveyloom.operators import feedback, search, view
 from surveyloom.plans.scratch import scratch_path
-from surveyloom.sources import csv_export, csv_table, snapshots
+from surveyloom.sources import csv_export, csv_table, parquet_table, snapshots
 from surveyloom.streaming.feedback import AppendSink, start_append
 
 QUERIES = {}
@@ -76,6 +76,13 @@ def csv_audit(spark, folder):
     return csv_table.read_csv(spark, path).audit.select("kind", "n", "sample_lines")
 
 
+@query("SELECT 'dates-as-text' AS kind, 1::BIGINT AS n, 'o_orderdate' AS columns FROM orders HAVING count(*) > 0 "
+       "UNION ALL SELECT 'no-rows', 0::BIGINT, NULL FROM orders HAVING count(*) = 0")
+def parquet_audit(spark, folder):
+    _, audit = parquet_table.read_parquet(spark, f"{folder}/orders.parquet")
+    return audit.select("kind", "n", F.array_join("columns", ",").alias("columns"))
+
+
 @query("""SELECT 'grouped' AS "column", 'thousands separators' AS format, 1.0::DOUBLE AS share FROM lineitem HAVING count(*) > 0
     UNION ALL SELECT 'comma', 'decimal commas', 1.0::DOUBLE FROM lineitem HAVING count(*) > 0
     UNION ALL SELECT 'percent', 'percent signs', avg(CASE WHEN l_linenumber = 7 THEN 0.0 ELSE 1.0 END::DOUBLE) FROM lineitem""")

@@ -93,6 +93,16 @@ def correlate_constant(spark, folder):
     return correlation.correlate(customers, "c_acctbal", "one")
 
 
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {sql_round(f'corr({a}, {b})')} AS r FROM lineitem" for a in _MEASURES for b in _MEASURES))
+def correlation_matrix(spark, folder):
+    found = correlation.correlation_matrix(table(spark, folder, "lineitem"), _MEASURES)
+    return found.select("a", "b", rounded("r"))
+
+
 _UNPIVOT = " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", {i} AS position, p_partkey AS id, {e} AS x FROM survey" for i, (c, e) in enumerate(SURVEY_NUMBERS.items()))
 _CANDIDATES = ", ".join(str(v) for v in CODE_CANDIDATES)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import as_number
+from surveyloom.operators.missing import complete_cases
 from surveyloom.plans.ranking import midranks
 from surveyloom.plans.scratch import materialize, row_count
 from surveyloom.plans.skew import lookup
+from surveyloom.plans.vectors import cross_products
 
 _MIN_PAIRS = 3
 
@@ -56,4 +61,26 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def correlate(df: DataFrame, a: str, b: str) -> DataFrame:
-    return pearson(df, a, b).join(spearman(df, a, b), "n")
+    rho = spearman(df, a, b).select("spearman").scalar()
+    return pearson(df, a, b).withColumn("spearman", rho)
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, r) for every pair of columns over the rows complete in all of them.
+
+    One pass for the means and one for the cross products, however many columns.
+    """
+    columns = list(columns)
+    whole = complete_cases(df, columns).select(*[as_number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    views = [F.col(v) for v in whole.columns]
+    stats = whole.agg(*[f(v).alias(f"{tag}{i}") for i, v in enumerate(views)
+                        for tag, f in (("mean", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    center = [stats[f"mean{i}"] or 0.0 for i in range(len(columns))]
+    n, sums, gram = cross_products(whole, views, center)
+    varies = [n >= _MIN_PAIRS and stats[f"lo{i}"] < stats[f"hi{i}"] for i in range(len(columns))]
+    cov = gram - np.outer(sums, sums) / max(n, 1)
+    rows = [
+        (a, b, float(cov[i, j] / np.sqrt(cov[i, i] * cov[j, j])) if varies[i] and varies[j] else None)
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")

@@ -147,7 +147,7 @@ def fit_iterative(
                 total[2 + p :] += (centered.T @ centered).ravel()
             yield partial_batch({0: total})
 
-        total = tree_sum(gapped.mapInArrow(accumulate, PARTIAL_SCHEMA))[0]
+        total = tree_sum(gapped.mapInArrow(accumulate, PARTIAL_SCHEMA), plain_scan=True)[0]
         return total[2 : 2 + p], total[2 + p :].reshape(p, p), total[0], total[1]
 
     steps: list[Step] = []

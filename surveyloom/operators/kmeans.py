@@ -116,7 +116,7 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
                     totals[i] = totals[i] + part if i in totals else part
             yield partial_batch(totals)
 
-        sums = tree_sum(points.select(*names).mapInArrow(accumulate, PARTIAL_SCHEMA))
+        sums = tree_sum(points.select(*names).mapInArrow(accumulate, PARTIAL_SCHEMA), plain_scan=True)
         for i in sorted(active):
             fit, total = fits[i], sums[i]
             counts = total[1 : 1 + fit.k]

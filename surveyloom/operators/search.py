@@ -32,10 +32,11 @@ def search(
     follow ``order``. A repeated term counts as often as it is asked for.
     """
     hay = F.lower(F.concat_ws(" ", *[col(t) for t in texts]))
-    terms = search_terms(query)
-    score = reduce(Column.__add__, [hay.contains(t).cast("int") for t in terms], F.lit(0))
-    scored = df.withColumn("score", score)
-    hits = scored.filter("score > 0").orderBy(F.desc("score"), col(order)).limit(limit)
+    hits_of = [F.col("_hay").contains(t).cast("int") for t in search_terms(query)]
+    score = reduce(Column.__add__, hits_of, F.lit(0))
+    scored = df.withColumn("_hay", hay).withColumn("score", score).drop("_hay")
+    # dropping zero scores after the top-k keeps the scan to one projection per text
+    hits = scored.orderBy(F.desc("score"), col(order)).limit(limit).filter("score > 0")
     if not topics or key is None:
         return hits
     listed = list(dict.fromkeys(topics))

@@ -1,4 +1,4 @@
-"""Rows prepared for a scatter view: visibility, viewport, colour and shape indices."""
+"""Rows prepared for a plot: visibility, viewport, colour and shape indices."""
 
 from __future__ import annotations
 

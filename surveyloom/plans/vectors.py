@@ -31,9 +31,17 @@ def _add_up(batches):
     yield partial_batch(sums)
 
 
-def tree_sum(partials: DataFrame) -> dict[int, np.ndarray]:
-    """Add partial vectors by key in levels, so no task or driver sees them all at once."""
-    width = partials.rdd.getNumPartitions()
+def tree_sum(partials: DataFrame, plain_scan: bool = False) -> dict[int, np.ndarray]:
+    """Add partial vectors by key in levels, so no task or driver sees them all at once.
+
+    Over a plain table scan the number of partials is known beforehand and a
+    few go straight to the driver; otherwise one level of adding always runs.
+    """
+    if plain_scan:
+        width = partials.rdd.getNumPartitions()
+    else:
+        width = _FAN_IN
+        partials = partials.repartition(width).mapInArrow(_add_up, PARTIAL_SCHEMA)
     while width > _FAN_IN:
         width = -(-width // _FAN_IN)
         partials = partials.repartition(width).mapInArrow(_add_up, PARTIAL_SCHEMA)

@@ -195,7 +195,7 @@ def test_iterative_imputation_beats_the_median(spark, share):
     holes[holes.all(axis=1)] = False
     gapped = np.where(holes, np.nan, x)
     df, axes = _frame(spark, gapped)
-    fit = impute.fit_iterative(df, axes, rank=2)
+    fit = impute.fit_iterative(df, axes, rank=2, max_iter=25)
     got = fit.fill(df).orderBy("id").select(*axes).toPandas().to_numpy()
     assert fit.filled == holes.sum() and np.array_equal(got[~holes], x[~holes])
     median = np.where(holes, np.nanmedian(gapped, axis=0), x)

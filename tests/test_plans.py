@@ -61,6 +61,9 @@ def test_cross_products_wide_and_narrow_agree(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_FAN_IN", 2)
     x = np.random.default_rng(2).normal(5, 2, (300, 14))
     df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(14)])).repartition(9)
+    partials = df.select(F.lit(1).alias("key"), F.array("c0", "c1").alias("vec"))
+    for plain_scan in (False, True):
+        np.testing.assert_allclose(vectors.tree_sum(partials, plain_scan)[1], x[:, :2].sum(axis=0))
     for p in (4, 14):
         n, sums, gram = vectors.cross_products(df, [F.col(f"c{i}") for i in range(p)], [5.0] * p)
         assert n == 300
