@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from surveyloom.functions.numeric import as_number
 from surveyloom.operators.missing import complete_cases
 from surveyloom.plans.ranking import midranks
-from surveyloom.plans.scratch import materialize, row_count
-from surveyloom.plans.skew import lookup
+from surveyloom.plans.scratch import materialize
+from surveyloom.plans.skew import find_hot, split_join
 from surveyloom.plans.vectors import cross_products
 
 _MIN_PAIRS = 3
@@ -49,7 +49,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     )
     rx = midranks(pairs, "x", "n").withColumnRenamed("rank", "rx")
     ry = midranks(pairs, "y", "n").withColumnRenamed("rank", "ry")
-    ranked = lookup(lookup(pairs, rx, ["x"]), ry, ["y"], rows=row_count(pairs))
+    hot_x, hot_y = find_hot(pairs, ["x"]), find_hot(pairs, ["y"])
+    ranked = split_join(split_join(pairs, rx, ["x"], hot_x), ry, ["y"], hot_y)
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dx, dy = F.col("rx") - (total + 1) / 2, F.col("ry") - (total + 1) / 2
     sums = ranked.agg(

@@ -22,7 +22,7 @@ from surveyloom.operators.missing import distance_views
 from surveyloom.plans.components import components
 from surveyloom.plans.ranking import dense_index
 from surveyloom.plans.scratch import materialize, row_count
-from surveyloom.plans.skew import hot_keys, lookup
+from surveyloom.plans.skew import hot_keys, lookup, split_join
 
 _MARGIN = 1e-9
 _MAX_OFFSETS = 20_000
@@ -107,9 +107,7 @@ class Grid:
 
     def by_cell(self, left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
         """Join points to facts about their cell, with the grid's own hot cells split."""
-        if self.hot is None:
-            return left.join(right, list(keys), how)
-        return lookup(left, right, keys, how=how, hot=self.hot)
+        return split_join(left, right, keys, self.hot, how)
 
     def _near(self) -> DataFrame:
         """What each point of a sparse cell has within eps in other cells.

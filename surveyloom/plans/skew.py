@@ -45,27 +45,35 @@ def _present(keys: Sequence[str]) -> Column:
     return test
 
 
+def find_hot(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
+    """Hot keys of a table, counted with a map-side combine.
+
+    ``rows`` is an upper bound on its rows when the caller knows one; a table
+    too small to have a hot key is not looked at.
+    """
+    total = row_count(df) if rows is None else rows
+    if total <= _MIN_HOT_ROWS:
+        return None
+    return hot_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", total)
+
+
 def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    hot: DataFrame | None = None,
-    rows: int | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", rows: int | None = None,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` on ``keys``, splitting keys that are hot on the left.
+    """Join ``left`` to ``right`` on ``keys``, splitting keys that are hot on the left."""
+    return split_join(left, right, keys, find_hot(left, keys, rows), how)
 
-    Hot keys are counted with a map-side combine; their rows are dealt over
-    several tasks and only those keys of ``right`` are repeated. Null keys are
-    dealt out too: they match nothing and need not meet in one task. ``rows``
-    is an upper bound on the rows of ``left`` when the caller knows one, and
-    ``hot`` the hot keys when they were found before.
+
+def split_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None, how: str = "left",
+) -> DataFrame:
+    """The same join with the hot keys already known.
+
+    The rows of a hot key are dealt over several tasks and only those keys of
+    ``right`` are repeated. Null keys are dealt out too: they match nothing and
+    need not meet in one task.
     """
     keys = list(keys)
-    if hot is None:
-        total = row_count(left) if rows is None else rows
-        if total > _MIN_HOT_ROWS:
-            hot = hot_keys(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", total)
     if hot is None:
         return left.join(right, keys, how)
     spread = F.monotonically_increasing_id()
