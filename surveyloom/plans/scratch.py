@@ -43,9 +43,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_rows = seen.get["rows"]
+    stored.stored_path = path
     return stored
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for table in tables:
+        path = getattr(table, "stored_path", None)
+        if path is not None:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def row_count(df: DataFrame) -> int:
     """Rows of a table, for free when it was materialized."""
     stored = getattr(df, "stored_rows", None)
