@@ -100,14 +100,17 @@ def build(text: bytes) -> Automaton:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.empty((len(length), width), np.int32)
-    table[:] = 1  # no way on: the phrase ends and the next one begins at the start state
+    # The last state is where a symbol that the sample lacks leads: such a symbol is a phrase of its own.
+    states = len(length)
+    table = np.empty((states + 1, width), np.int32)
+    table[:] = 2 * states + 1
+    table[0] = 2 * states  # the text begins there, so no phrase ends
     for c, q in step[0].items():
-        table[:, c] = 2 * q + 1
+        table[1:, c] = 2 * q + 1
     for state, ways in enumerate(step):
         for c, q in ways.items():
             table[state, c] = 2 * q
-    table[:, 0] = 2 * np.arange(len(length))  # padding stays where it is
+    table[:, 0] = 2 * np.arange(states + 1)  # padding stays where it is
     return Automaton(_classes(symbols), width, table.ravel(), float(np.log2(max(len(coded), 2))))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.passages import (
     KEY, PHRASE, SPAN_TYPE, SPANS, WINDOW, merged, prepared, read_phrases, recurring, repeated_starts, span_rows, spans_of,
-    window_hashes,
+    window_hashes, with_least_owner,
 )
 from surveyloom.llm.words import WHITE, list_column, minimisers, mix, range_hashes, slices, split_words, text_bytes
 from surveyloom.plans.scratch import discard, materialize
@@ -32,6 +32,7 @@ _RUN_BASE = 0x9FB21C651E98DF25
 SHARD_BYTES = 2 << 20
 
 _RUNS = "doc_id long, text_hash long, gram long, block long, first int, n int, hashes array<long>"
+_RUN = ("gram", "block")
 _CHANGED = f"doc_id long, n_words long, n_removed long, kept_sha256 string, spans {SPAN_TYPE}, kept string"
 
 
@@ -106,11 +107,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     heads = F.when(F.col("doc_id") == F.col("owner"), F.col("hashes"))
     owned = materialize(runs.join(owners, ["gram", "block"]).withColumn("hashes", heads), "owned-runs")
     discard(runs)
-    later = owned.filter("hashes is null").select(*KEY, F.col("first").alias("start"), F.col("n").alias("size"), "owner")
-    opened = owned.filter("hashes is not null").select(*KEY, "gram", "first", F.posexplode("hashes").alias("i", "hash")).select(
-        *KEY, "gram", "hash", (F.col("first") + F.col("i")).alias("start"))
-    spans = materialize(spans_of(later.unionByName(repeated_starts(opened))), "spans")
-    discard(owned)
+    later = owned.filter("hashes is null").select(*KEY, *_RUN, F.col("first").alias("start"), F.col("n").alias("size"), "owner")
+    opened = owned.filter("hashes is not null").select(*KEY, *_RUN, "first", F.posexplode("hashes").alias("i", "hash")).select(
+        *KEY, *_RUN, "hash", (F.col("first") + F.col("i")).alias("start"))
+    found = materialize(repeated_starts(opened, _RUN), "repeated-starts")
+    spans = materialize(spans_of(found.select(*KEY, "start", "size", "owner").unionByName(with_least_owner(later, found, _RUN))), "spans")
+    discard(owned, found)
     changed = prepared(docs).join(spans, list(KEY)).select("doc_id", "text", "spans").mapInArrow(_remove, _CHANGED)
     whole = read.join(spans.select(*KEY), list(KEY), "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words_sha256").alias("kept_sha256"),

@@ -260,10 +260,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     each = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     chosen = materialize(each.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "copies")).alias("c")).select(
-        F.col("c.doc_id").alias("_doc_id"), F.col("c.text_hash").alias("_text_hash"), F.col("c.copies").alias("_copies")), "chosen")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
-    kept = docs.join(chosen, same).drop("_doc_id", "_text_hash")
-    if chosen.filter("_copies > 1").isEmpty():  # no row stands twice
-        return kept.drop("_copies")
-    repeated = kept.filter("_copies > 1").dropDuplicates(["doc_id", "text"])
-    return kept.filter("_copies = 1").unionByName(repeated).drop("_copies")
+        "c.doc_id", "c.text_hash", "c.copies"), "chosen")
+    same = F.expr("cast(d.doc_id as bigint) <=> c.doc_id and xxhash64(d.text) = c.text_hash")
+    once, repeated = chosen.filter("copies = 1"), chosen.filter("copies > 1")
+    kept = docs.alias("d").join(once.alias("c"), same).select("d.*")
+    if repeated.isEmpty():  # no row stands twice
+        return kept
+    return kept.unionByName(docs.alias("d").join(repeated.alias("c"), same).select("d.*").dropDuplicates(["doc_id", "text"]))

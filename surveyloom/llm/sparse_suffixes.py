@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.passages import (
     KEY, PHRASE, SPAN_TYPE, SPANS, WINDOW, merged, prepared, read_phrases, recurring, repeated_starts, span_rows, spans_of,
+    with_least_owner,
 )
 from surveyloom.llm.words import WHITE, minimisers, slices, split_words, text_bytes
 from surveyloom.plans.scratch import discard, materialize
 
 _SUFFIXES = "suffix binary, left binary, n int, first int, doc_id long, text_hash long"
-_COMPARED = "doc_id long, text_hash long, start int, size int, owner long, gram long, hash long"
+_COMPARED = "doc_id long, text_hash long, start int, size int, owner long, head_hash long, head_first int, gram long, hash long"
+# Suffixes that agree in so many bytes begin alike.
+BEGINNING = 32
 _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -76,46 +79,65 @@ def _windows(suffix: bytes, left: bytes, n: int, reach: int) -> Iterator[tuple[i
         yield i, whole[starts[i]:ends[i + WINDOW - 1]]
 
 
+class _Class:
+    """Suffixes that are equal with all that stands left of them; all rows of its first document are heads."""
+
+    def __init__(self, key: tuple[bytes, bytes, int], head: tuple[int, int, int], reach: int):
+        self.key, self.heads, self.reach = key, [head], reach
+
+    def rows(self, reach: int) -> Iterator[tuple]:
+        suffix, left, n = self.key
+        for i, window in _windows(suffix, left, n, reach):
+            digest = xxhash.xxh3_128_intdigest(window)
+            high, low = ((part ^ 1 << 63) - (1 << 63) for part in (digest >> 64, digest & (1 << 64) - 1))
+            for doc_id, text_hash, first in self.heads:
+                yield (doc_id, text_hash, first + i, None, doc_id, text_hash, first, high, low)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes against their neighbours."""
+    """Sorted suffixes against their neighbours.
+
+    Classes that begin like the first or the last one of a partition can have
+    neighbours in the next one; their matches count as reaching all the way.
+    """
     rows: list[tuple] = []
-    before: bytes | None = None  # the suffix of the class before; none at the start of a partition
-    open_class: tuple | None = None  # (suffix, left, n) with its heads and how far it reaches to the left neighbour
-    heads: list[tuple[int, int, int]] = []
-    reach = WINDOW
-
-    def close(after: bytes | None) -> None:
-        if open_class is None:
-            return
-        suffix, left, n = open_class
-        far = max(reach, WINDOW if after is None else _common_words(suffix, after))
-        for i, window in _windows(suffix, left, n, far):
-            digest = xxhash.xxh3_128_intdigest(window)
-            gram, hash_ = ((digest >> 64) ^ 1 << 63) - (1 << 63), ((digest & (1 << 64) - 1) ^ 1 << 63) - (1 << 63)
-            rows.extend((doc_id, text_hash, first + i, None, None, gram, hash_) for doc_id, text_hash, first in heads)
+    waiting: list[_Class] = []  # classes with one beginning, until the next beginning shows that it is not the last
+    whole = True  # whether the classes waiting have to count as reaching all the way
 
     def table() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                                           names=[c.split()[0] for c in _COMPARED.split(", ")])
 
+    def settle(classes: list[_Class]) -> Iterator[pa.RecordBatch]:
+        for one in classes:
+            rows.extend(one.rows(WINDOW if whole else one.reach))
+            if len(rows) > 20_000:
+                yield table()
+
     for batch in batches:
         for suffix, left, n, first, doc_id, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if open_class == (suffix, left, n):
-                if doc_id == heads[0][0]:
-                    heads.append((doc_id, text_hash, first))
+            last = waiting[-1] if waiting else None
+            if last is not None and last.key == (suffix, left, n):
+                if doc_id == last.heads[0][0]:
+                    last.heads.append((doc_id, text_hash, first))
                 else:
-                    rows.append((doc_id, text_hash, first, n, heads[0][0], None, None))
+                    rows.append((doc_id, text_hash, first, n, *last.heads[0], None, None))
                 continue
-            close(suffix)
-            before = open_class[0] if open_class else None
-            reach = WINDOW if before is None else _common_words(suffix, before)
-            open_class, heads = (suffix, left, n), [(doc_id, text_hash, first)]
+            reach = 0
+            if last is not None:
+                reach = _common_words(suffix, last.key[0])
+                last.reach = max(last.reach, reach)
+                if suffix[:BEGINNING] != last.key[0][:BEGINNING]:
+                    yield from settle(waiting)
+                    waiting, whole = [], False
+            waiting.append(_Class((suffix, left, n), (doc_id, text_hash, first), reach))
         if len(rows) > 20_000:
             yield table()
-    close(None)
+    whole = True
+    yield from settle(waiting)
     yield table()
 
 
@@ -125,12 +147,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     suffixes = materialize(prepared(docs).join(recurring(read), list(KEY)).mapInArrow(_select, _SUFFIXES), "suffixes")
     order = ("suffix", "left", "n", "doc_id", "text_hash", "first")
     compared = materialize(
-        suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, _COMPARED), "compared")
+        suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+        .mapInArrow(_compare, _COMPARED), "compared")
     discard(read, suffixes)
-    settled = compared.filter("size is not null").select(*KEY, "start", "size", "owner")
-    opened = compared.filter("size is null").select(*KEY, "gram", "hash", "start")
-    spans = materialize(spans_of(settled.unionByName(repeated_starts(opened))), "spans")
-    discard(compared)
+    run = ("head_doc", "head_hash", "head_first")
+    rows = compared.withColumn("head_doc", F.col("owner"))
+    settled = rows.filter("size is not null").select(*KEY, *run, "start", "size", "owner")
+    opened = rows.filter("size is null").select(*KEY, *run, "gram", "hash", "start")
+    found = materialize(repeated_starts(opened, run), "repeated-starts")
+    spans = materialize(spans_of(found.select(*KEY, "start", "size", "owner").unionByName(with_least_owner(settled, found, run))), "spans")
+    discard(compared, found)
     return spans
 
 
@@ -157,28 +183,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["text", "spans", "words_left", *batch.schema.names[2:]])
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with repeated passages cut out of ``text``, and spans and words_left.
+def cut_repeats(docs: DataFrame, spans_as: str = "spans", words_left_as: str = "words_left") -> DataFrame:
+    """All rows and columns of ``docs`` with repeated passages cut out of ``text``, and two new columns.
 
     A word goes if a window of ``WINDOW`` words covers it that also stands in a
     document with a smaller doc_id. White space around what is cut stays. spans
     are (begin, end, owner) in words; words_left is false if a text lost all its
-    words. A null, wordless or short text stays as it is, and so does one with a
+    words; both can be renamed. A null, wordless or short text stays as it is, and so does one with a
     null doc_id, which is no source for others either; rows with equal ids are not
-    held against each other. An empty table gives no rows. Columns of ``docs``
-    named spans or words_left give way to the new ones.
+    held against each other. An empty table gives no rows. The new columns must
+    not have names that ``docs`` has.
     """
     spans = repeated_spans(docs)
-    others = [c for c in docs.columns if c not in ("text", "spans", "words_left")]
+    others = [c for c in docs.columns if c != "text"]
     keyed = docs.select("text", *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)],
                         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     rows = keyed.join(spans, list(KEY), "left").select("text", "spans", *[f"_c{i}" for i in range(len(others))])
     kinds = dict(docs.dtypes)
     carried = "".join(f", _c{i} {kinds[c]}" for i, c in enumerate(others))
     cut = rows.mapInArrow(_cut, f"text string, spans {SPAN_TYPE}, words_left boolean{carried}")
-    names = {c: f"_c{i}" for i, c in enumerate(others)}
-    return cut.select(*[F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns if c in names or c == "text"],
-                      "spans", "words_left")
+    back = {c: F.col(f"_c{i}").alias(c) for i, c in enumerate(others)} | {"text": F.col("text")}
+    return cut.select(*[back[c] for c in docs.columns], F.col("spans").alias(spans_as), F.col("words_left").alias(words_left_as))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, dim, ids, v in zip(*(batch.column(i) for i in range(4)), strict=True):
             ids = ids.values.to_numpy(zero_copy_only=False)
-            vectors = v.values.values.to_numpy(zero_copy_only=False).reshape(len(ids), dim.as_py())
+            vectors = v.values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim.as_py())
             at = np.argsort(ids)
             order, nodes, boxes = _build(vectors[at])
             yield pa.RecordBatch.from_arrays([

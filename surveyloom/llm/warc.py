@@ -121,7 +121,8 @@ def _candidate(file: str, block: int, at: int, value: bytes) -> tuple:
         if not value.startswith(MAGIC):
             return nothing
         skip = len(MAGIC)
-    close = value.find(END, skip)
+    text = value + BREAK[:1]  # a break begins with a line's end, which may be the header's
+    close = text.find(END, skip)
     if close < 0:
         return nothing
     fields = _fields(value[skip:close])
@@ -131,12 +132,12 @@ def _candidate(file: str, block: int, at: int, value: bytes) -> tuple:
     block_at = close + len(END)
     succ = at + block_at + length + len(END)
     whole = succ in (seg_end, seg_end + 1)  # the last byte before a magic belongs to the break
-    http_end = value.find(END, block_at)
+    http_end = text.find(END, block_at)
     payload_at = http_end + len(END) if http_end >= 0 else block_at
     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
     size = digest = None
     if kind == "revisit":
-        size = _number(_fields(value[block_at:payload_at]).get(b"content-length", b""))
+        size = _number(_fields(text[block_at:payload_at]).get(b"content-length", b""))
         digest = fields.get(b"warc-payload-digest", b"").decode("utf-8", "replace").removeprefix("sha1:")
     elif whole:
         payload = value[payload_at:block_at + length]
