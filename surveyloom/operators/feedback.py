@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
+from surveyloom.functions.ordering import earliest, latest
 
 
 def latest_per_event(df: DataFrame, event: str = "event_id", at: str = "created_at") -> DataFrame:
-    """The newest row of every event; partial maxima keep a busy event cheap."""
-    newest = F.max_by(F.struct(*[col(c) for c in df.columns]), col(at))
-    return df.groupBy(col(event).alias("_event")).agg(newest.alias("r")).select("r.*")
+    """The newest row of every event, a row without a time if there is no other; partial maxima keep a busy event cheap."""
+    return df.groupBy(col(event).alias("_event")).agg(latest(df, at).alias("r")).select("r.*")
 
 
 def copies(df: DataFrame) -> DataFrame:
@@ -33,11 +33,10 @@ def without_copies(df: DataFrame, row_id: str) -> DataFrame:
     """
     comparable = F.col("event_id").isNotNull() & F.col("rating").isNotNull()
     untouched = df.filter(F.col("client_key").isNotNull() | ~comparable)
-    first = F.min_by(F.struct(*[col(c) for c in df.columns]), col(row_id))
     firsts = (
         df.filter(comparable)
         .groupBy(F.col("event_id").alias("_e"), F.col("rating").alias("_r"),
                  F.coalesce("reason", F.lit("")).alias("_s"), F.coalesce("user_message", F.lit("")).alias("_m"))
-        .agg(first.alias("r")).select("r.*").filter("client_key is null")
+        .agg(earliest(df, row_id).alias("r")).select("r.*").filter("client_key is null")
     )
     return untouched.unionByName(firsts)

@@ -1,4 +1,10 @@
-"""Idempotent append of an at-least-once stream, with bad rows set aside."""
+"""Idempotent append of an at-least-once stream, with bad rows set aside.
+
+Nothing is judged by its age: a row delivered late is as good as any other. Keys
+already stored are found by reading the key column of the stored table, which is
+partitioned by a hash of the key, so a micro-batch reads only the parts its own
+keys can be in.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from surveyloom.functions.numeric import col
+from surveyloom.functions.ordering import earliest, latest
 
 # Fixed value: how often a row may be rejected before it is given up.
 MAX_ATTEMPTS = 5
 
+KEY_PARTS = 64
+
 
 @dataclass
 class AppendSink:
@@ -23,7 +33,6 @@ class AppendSink:
     checkpoint: str
     key: str = "client_key"
     at: str = "created_at"
-    lateness: str = "1 hour"
     source_app: str = "app"
 
 
@@ -33,82 +42,91 @@ def tagged(df: DataFrame, source_app: str) -> DataFrame:
     return df.withColumn("source_app", named)
 
 
-def _stored(batch: DataFrame, path: str, columns: list[str]) -> DataFrame | None:
+def timed(df: DataFrame, at: str) -> DataFrame:
+    """The time as a timestamp, null where it cannot be read, and its text as delivered in ``<at>_raw``."""
+    return df.withColumn(f"{at}_raw", col(at).cast("string")).withColumn(at, col(at).try_cast("timestamp"))
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(col(key).cast("string")), F.lit(KEY_PARTS)).cast("int")
+
+
+def _stored(batch: DataFrame, path: str, sink: AppendSink, extra: str, batch_id: int) -> DataFrame | None:
+    """Keys stored by other batches, from the parts that this batch's keys can be in."""
     spark = batch.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.parquet(path).select(*[col(c) for c in columns])
+    parts = [r[0] for r in batch.filter(col(sink.key).isNotNull()).select(_part(sink.key)).distinct().collect()]  # at most KEY_PARTS
+    schema = T.StructType([T.StructField(sink.key, batch.schema[sink.key].dataType),
+                           *T.StructType.fromDDL(f"{extra}batch bigint, key_part int")])
+    # A replayed batch must not see its own earlier output.
+    return spark.read.schema(schema).parquet(path).filter(
+        F.col("key_part").isin(parts) & (F.col("batch") != batch_id) & col(sink.key).isNotNull())
+
+
+def _write(rows: DataFrame, path: str, key: str, batch_id: int) -> None:
+    """One folder for each batch, replaced as a whole when the batch is replayed."""
+    rows.withColumn("key_part", F.coalesce(_part(key), F.lit(-1))).write.partitionBy("key_part").mode("overwrite").parquet(
+        f"{path}/batch={batch_id}")
 
 
 def unique_in_batch(batch: DataFrame, key: str, at: str) -> DataFrame:
     """One row per key, the earliest; rows without a key never collide."""
-    first = F.min_by(F.struct(*[col(c) for c in batch.columns]), col(at))
-    keyed = batch.filter(col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(first.alias("r")).select("r.*")
+    keyed = batch.filter(col(key).isNotNull()).groupBy(col(key).alias("_key")).agg(earliest(batch, at).alias("r")).select("r.*")
     return keyed.unionByName(batch.filter(col(key).isNull()))
 
 
 def start_append(stream: DataFrame, sink: AppendSink, valid: Column, once: bool = True) -> StreamingQuery:
-    """Append each delivered row once, however often it is delivered.
-
-    Repeats inside the lateness window are dropped by streaming state; older
-    redelivery is caught against the stored keys. Each micro-batch is written
-    to its own partition and overwritten when the engine replays it after a
-    failure, so a half-finished batch leaves nothing behind. Rows failing
-    ``valid`` go to the quarantine with their attempt count, and a row rejected
-    five times is marked as dropped.
+    """Append each delivered row once, however often and however late it is delivered.
+
+    Repeats are dropped inside a micro-batch and against all keys stored before.
+    Each micro-batch is written to its own partition and overwritten when the
+    engine replays it after a failure, so a half-finished batch leaves nothing
+    behind. Rows that fail ``valid``, or whose time is missing or unreadable, go
+    to the quarantine with the time as delivered and their attempt count, and a
+    row rejected five times is marked as dropped.
     """
-    accepted = F.coalesce(valid, F.lit(False))
-    timed = stream.withColumn(sink.at, col(sink.at).cast("timestamp"))
-    ready = tagged(timed, sink.source_app).withWatermark(sink.at, sink.lateness)
-    deduplicable = accepted & col(sink.key).isNotNull()
-    # streaming state treats nulls as equal, so rows without a key go around it,
-    # and so do rejected rows, whose every delivery is an attempt
-    once_each = ready.filter(deduplicable).dropDuplicatesWithinWatermark([sink.key])
-    around = ready.filter(~deduplicable)
+    ready = tagged(timed(stream, sink.at), sink.source_app)
+    accepted = F.coalesce(valid, F.lit(False)) & col(sink.at).isNotNull()
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        _write_new(batch.filter(accepted), sink, batch_id)
-        _quarantine(batch.filter(~accepted), sink, batch_id)
-
-    writer = (
-        once_each.unionByName(around).writeStream.foreachBatch(append)
-        .option("checkpointLocation", sink.checkpoint).outputMode("append")
-    )
+        judged = batch.persist()
+        try:
+            _write_new(judged.filter(accepted).drop(f"{sink.at}_raw"), sink, batch_id)
+            _quarantine(judged.filter(~accepted), sink, batch_id)
+        finally:
+            judged.unpersist()
+
+    writer = ready.writeStream.foreachBatch(append).option("checkpointLocation", sink.checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def _write_new(rows: DataFrame, sink: AppendSink, batch_id: int) -> None:
+    known = _stored(rows, sink.table, sink, "", batch_id)
     rows = unique_in_batch(rows, sink.key, sink.at)
-    stored = _stored(rows, sink.table, [sink.key, "batch"])
-    if stored is not None:
-        # a replayed batch must not see its own earlier output
-        known = stored.filter((F.col("batch") != batch_id) & col(sink.key).isNotNull()).select(col(sink.key))
-        rows = rows.join(known, sink.key, "left_anti").select(*[col(c) for c in rows.columns])
-    rows.write.mode("overwrite").parquet(f"{sink.table}/batch={batch_id}")
+    if known is not None:
+        rows = rows.join(known.select(col(sink.key)), sink.key, "left_anti").select(*[col(c) for c in rows.columns])
+    _write(rows, sink.table, sink.key, batch_id)
 
 
 def _quarantine(rows: DataFrame, sink: AppendSink, batch_id: int) -> None:
     """One row per rejected key and batch, with the rejections so far."""
-    first = F.min_by(F.struct(*[col(c) for c in rows.columns]), col(sink.at))
     keyed = (
         rows.filter(col(sink.key).isNotNull()).groupBy(col(sink.key).alias("_key"))
-        .agg(first.alias("r"), F.count(F.lit(1)).alias("attempts")).select("r.*", "attempts")
+        .agg(earliest(rows, sink.at).alias("r"), F.count(F.lit(1)).alias("attempts")).select("r.*", "attempts")
     )
-    earlier = _stored(rows, sink.quarantine, [sink.key, "attempts", "batch"])
-    if earlier is not None:
-        tried = (
-            earlier.filter((F.col("batch") != batch_id) & col(sink.key).isNotNull())
-            .groupBy(col(sink.key)).agg(F.max("attempts").alias("_tried"))
-        )
+    before = _stored(rows, sink.quarantine, sink, "attempts bigint, ", batch_id)
+    if before is not None:
+        tried = before.groupBy(col(sink.key)).agg(F.max("attempts").alias("_tried"))
         keyed = keyed.join(tried, sink.key, "left").select(
             *[col(c) for c in rows.columns], (F.col("attempts") + F.coalesce("_tried", F.lit(0))).alias("attempts"))
     loose = rows.filter(col(sink.key).isNull()).withColumn("attempts", F.lit(1).cast("bigint"))
     counted = keyed.unionByName(loose).withColumn("dropped", F.col("attempts") >= MAX_ATTEMPTS)
-    counted.write.mode("overwrite").parquet(f"{sink.quarantine}/batch={batch_id}")
+    _write(counted, sink.quarantine, sink.key, batch_id)
 
 
 def retry_candidates(quarantine: DataFrame, key: str = "client_key") -> DataFrame:
     """Rejected rows still worth another try, at their latest attempt."""
-    last = F.max_by(F.struct(*[col(c) for c in quarantine.columns]), F.col("attempts"))
-    return quarantine.groupBy(col(key).alias("_key")).agg(last.alias("r")).select("r.*").filter("not dropped")
+    return quarantine.groupBy(col(key).alias("_key")).agg(latest(quarantine, "attempts").alias("r")).select("r.*").filter(
+        "not dropped")
