@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.plans.scratch import materialize
 
-_BINS = 512
-_COLUMNS_PER_PASS = 48
+_ACCURACY = 2000
+_READ_OUT = 4096
+_COLUMNS_PER_PASS = 16
 
 
 def running_counts(counts: DataFrame, value: str, n: str) -> DataFrame:
@@ -59,10 +60,12 @@ def order_statistics(
 ) -> dict[str, list[float | None]]:
     """Exact values at given 0-based positions of each column's sorted numbers.
 
-    Each pass histograms only the interval that still holds a wanted position
-    and narrows it to one bin, so nothing is sorted or shuffled beyond bin
-    counts. ``ranks`` maps a column's count of non-null values to positions;
-    a column without values yields Nones.
+    A quantile sketch brackets every position, exact counts say where it lies
+    between the ends of the bracket, and brackets of few rows are read out. Each
+    round leaves about 4 / ``_ACCURACY`` of a bracket's rows, whatever the
+    values, so even 10^12 rows take three rounds of two passes; nothing is sorted
+    or shuffled but sketches and counts. ``ranks`` maps a column's count of
+    non-null values to positions; a column without values yields Nones.
     """
     names = list(values)
     found: dict[str, list[float | None]] = {}
@@ -72,67 +75,89 @@ def order_statistics(
     return found
 
 
+@dataclass
+class _Place:
+    """A position sought strictly between two values (None: no bound), with the counts up to them."""
+
+    column: int
+    slot: int
+    rank: int
+    below: int
+    upto: int
+    low: float | None = None
+    high: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(f"v{self.column}")
+        test = v.isNotNull()
+        if self.low is not None:
+            test = test & (v > F.lit(self.low))
+        return test if self.high is None else test & (v < F.lit(self.high))
+
+    def settle(self, low: float, high: float, counts: Sequence[int]) -> float | None:
+        """Take over exact counts of rows below and at both ends; the value if it is one of them."""
+        below_low, at_low, below_high, at_high = counts
+        if self.rank < below_low:
+            self.upto, self.high = below_low, low
+        elif self.rank < below_low + at_low:
+            return low
+        elif self.rank < below_high:
+            self.below, self.upto, self.low, self.high = below_low + at_low, below_high, low, high
+        elif self.rank < below_high + at_high:
+            return high
+        else:
+            self.below, self.low = below_high + at_high, high
+        return None
+
+
 def _order_statistics(df, values, ranks):
     names = list(values)
     view = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
-    bounds = view.agg(
-        *[f(f"v{i}").alias(f"{tag}{i}") for i in range(len(names))
-          for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    ).first()
-    # wanted: one entry per (column, position); interval: lo, hi and the count below lo
-    wanted = []
-    result = {}
+    counts = view.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    result, open_ = {}, []
     for i, name in enumerate(names):
-        positions = list(ranks(bounds[f"n{i}"])) if bounds[f"n{i}"] else list(ranks(1))
+        n = counts[f"n{i}"]
+        positions = list(ranks(n or 1))
         result[name] = [None] * len(positions)
-        if bounds[f"n{i}"]:
-            for slot, position in enumerate(positions):
-                wanted.append({"col": i, "slot": slot, "rank": position,
-                               "lo": bounds[f"lo{i}"], "hi": bounds[f"hi{i}"], "below": 0})
-    while True:
-        for w in wanted:
-            if w["lo"] == w["hi"]:
-                result[names[w["col"]]][w["slot"]] = w["lo"]
-        wanted = [w for w in wanted if w["lo"] != w["hi"]]
-        if not wanted:
-            return result
-        _narrow(view, wanted)
-
-
-def _narrow(view: DataFrame, wanted: list[dict]) -> None:
-    """Shrink every wanted interval to the histogram bin holding its position."""
-    intervals = sorted({(w["col"], w["lo"], w["hi"]) for w in wanted})
-    entries = []
-    for t, (i, lo, hi) in enumerate(intervals):
-        v = F.col(f"v{i}")
-        # lo falls in the first bin and hi in the last, so every pass makes progress;
-        # halves keep the width of an interval beyond the double range finite
-        if math.isinf(hi - lo):
-            share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
-        else:
-            share = (v - lo) / F.lit(hi - lo)
-        inside = v.between(lo, hi)
-        bin_no = F.when(inside, F.least(F.lit(_BINS - 1), F.floor(share * _BINS).cast("int")))
-        entries.append(F.struct(F.when(inside, F.lit(t)).alias("t"), bin_no.alias("b"), v.alias("v")))
-    bins = (
-        view.select(F.inline(F.array(*entries))).filter("t is not null")
-        .groupBy("t", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
-    by_interval: dict[int, list] = {}
-    for row in bins:
-        by_interval.setdefault(row["t"], []).append(row)
-    for rows in by_interval.values():
-        rows.sort(key=lambda r: r["b"])
-    index = {interval: t for t, interval in enumerate(intervals)}
-    for w in wanted:
-        below = w["below"]
-        for row in by_interval[index[(w["col"], w["lo"], w["hi"])]]:
-            if w["rank"] < below + row["n"]:
-                w.update(lo=row["lo"], hi=row["hi"], below=below)
-                break
-            below += row["n"]
+        open_ += [_Place(i, slot, rank, 0, n) for slot, rank in enumerate(positions) if n]
+    while open_:
+        few = [p for p in open_ if p.upto - p.below <= _READ_OUT]
+        many = [p for p in open_ if p.upto - p.below > _READ_OUT]
+        for place, value in [*_read_out(view, few), *_bracket(view, many)]:
+            if value is not None:
+                result[names[place.column]][place.slot] = value
+        open_ = [p for p in many if result[names[p.column]][p.slot] is None]
+    return result
+
+
+def _read_out(view: DataFrame, places: list[_Place]) -> list[tuple[_Place, float]]:
+    """The values of brackets with at most ``_READ_OUT`` rows each."""
+    brackets = sorted({(p.column, p.low, p.high): p for p in places}.items(), key=lambda kv: repr(kv[0]))
+    if not brackets:
+        return []
+    entries = [F.struct(F.when(p.inside(), t).alias("t"), F.col(f"v{p.column}").alias("v")) for t, (_, p) in enumerate(brackets)]
+    rows = view.select(F.inline(F.array(*entries))).filter("t is not null").collect()
+    held = {key: sorted(r["v"] for r in rows if r["t"] == t) for t, (key, _) in enumerate(brackets)}
+    return [(p, held[(p.column, p.low, p.high)][p.rank - p.below]) for p in places]
+
+
+def _bracket(view: DataFrame, places: list[_Place]) -> list[tuple[_Place, float | None]]:
+    """One pass for sketches, one for exact counts at the ends they name."""
+    if not places:
+        return []
+    ends = []
+    for i, p in enumerate(places):
+        share, slack = (p.rank - p.below) / (p.upto - p.below), 1.5 / _ACCURACY
+        around = [max(0.0, share - slack), min(1.0, share + slack)]
+        ends.append(F.percentile_approx(F.when(p.inside(), F.col(f"v{p.column}")), around, _ACCURACY).alias(f"e{i}"))
+    named = view.agg(*ends).first()
+    tests = []
+    for i, p in enumerate(places):
+        v = F.col(f"v{p.column}")
+        for j, end in enumerate(named[f"e{i}"]):
+            tests += [F.count_if(v < F.lit(end)).alias(f"b{i}_{j}"), F.count_if(v == F.lit(end)).alias(f"a{i}_{j}")]
+    counted = view.agg(*tests).first()
+    return [(p, p.settle(*named[f"e{i}"], [counted[f"{t}{i}_{j}"] for j in (0, 1) for t in "ba"])) for i, p in enumerate(places)]
 
 
 def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:

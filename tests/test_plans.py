@@ -29,7 +29,10 @@ def test_lookup_splits_hot_and_null_keys(spark, tiny_hot, how):
     assert "_piece" in got._jdf.queryExecution().toString()
 
 
-def test_order_statistics_match_sorting(spark):
+@pytest.mark.parametrize("read_out, accuracy", [(4096, 2000), (5, 10)])
+def test_order_statistics_match_sorting(spark, monkeypatch, read_out, accuracy):
+    monkeypatch.setattr(ranking, "_READ_OUT", read_out)
+    monkeypatch.setattr(ranking, "_ACCURACY", accuracy)
     rng = np.random.default_rng(0)
     columns = {
         "skewed": rng.lognormal(0, 6, 3000), "ties": rng.integers(0, 5, 3000).astype(float),
@@ -43,6 +46,19 @@ def test_order_statistics_match_sorting(spark):
         assert got[c] == list(np.sort(values)[ranks])
 
 
+def test_heavy_tails_need_no_more_passes(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_READ_OUT", 100)
+    monkeypatch.setattr(ranking, "_ACCURACY", 100)
+    passes = []
+    for name in ("_bracket", "_read_out"):
+        inner = getattr(ranking, name)
+        monkeypatch.setattr(ranking, name, lambda view, places, inner=inner: (passes.append(bool(places)), inner(view, places))[1])
+    values = np.exp(np.random.default_rng(4).normal(0, 80, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
+    assert ranking.medians(df, {"v": F.col("v")})["v"] == float(np.median(values))
+    assert sum(passes) <= 4
+
+
 def test_medians_skip_missing_and_report_empty(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (4.0, None), (2.0, None)], "a double, b double")
     assert ranking.medians(df, {"a": F.col("a"), "b": F.col("b")}) == {"a": 2.0, "b": None}
