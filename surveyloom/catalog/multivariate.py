@@ -225,20 +225,56 @@ def nearest_centers(spark, folder):
     return customers.select("c_custkey", kmeans.nearest_center(views, np.array(_CENTERS)).alias("center"))
 
 
+_SQUARED = """s AS (SELECT *, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) OVER (PARTITION BY p) AS a,
+        min(CASE WHEN own <> other THEN total / n END) OVER (PARTITION BY p) AS b FROM d),
+    o AS (SELECT p, any_value(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM s GROUP BY p)"""
+
+
 @query(f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    d AS (SELECT a.vec_id AS p, a.label AS own, b.label AS other, avg(list_distance(a.e, b.e)) AS mean, sum(list_distance(a.e, b.e)) AS total, count(*) AS n
-          FROM v a, v b GROUP BY 1, 2, 3),
-    s AS (SELECT p, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN mean END) AS b FROM d GROUP BY 1)
-    SELECT {sql_round('avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette, count(*) AS n FROM s""")
+    x AS (SELECT vec_id, label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
+    c AS (SELECT label, max(m) AS n, sum(q) AS q, list(s ORDER BY i) AS s
+          FROM (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS m FROM x GROUP BY label, i) GROUP BY label),
+    d AS (SELECT vec_id AS p, v.label AS own, c.label AS other, c.n AS n,
+          c.n * list_inner_product(e, e) - 2 * list_inner_product(e, c.s) + c.q AS total FROM v, c),
+    {_SQUARED} SELECT {sql_round('avg(s)')} AS squared_silhouette, count(*) AS n FROM o""")
 def silhouette_given_labels(spark, folder):
     spread = _spread_embeddings(spark, folder)
-    return diagnostics.silhouette_of(spread, [f"e{i}" for i in range(64)], "label", "vec_id").select(rounded("silhouette"), "n")
+    return diagnostics.silhouette_of(spread, [f"e{i}" for i in range(64)], "label", "vec_id").select(rounded("squared_silhouette"), "n")
 
 
-@query()
+# Two groups of balances far apart: the best two clusters are the best cut of the sorted values.
+_TWO_GROUPS = "SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN c_acctbal / 10 ELSE c_acctbal / 10 + 5000 END AS x FROM customer"
+_BEST_CUT = f"""g AS ({_TWO_GROUPS}), v AS (SELECT x, count(*) AS w FROM g GROUP BY x),
+    r AS (SELECT x, sum(w) OVER up AS n, sum(w * x) OVER up AS s, sum(w * x * x) OVER up AS q, sum(w) OVER () AS m, sum(w * x) OVER () AS t,
+          sum(w * x * x) OVER () AS z FROM v WINDOW up AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+    cut AS (SELECT x AS edge FROM r WHERE n < m ORDER BY q - s * s / n + (z - q) - (t - s) * (t - s) / (m - n), x LIMIT 1)"""
+
+
+def _two_groups(spark, folder):
+    return spark.sql(_TWO_GROUPS.replace("FROM customer", "FROM {c}"), c=table(spark, folder, "customer"))
+
+
+@query(f"WITH {_BEST_CUT} SELECT c_custkey, CASE WHEN x <= edge THEN 'Cluster 0' ELSE 'Cluster 1' END AS \"Cluster\" FROM g, cut")
+def kmeans_best_cut(spark, folder):
+    """Labels of the two best clusters of one column, which SQL finds by prefix sums."""
+    made = kmeans.kmeans(_two_groups(spark, folder), ["x"], 2, "c_custkey")
+    return made.table.select("c_custkey", "Cluster")
+
+
+@query(f"""WITH {_BEST_CUT}, y AS (SELECT c_custkey AS p, x, CASE WHEN x <= edge THEN 0 ELSE 1 END AS own FROM g, cut),
+    c AS (SELECT own AS other, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM y GROUP BY own),
+    d AS (SELECT p, own, other, n, n * x * x - 2 * x * s + q AS total FROM y, c),
+    {_SQUARED} SELECT CAST(2 AS INTEGER) AS k, {sql_round('avg(s)')} AS squared_silhouette, count(*) AS n FROM o""")
 def silhouette_by_k(spark, folder):
-    customers = table(spark, folder, "customer")
-    return diagnostics.silhouette_by_k(customers, ["c_acctbal", "c_nationkey"], 6, "c_custkey", standardize=True)
+    by_k = diagnostics.silhouette_by_k(_two_groups(spark, folder), ["x"], 2, "c_custkey")
+    return by_k.select("k", rounded("squared_silhouette"), "n")
+
+
+@query(f"WITH {_BEST_CUT}, y AS (SELECT count(DISTINCT x <= edge) AS k FROM g, cut) SELECT CAST(k AS INTEGER) AS k FROM y")
+def suggested_k(spark, folder):
+    """Two groups far apart suggest two clusters."""
+    by_k = diagnostics.silhouette_by_k(_two_groups(spark, folder), ["x"], 5, "c_custkey")
+    return spark.createDataFrame([(diagnostics.suggest_k(by_k),)], "k int")
 
 
 def _kdistance_sql(kth: int) -> str:
@@ -257,9 +293,9 @@ def k_distance(spark, folder):
     return found.select("n", "kth_neighbor", *[rounded(f"p{p}") for p in diagnostics.PERCENTILES], rounded("max"))
 
 
-@query()
+@query(f"SELECT * FROM orders WHERE o_totalprice IS NOT NULL ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-{sample.SAMPLE_SEED}'), o_orderkey LIMIT 2000")
 def seeded_sample(spark, folder):
-    return sample.seeded_sample(table(spark, folder, "orders"), ["o_totalprice"], "o_orderkey", diagnostics.KDISTANCE_ROWS)
+    return sample.seeded_sample(table(spark, folder, "orders"), ["o_totalprice"], "o_orderkey", 2000)
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id % CAST(ceil((SELECT count(*) FROM events) / 4000) AS BIGINT) = 0")

@@ -34,20 +34,19 @@ def names_an_id(name: str) -> bool:
 
 
 def clean_label(text: str) -> str:
-    """Turn a run label into something usable inside a column name."""
-    words = "_".join(text.split())
-    return re.sub(r"_+", "_", re.sub(r"[^\w-]", "_", words, flags=re.ASCII)).strip("_")
+    """A run label as part of a column name: its runs of letters, digits and hyphens, joined by one underscore."""
+    return "_".join(re.findall(r"[A-Za-z0-9-]+", text))
 
 
 def shared_label(names: list[str]) -> str | None:
-    """The prefix or suffix the names share once counters are stripped, if any."""
+    """The words several names begin or end with, whichever are longer, without counters; None if they share none."""
     if len(names) < 2:
         return None
-    head = re.sub(r"[\d_\-\s]+$", "", os.path.commonprefix(names))
-    tail = os.path.commonprefix([n[::-1] for n in names])[::-1]
-    tail = re.sub(r"^[\d_\-\s]+", "", tail)
-    label = clean_label(max(head, tail, key=len))
-    return label if len(label) >= 2 else None
+    ends = (os.path.commonprefix(names), os.path.commonprefix([n[::-1] for n in names])[::-1])
+    counters = r"[\d\W_]*"
+    shared = [re.fullmatch(rf"{counters}(.*?){counters}" if i else rf"(.*?){counters}", e, re.DOTALL)[1] for i, e in enumerate(ends)]
+    label = clean_label(max(shared, key=len))
+    return label if len(label) > 1 else None
 
 
 def score_names(label: str, k: int) -> list[str]:

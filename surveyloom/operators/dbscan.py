@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
 from surveyloom.operators.missing import distance_views
+from surveyloom.operators.neighbors import RadiusGraph
 from surveyloom.plans.components import components
 from surveyloom.plans.ranking import dense_index
 from surveyloom.plans.scratch import materialize, row_count
@@ -40,8 +41,6 @@ def _around(cells: DataFrame, d: int, eps: float, side: float, ahead: bool = Fal
     ``ahead`` keeps one of the two directions between a pair of cells.
     """
     reach = int(math.sqrt(d) * (1 + _MARGIN)) + 1
-    if (2 * reach + 1) ** d > _MAX_OFFSETS:
-        raise ValueError(f"{d} axes are too many for grid neighbours")
     steps = [f"_o{i}" for i in range(d)]
     for o in steps:
         cells = cells.withColumn(o, F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
@@ -264,28 +263,53 @@ def _labels(grid: Grid) -> DataFrame:
     return settled.unionByName(loose)
 
 
-def _grid(df: DataFrame, columns: Sequence[str], eps: float, min_samples: int, row_id: str, standardize: bool) -> Grid:
+def _wide_labels(points: DataFrame, names: Sequence[str], eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Core row ids, and (row_id, cluster), where the cells around a cell are too many to list."""
+    graph = RadiusGraph(points, names, eps)
+    counted = materialize(graph.places.join(graph.neighbour_counts(), "id"), "counted")
+    core, rest = counted.filter(F.col("n") >= min_samples).drop("n"), counted.filter(F.col("n") < min_samples).drop("n")
+    rooted = components(core.select(F.col("id").alias("node")), graph.links(core))
+    numbered = dense_index(rooted, "root", "cluster")
+    clusters = materialize(rooted.join(numbered, "root").select(F.col("node").alias("id"), "cluster"), "clusters")
+    labelled = core.drop("w").join(clusters, "id").withColumnRenamed("cluster", "w")
+    border = graph.least_label(rest, labelled).select("id", F.col("label").alias("cluster"))
+    found = clusters.unionByName(border)
+    rows = points.join(graph.places.select(*names, "id"), list(names)).select("row_id", "id")
+    return rows.join(core.select("id"), "id", "left_semi").select("row_id"), rows.join(found, "id", "left").select("row_id", "cluster")
+
+
+def _points(df: DataFrame, columns: Sequence[str], eps: float, row_id: str, standardize: bool) -> tuple[DataFrame, list[str]]:
     columns = list(columns)
     if not eps > 0:
         raise ValueError("eps must be above 0")
     names = [f"x{i}" for i in range(len(columns))]
     views = distance_views(df, columns, standardize)
-    points = df.select(col(row_id).cast("bigint").alias("row_id"), *[v.alias(x) for v, x in zip(views, names)])
-    return Grid(points, names, float(eps), int(min_samples))
+    return df.select(col(row_id).cast("bigint").alias("row_id"), *[v.alias(x) for v, x in zip(views, names)]), names
+
+
+def _few_axes(names: Sequence[str]) -> bool:
+    return (2 * (int(math.sqrt(len(names)) * (1 + _MARGIN)) + 1) + 1) ** len(names) <= _MAX_OFFSETS
 
 
 def core_points(
     df: DataFrame, columns: Sequence[str], eps: float, min_samples: int, row_id: str, standardize: bool = False,
 ) -> DataFrame:
     """Row ids with at least ``min_samples`` rows within eps, themselves included."""
-    return _grid(df, columns, eps, min_samples, row_id, standardize).core_points().select("row_id")
+    points, names = _points(df, columns, eps, row_id, standardize)
+    if not _few_axes(names):
+        return _wide_labels(points, names, float(eps), int(min_samples))[0]
+    return Grid(points, names, float(eps), int(min_samples)).core_points().select("row_id")
 
 
 def dbscan_labels(
     df: DataFrame, columns: Sequence[str], eps: float, min_samples: int, row_id: str, standardize: bool = False,
 ) -> DataFrame:
-    """(row_id, label): "Cluster i" or "Noise" for every row."""
-    labels = _labels(_grid(df, columns, eps, min_samples, row_id, standardize))
+    """(row_id, label): "Cluster i" or "Noise" for every row, on any number of axes."""
+    points, names = _points(df, columns, eps, row_id, standardize)
+    if _few_axes(names):
+        labels = _labels(Grid(points, names, float(eps), int(min_samples)))
+    else:
+        labels = _wide_labels(points, names, float(eps), int(min_samples))[1]
     name = F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))
     return labels.select("row_id", F.coalesce(name, F.lit("Noise")).alias("label"))
 

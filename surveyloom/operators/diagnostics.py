@@ -1,4 +1,4 @@
-"""Diagnostics on a seeded sample: silhouette by k and k-distance percentiles."""
+"""Diagnostics of clusterings: silhouettes and k-distances of all rows."""
 
 from __future__ import annotations
 
@@ -6,35 +6,39 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.functions.numeric import as_number, col
+from surveyloom.functions.numeric import as_number, col, label_of
 from surveyloom.operators.kmeans import SEEDS, Fit, best_fit, fit_all, nearest
 from surveyloom.operators.missing import zscore_views
-from surveyloom.operators.sample import draw
-from surveyloom.plans.scratch import materialize
+from surveyloom.operators.neighbors import kth_distances, percentiles
+from surveyloom.operators.sample import draw_order
+from surveyloom.plans.scratch import materialize, row_count
+from surveyloom.plans.vectors import PARTIAL_SCHEMA, matrix_of, partial_batch, tree_sum
 
-# Sample sizes and the smallest usable inputs.
-SILHOUETTE_ROWS = 1200
-KDISTANCE_ROWS = 2000
+# The smallest usable input and the percentiles shown.
 MIN_SILHOUETTE_ROWS = 10
 PERCENTILES = (50, 75, 90, 95)
 
 
-def _sampled(df: DataFrame, columns: Sequence[str], row_id: str, cap: int, standardize: bool, extra: Sequence[str] = ()):
-    """At most ``cap`` complete rows with coordinates in the units of the whole table."""
+def _points(df: DataFrame, columns: Sequence[str], row_id: str, standardize: bool, label: str | None = None, rows: int | None = None):
+    """Complete rows as row_id, x0, x1 ... (and label), in the units of the whole table; all of them unless ``rows`` says fewer."""
     views = {c: as_number(df, c) for c in columns}
     if standardize:
         views = zscore_views(df, views)
     names = [f"x{i}" for i in range(len(columns))]
-    carried = df.select(col(row_id).cast("bigint").alias("row_id"), *[views[c].alias(x) for c, x in zip(columns, names)],
-                        *[col(e) for e in extra])
-    return materialize(draw(carried.dropna(subset=names), "row_id", cap), "sample"), names
+    labels = [] if label is None else [F.coalesce(label_of(df, label), F.lit("")).alias("label")]
+    carried = df.select(col(row_id).cast("bigint").alias("row_id"), *[views[c].alias(x) for c, x in zip(columns, names)], *labels)
+    whole = carried.dropna(subset=names)
+    if rows is not None:
+        whole = whole.orderBy(draw_order("row_id"), "row_id").limit(rows)
+    return materialize(whole, "points"), names
 
 
 def _matrix(sample: DataFrame, names: Sequence[str]) -> tuple[list, np.ndarray]:
-    """The sample (never above its cap) in row-id order."""
+    """A sample of the size the caller asked for, in row-id order."""
     rows = sample.orderBy("row_id").collect()
     return rows, np.array([[r[x] for x in names] for r in rows], dtype=float).reshape(-1, len(names))
 
@@ -46,10 +50,10 @@ def _squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def silhouettes(sample: DataFrame, names: Sequence[str], points: np.ndarray, labelings: dict[int, np.ndarray]) -> DataFrame:
-    """Mean silhouette of each labeling of the sample.
+def sample_silhouettes(sample: DataFrame, names: Sequence[str], points: np.ndarray, labelings: dict[int, np.ndarray]) -> DataFrame:
+    """Mean Euclidean silhouette of each labeling of a sample.
 
-    Every task holds the capped sample and scores its own rows against it; the
+    Every task holds the sample and scores its own rows against it; the
     distance matrix never exists as a whole. A singleton scores 0, and a
     labeling with one cluster scores 0 throughout.
     """
@@ -83,65 +87,137 @@ def silhouettes(sample: DataFrame, names: Sequence[str], points: np.ndarray, lab
     )
 
 
-def silhouette_of(df: DataFrame, columns: Sequence[str], label: str, row_id: str, standardize: bool = False) -> DataFrame:
-    """Mean silhouette of labels the table already carries, on the seeded sample."""
-    sample, names = _sampled(df, columns, row_id, SILHOUETTE_ROWS, standardize, extra=[label])
-    rows, points = _matrix(sample, names)
-    labels = np.array([str(r[label]) for r in rows])
-    return silhouettes(sample, names, points, {0: labels}).select("silhouette", "n")
+def _scores(x: np.ndarray, own: np.ndarray, sizes: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Silhouettes in squared distance of rows, from the size, vector sum and sum of squares of every cluster.
+
+    The squared distances of x to a cluster's n rows add up to
+    n |x|^2 - 2 x.S + Q, so no pair of rows is looked at.
+    """
+    rows = np.arange(len(x))
+    total = np.maximum((x * x).sum(axis=1)[:, None] * sizes - 2 * x @ sums.T + squares, 0)
+    inside = total[rows, own] / np.maximum(sizes[own] - 1, 1)
+    mean = total / sizes
+    mean[rows, own] = np.inf
+    outside = mean.min(axis=1)
+    top = np.maximum(inside, outside)
+    flat = (sizes[own] == 1) | (top == 0) | ~np.isfinite(outside)
+    return np.where(flat, 0.0, (outside - inside) / np.where(flat, 1.0, top))
+
+
+def _mean_scores(points: DataFrame, names: Sequence[str], center: np.ndarray, clusters: dict[int, tuple], codes) -> DataFrame:
+    """(k, squared_silhouette, n) of labelings; ``codes(batch, x)`` gives each labeling's cluster numbers."""
+    def score(batches):
+        for batch in batches:
+            x = matrix_of(batch, names)
+            for k, own in codes(batch, x).items():
+                s = _scores(x - center, own, *clusters[k])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([float(s.sum())]), pa.array([len(s)], pa.int64())], names=["k", "s", "n"])
+
+    parts = points.mapInArrow(score, "k int, s double, n bigint")
+    return parts.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("squared_silhouette"), F.sum("n").alias("n"))
+
+
+def silhouette_of(
+    df: DataFrame, columns: Sequence[str], label: str, row_id: str, standardize: bool = False, sample_rows: int | None = None,
+) -> DataFrame:
+    """Mean silhouette of labels the table already carries, over all complete rows, in squared distance.
+
+    With ``sample_rows`` the Euclidean silhouette of a seeded sample of that
+    many rows instead. A missing label is a cluster of its own.
+    """
+    points, names = _points(df, columns, row_id, standardize, label, sample_rows)
+    if sample_rows is not None:
+        rows, matrix = _matrix(points, names)
+        labels = np.array([r["label"] for r in rows])
+        return sample_silhouettes(points, names, matrix, {0: labels}).select("silhouette", "n")
+    center = _center(points, names)
+    moved = [F.col(x) - F.lit(float(c)) for x, c in zip(names, center)]
+    # One row for each cluster.
+    found = points.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(m) for m in moved]).alias("s"),
+        F.sum(sum((m * m for m in moved), F.lit(0.0))).alias("q")).orderBy("label").collect()
+    place = {r["label"]: i for i, r in enumerate(found)}
+    stats = (np.array([float(r["n"]) for r in found]), np.array([r["s"] for r in found]).reshape(-1, len(names)),
+             np.array([r["q"] for r in found]))
+
+    def codes(batch, x):
+        return {0: np.array([place[v] for v in batch.column("label").to_pylist()], dtype=np.int64)}
+
+    return _mean_scores(points, names, center, {0: stats}, codes).select("squared_silhouette", "n")
+
+
+def _center(points: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """The mean of all rows; sums of squares taken from it keep their digits."""
+    means = points.agg(*[F.avg(x).alias(x) for x in names]).first()
+    return np.array([means[x] or 0.0 for x in names])
 
 
 def silhouette_by_k(
-    df: DataFrame, columns: Sequence[str], max_k: int, row_id: str, standardize: bool = False,
+    df: DataFrame, columns: Sequence[str], max_k: int, row_id: str, standardize: bool = False, sample_rows: int | None = None,
     cluster: Callable[[DataFrame, Sequence[str], Sequence[tuple[int, int]]], list[Fit]] = fit_all,
 ) -> DataFrame:
-    """Mean silhouette for k = 2 up to min(max_k, rows/3), clustering the sample for each k."""
-    sample, names = _sampled(df, columns, row_id, SILHOUETTE_ROWS, standardize)
-    _, points = _matrix(sample, names)
-    distinct = len(np.unique(points, axis=0))
-    ks = range(2, min(max_k, len(points) // 3, distinct) + 1)
-    if len(points) < MIN_SILHOUETTE_ROWS or not ks:
-        return df.sparkSession.createDataFrame([], "k int, silhouette double, n bigint")
-    fits = cluster(sample, names, [(k, seed) for k in ks for seed in SEEDS])
-    labelings = {k: nearest(points, best_fit([f for f in fits if f.k == k]).centers)[0] for k in ks}
-    return silhouettes(sample, names, points, labelings).orderBy("k")
+    """Mean silhouette for k = 2 up to min(max_k, rows/3), clustering all complete rows for each k.
+
+    Distances are squared; with ``sample_rows`` a seeded sample of that many rows
+    is clustered and scored in Euclidean distance instead.
+    """
+    points, names = _points(df, columns, row_id, standardize, rows=sample_rows)
+    n, measure = row_count(points), "squared_silhouette" if sample_rows is None else "silhouette"
+    distinct = points.select(*names).distinct().limit(max_k).count()
+    ks = range(2, min(max_k, n // 3, distinct) + 1)
+    if n < MIN_SILHOUETTE_ROWS or not ks:
+        return df.sparkSession.createDataFrame([], f"k int, {measure} double, n bigint")
+    fits = cluster(points, names, [(k, seed) for k in ks for seed in SEEDS])
+    centers = {k: best_fit([f for f in fits if f.k == k]).centers for k in ks}
+    if sample_rows is not None:
+        _, matrix = _matrix(points, names)
+        return sample_silhouettes(points, names, matrix, {k: nearest(matrix, centers[k])[0] for k in ks}).orderBy("k")
+    middle, d = _center(points, names), len(names)
+
+    def add_up(batches):
+        totals = {k: np.zeros(k * (d + 2)) for k in ks}
+        for batch in batches:
+            x = matrix_of(batch, names)
+            for k in ks:
+                own, y = nearest(x, centers[k])[0], x - middle
+                totals[k] += np.concatenate([
+                    np.bincount(own, minlength=k), *[np.bincount(own, y[:, j], k) for j in range(d)],
+                    np.bincount(own, (y * y).sum(axis=1), k)])
+        yield partial_batch(totals)
+
+    sums = tree_sum(points.select(*names).mapInArrow(add_up, PARTIAL_SCHEMA), plain_scan=True)
+    clusters = {}
+    for k in ks:
+        part = sums[k].reshape(d + 2, k)
+        clusters[k] = (np.maximum(part[0], 1), part[1:-1].T, part[-1])
+
+    def codes(batch, x):
+        return {k: nearest(x, centers[k])[0] for k in ks}
+
+    return _mean_scores(points.select(*names), names, middle, clusters, codes).orderBy("k")
 
 
 def suggest_k(by_k: DataFrame) -> int | None:
     """The k with the highest silhouette, the smallest one on ties."""
-    row = by_k.orderBy(F.desc("silhouette"), "k").first()
+    row = by_k.orderBy(F.desc(by_k.columns[1]), "k").first()
     return None if row is None else row["k"]
 
 
 def k_distance(df: DataFrame, columns: Sequence[str], min_samples: int, row_id: str, standardize: bool = False) -> DataFrame:
-    """Percentiles of the distance to the (min_samples - 1)-th other point.
+    """Percentiles over all complete rows of the distance to the (min_samples - 1)-th other row.
 
-    The rank leaves the point itself out because DBSCAN counts it in. Empty
-    when min_samples is below 2 or the sample is too small.
+    The rank leaves the row itself out because DBSCAN counts it in. Empty when
+    min_samples is below 2 or there are too few rows.
     """
-    spark = df.sparkSession
-    schema = "n bigint, kth_neighbor int, " + ", ".join(f"p{p} double" for p in PERCENTILES) + ", max double"
-    kth = int(min_samples) - 1
+    spark, kth = df.sparkSession, int(min_samples) - 1
+    names = [f"p{p}" for p in PERCENTILES] + ["max"]
+    schema = "n bigint, kth_neighbor int, " + ", ".join(f"{c} double" for c in names)
     if kth < 1:
         return spark.createDataFrame([], schema)
-    sample, names = _sampled(df, columns, row_id, KDISTANCE_ROWS, standardize)
-    _, points = _matrix(sample, names)
-    n = len(points)
+    points, axes = _points(df, columns, row_id, standardize)
+    n = row_count(points)
     if n < kth + 1:
         return spark.createDataFrame([], schema)
-
-    def measure(batches):
-        for pdf in batches:
-            at = pdf["at"].to_numpy()
-            squared = _squared_distances(points[at], points)
-            squared[np.arange(len(at)), at] = np.inf
-            yield pd.DataFrame({"d": np.sqrt(np.partition(squared, kth - 1, axis=1)[:, kth - 1])})
-
-    distances = spark.range(n).select(F.col("id").alias("at")).mapInPandas(measure, "d double")
-    # n never exceeds the sampling cap, so sorting inside one array is bounded
-    ordered = distances.agg(F.array_sort(F.collect_list("d")).alias("d"))
-    return ordered.select(
-        F.lit(n).cast("bigint").alias("n"), F.lit(kth).alias("kth_neighbor"),
-        *[F.element_at("d", min(n - 1, int(p / 100 * n)) + 1).alias(f"p{p}") for p in PERCENTILES],
-        F.element_at("d", n).alias("max"),
-    )
+    found = percentiles(kth_distances(points, axes, kth), n, PERCENTILES)
+    return spark.createDataFrame([(n, kth, *[found[c] for c in names])], schema)

@@ -20,7 +20,7 @@ from surveyloom.plans.vectors import PARTIAL_SCHEMA, matrix_of, partial_batch, t
 SEEDS = tuple(range(42, 52))
 MAX_ITERATIONS = 300
 
-_SEEDING_ROWS = 4096
+_SEEDING_ROUNDS = 4
 _EXPRESSION_TERMS = 600
 
 
@@ -31,6 +31,7 @@ class Fit:
     centers: np.ndarray
     inertia: float
     iterations: int
+    converged: bool = False
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,37 +52,89 @@ def nearest_center(views: Sequence[Column], centers: np.ndarray) -> Column:
     return F.array_min(F.array(*options)).getField("c")
 
 
-def _plus_plus(points: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Starting centres spread out in proportion to squared distance."""
+def _plus_plus(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starting centres spread out in proportion to weight and squared distance."""
     rng = np.random.default_rng(seed)
-    centers = [points[rng.integers(len(points))]]
+
+    def pick(mass: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(np.cumsum(mass), rng.random() * mass.sum(), side="right")
+        return points[min(at, np.flatnonzero(mass)[-1])]
+
+    centers = [pick(weights)]
     gap = np.full(len(points), np.inf)
     while len(centers) < k:
         gap = np.minimum(gap, ((points - centers[-1]) ** 2).sum(axis=1))
-        total = gap.sum()
-        if total <= 0:
+        if not (gap > 0).any():
             break
-        centers.append(points[min(np.searchsorted(np.cumsum(gap), rng.random() * total), len(points) - 1)])
+        # a point whose weight was not counted can still be needed to reach k
+        mass = gap * weights
+        centers.append(pick(mass if mass.sum() > 0 else gap))
     return np.array(centers)
 
 
-def _seeding_points(points: DataFrame, names: Sequence[str], k: int, seed: int) -> np.ndarray:
-    """A bounded random draw to place the first centres; labels never depend on it alone.
+def _keep_least(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(keys) <= n:
+        return keys, rows
+    kept = np.argpartition(keys, n - 1)[:n]
+    return keys[kept], rows[kept]
+
+
+def _race(points: DataFrame, names: Sequence[str], key, n: int) -> np.ndarray:
+    """Coordinates of the n rows with the least finite ``key(x, row_ids)``; each task sends only its own n."""
+    def run(batches):
+        keys, rows = np.zeros(0), np.zeros((0, len(names)))
+        for batch in batches:
+            x = matrix_of(batch, names)
+            found = key(x, batch.column("row_id").to_numpy())
+            there = np.isfinite(found)
+            keys, rows = _keep_least(np.append(keys, found[there]), np.concatenate([rows, x[there]]), n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), *(pa.array(rows[:, j]) for j in range(len(names)))], names=["key", *names])
+
+    schema = ", ".join(f"{c} double" for c in ("key", *names))
+    rows = points.select("row_id", *names).mapInArrow(run, schema).orderBy("key", *names).limit(n).collect()
+    return np.array([[r[c] for c in names] for r in rows], dtype=float).reshape(-1, len(names))
+
+
+def _chance(row_ids: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in (0, 1) that only row and seed decide."""
+    mixed = row_ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+
+def _seeding_points(points: DataFrame, names: Sequence[str], k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates for starting centres, drawn from the whole table, and the rows nearest to each.
 
-    When one repeated point crowds the draw below k distinct places, the draw
-    is taken again from distinct points.
+    Each round draws 2k rows with a chance in proportion to their squared
+    distance from the candidates so far, until there are enough. When every row
+    lies on a candidate there are no other places, so too few means too few.
     """
-    def draw(rows: DataFrame, key: Sequence[str]) -> np.ndarray:
-        order = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-        taken = rows.orderBy(order, *key).limit(_SEEDING_ROWS).select(*names).collect()
-        return np.array([list(r) for r in taken], dtype=float).reshape(-1, len(names))
+    chosen = np.unique(_race(points, names, lambda x, ids: _chance(ids, seed), 1), axis=0)
+    done = 0
+    while len(chosen) and (done < _SEEDING_ROUNDS or len(chosen) < k):
+        done += 1
+
+        def key(x, ids, chosen=chosen, salt=seed + 1000 * done):
+            gap = nearest(x, chosen)[1]
+            with np.errstate(divide="ignore"):
+                return np.where(gap > 0, -np.log(_chance(ids, salt)) / gap, np.inf)
+
+        more = _race(points, names, key, 2 * k)
+        if not len(more):
+            break
+        chosen = np.unique(np.concatenate([chosen, more]), axis=0)
+    if len(chosen) < k:
+        raise ValueError(f"only {len(chosen)} distinct points, cannot form {k} clusters")
+
+    def count(batches):
+        total = np.zeros(len(chosen))
+        for batch in batches:
+            total += np.bincount(nearest(matrix_of(batch, names), chosen)[0], minlength=len(chosen))
+        yield partial_batch({0: total})
 
-    sample = draw(points, ["row_id"])
-    if len(np.unique(sample, axis=0)) < k:
-        sample = draw(points.select(*names).distinct(), names)
-        if len(sample) < k:
-            raise ValueError(f"only {len(sample)} distinct points, cannot form {k} clusters")
-    return sample
+    return chosen, tree_sum(points.select(*names).mapInArrow(count, PARTIAL_SCHEMA), plain_scan=True)[0]
 
 
 def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int, int]]) -> list[Fit]:
@@ -93,8 +146,8 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
     """
     d = len(names)
     largest = max(k for k, _ in configs)
-    sample = _seeding_points(points, names, largest, SEEDS[0])
-    fits = [Fit(k, seed, _plus_plus(sample, k, seed), np.inf, 0) for k, seed in configs]
+    candidates, weights = _seeding_points(points, names, largest, SEEDS[0])
+    fits = [Fit(k, seed, _plus_plus(candidates, weights, k, seed), np.inf, 0) for k, seed in configs]
     for f in fits:
         if len(f.centers) < f.k:
             raise ValueError(f"fewer than {f.k} distinct points")
@@ -134,6 +187,7 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
                 size = max(float((centers**2).sum()), 1e-300)
                 fit.centers = centers
                 if moved <= 1e-20 * size:
+                    fit.converged = True
                     active.discard(i)
             if fit.iterations >= MAX_ITERATIONS:
                 active.discard(i)
@@ -141,16 +195,16 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
 
 
 def _farthest(points: DataFrame, names: Sequence[str], centers: np.ndarray, n: int) -> np.ndarray:
-    """The n distinct points farthest from their nearest centre."""
+    """The n distinct points farthest from their nearest centre; each task sends its own n."""
     def measure(batches):
+        best = np.zeros((0, len(names) + 1))
         for batch in batches:
             x = matrix_of(batch, names)
-            _, squared = nearest(x, centers)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[:, j]) for j in range(x.shape[1])), pa.array(squared)], names=[*names, "gap"])
+            best = np.unique(np.concatenate([best, np.column_stack([-nearest(x, centers)[1], x])]), axis=0)[:n]
+        yield pa.RecordBatch.from_arrays([pa.array(best[:, j]) for j in range(best.shape[1])], names=["gap", *names])
 
-    schema = ", ".join(f"{c} double" for c in (*names, "gap"))
-    rows = points.select(*names).mapInArrow(measure, schema).distinct().orderBy(F.desc("gap"), *names).limit(n).collect()
+    schema = ", ".join(f"{c} double" for c in ("gap", *names))
+    rows = points.select(*names).mapInArrow(measure, schema).distinct().orderBy("gap", *names).limit(n).collect()
     return np.array([[r[c] for c in names] for r in rows])
 
 
@@ -189,6 +243,7 @@ class KMeansResult:
     centers: np.ndarray
     inertia: float
     iterations: int
+    converged: bool
 
 
 def kmeans(
@@ -197,7 +252,8 @@ def kmeans(
     """Label every row "Cluster i"; gaps take the column median first.
 
     Ten seeded starts, the lowest inertia wins, and clusters are numbered in
-    the order of their centres.
+    the order of their centres. ``converged`` says whether the winning start came
+    to rest within MAX_ITERATIONS.
     """
     columns = list(columns)
     if k < 1:
@@ -208,4 +264,4 @@ def kmeans(
     best = best_fit(fit_all(points, names, [(k, seed) for seed in SEEDS]))
     centers = in_center_order(best.centers)
     name = F.concat(F.lit("Cluster "), assign(df, views, centers).cast("string"))
-    return KMeansResult(df.withColumn(label, name), centers, best.inertia, best.iterations)
+    return KMeansResult(df.withColumn(label, name), centers, best.inertia, best.iterations, best.converged)

@@ -66,11 +66,13 @@ def run_pca(
     variables: Sequence[str] | None = None,
     k: int = 3,
     standardize: bool = True,
-    label: str = "",
+    label: str | None = "",
     missing: str = "median",
 ) -> PcaRun:
     """Decompose the variables and add score columns named after the run label.
 
+    Without a label (None) the run is named after what the variables' names share.
+
     A re-run of a label replaces only its own columns. Under "complete" rows
     with a gap get null scores; the other strategies fill every gap first.
     """
@@ -81,7 +83,7 @@ def run_pca(
     if p < 2:
         raise ValueError("a PCA needs at least two numeric variables")
     require_numbers(df, variables)
-    label = names.clean_label(label)
+    label = names.clean_label(names.shared_label(variables) or "" if label is None else label)
     report = missing_report(df, variables)
     n = df.count()
     gaps = report.agg(F.sum("missing")).first()[0]

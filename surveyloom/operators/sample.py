@@ -2,127 +2,32 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
 from surveyloom.operators.missing import complete_test
 
-# The sampling seed, and the increment of the 32-bit generator
-# (mulberry32) whose stream the sample follows.
-SAMPLE_SEED = 0x5CA7
-INCREMENT = 0x6D2B79F5
+SAMPLE_SEED = 7
+# Fixed value: about how many rows a background layer shows.
 SHADOW_ROWS = 4000
 
-_BUCKETS = 4096
-_SPLIT = 64
 
-
-def uniform_stream(seed: int, n: int) -> np.ndarray:
-    """The first n numbers in [0, 1) of the 32-bit generator started at ``seed``."""
-    counter = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(INCREMENT) + np.uint64(seed)
-    a = counter.astype(np.uint32)
-    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
-    t = (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))) ^ t
-    return (t ^ (t >> np.uint32(14))) / 2.0**32
-
-
-def sample_positions(n: int, cap: int, seed: int = SAMPLE_SEED) -> list[int]:
-    """``cap`` positions out of n without replacement, ascending.
-
-    A partial shuffle that stores only displaced positions: memory grows with
-    the cap, not with n.
-    """
-    if n <= cap:
-        return list(range(n))
-    moved: dict[int, int] = {}
-    chosen = []
-    for i, u in enumerate(uniform_stream(seed, cap)):
-        j = i + int(u * (n - i))
-        chosen.append(moved.get(j, j))
-        moved[j] = moved.get(i, i)
-    return sorted(chosen)
-
-
-def ids_at(df: DataFrame, row_id: str, positions: Sequence[int]) -> list[int]:
-    """Unique row ids at the given places of their ascending order.
-
-    Ids are counted in buckets, and only buckets holding a wanted place are
-    counted more finely, so no row is sorted or shuffled to find its place. The
-    driver's work grows with the number of places alone.
-    """
-    ids = df.select(col(row_id).cast("bigint").alias("id"))
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return []
-    # widths are powers of one number, so finer buckets nest in coarser ones
-    width = 1
-    while (high - low) // width >= _BUCKETS:
-        width *= _SPLIT
-    pending = {0: (0, sorted(positions))}
-    parent, rows, found = None, ids, []
-    while True:
-        held = _settle(_count_buckets(rows, low, width), pending, parent)
-        pending = {}
-        for start, (below, places, n, least) in held.items():
-            if n == 1 or width == 1:
-                found.append(least)
-            else:
-                pending[start] = (below, places)
-        if not pending:
-            return sorted(found)
-        parent, width = width, width // _SPLIT
-        rows = ids.filter(_bucket(low, parent).isin(list(pending)))
-
-
-def _bucket(low: int, width: int) -> Column:
-    offset = F.col("id") - low
-    return offset - F.pmod(offset, F.lit(width))
-
-
-def _count_buckets(ids: DataFrame, low: int, width: int) -> list[tuple[int, int, int]]:
-    rows = ids.groupBy(_bucket(low, width).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).collect()
-    return sorted((r["start"], r["n"], r["least"]) for r in rows)
-
-
-def _settle(counts, pending, parent):
-    """Buckets that hold wanted places: rows below them, the places, rows, smallest id.
-
-    ``pending`` maps each coarser bucket to the rows below it and its places.
-    """
-    seen: dict[int, int] = {}
-    held = {}
-    for start, n, least in counts:
-        key = start - start % parent if parent else 0
-        first, places = pending[key]
-        below = seen.get(key, first)
-        seen[key] = below + n
-        inside = places[bisect_left(places, below) : bisect_left(places, below + n)]
-        if inside:
-            held[start] = (below, inside, n, least)
-    return held
+def draw_order(row_id: str, seed: int = SAMPLE_SEED) -> Column:
+    """A random order of the rows that only their id and the seed decide."""
+    return F.md5(F.concat(col(row_id).cast("string"), F.lit(f"-{seed}")).cast("binary"))
 
 
 def seeded_sample(df: DataFrame, columns: Sequence[str], row_id: str, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Up to ``cap`` rows complete in the columns, the same ones on every run.
+    """Up to ``cap`` rows complete in the columns, the same ones on every run and layout.
 
     Rows are drawn at random and not by stride, which on ordered files would
-    land on one stratum.
+    land on one stratum. Every task keeps its own first ``cap`` rows of the
+    random order, so nothing is sorted as a whole.
     """
-    return draw(df.filter(complete_test(df, columns)), row_id, cap, seed)
-
-
-def draw(whole: DataFrame, row_id: str, cap: int, seed: int = SAMPLE_SEED) -> DataFrame:
-    """The seeded sample of rows already known to be complete."""
-    n = whole.count()
-    if n <= cap:
-        return whole
-    chosen = ids_at(whole, row_id, sample_positions(n, cap, seed))
-    return whole.filter(col(row_id).isin(chosen))
+    return df.filter(complete_test(df, columns)).orderBy(draw_order(row_id, seed), col(row_id)).limit(cap)
 
 
 def decimate(df: DataFrame, row_id: str, target: int = SHADOW_ROWS) -> DataFrame:

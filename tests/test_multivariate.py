@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import dbscan, diagnostics, impute, kmeans, pca, projection, sample
+from surveyloom.operators import dbscan, diagnostics, impute, kmeans, neighbors, pca, projection, sample
 
 
 def _frame(spark, x, parts=3, **extra):
@@ -113,7 +113,7 @@ def test_kmeans_keeps_k_clusters_among_copies(spark):
 def test_kmeans_restarts_an_empty_cluster(spark, monkeypatch):
     x = np.vstack([np.random.default_rng(0).normal(c, 0.1, (30, 1)) for c in (0, 5, 10)])
     df, axes = _frame(spark, x)
-    monkeypatch.setattr(kmeans, "_plus_plus", lambda points, k, seed: np.array([[0.0], [5.0], [500.0]]))
+    monkeypatch.setattr(kmeans, "_plus_plus", lambda points, weights, k, seed: np.array([[0.0], [5.0], [500.0]]))
     assert kmeans.kmeans(df, axes, 3, "id").inertia < 5
 
 
@@ -229,25 +229,13 @@ def test_projection(spark):
         projection.project(df, parts.select("a", "b"))
 
 
-def test_sample_positions_match_a_full_shuffle():
-    n, cap = 5000, 300
-    order = np.arange(n)
-    for i, u in enumerate(sample.uniform_stream(sample.SAMPLE_SEED, cap)):
-        j = i + int(u * (n - i))
-        order[[i, j]] = order[[j, i]]
-    assert sample.sample_positions(n, cap) == sorted(order[:cap].tolist())
-    assert sample.sample_positions(5, 9) == [0, 1, 2, 3, 4]
+def test_sample_follows_the_hash_order(spark):
+    import hashlib
 
-
-@pytest.mark.parametrize("ids", ["dense", "gaps", "far"])
-def test_sample_finds_rows_by_rank(spark, ids):
-    rng = np.random.default_rng(8)
-    values = {"dense": np.arange(6000), "gaps": np.sort(rng.choice(10**6, 3000, replace=False)),
-              "far": np.sort(rng.choice(10**15, 2500, replace=False) - 5 * 10**14)}[ids]
-    df = spark.createDataFrame(pd.DataFrame({"k": values, "v": np.where(np.arange(len(values)) % 7 == 0, None, 1.0)})).repartition(4)
-    whole = values[np.arange(len(values)) % 7 != 0]
+    df = spark.createDataFrame(pd.DataFrame({"k": range(3000), "v": [None if i % 7 == 0 else 1.0 for i in range(3000)]})).repartition(4)
+    order = sorted((hashlib.md5(f"{i}-{sample.SAMPLE_SEED}".encode()).hexdigest(), i) for i in range(3000) if i % 7)
     got = sorted(r["k"] for r in sample.seeded_sample(df, ["v"], "k", 400).collect())
-    assert got == whole[sample.sample_positions(len(whole), 400)].tolist()
+    assert got == sorted(i for _, i in order[:400])
 
 
 def test_sample_sees_every_stratum(spark):
@@ -259,13 +247,19 @@ def test_sample_sees_every_stratum(spark):
 def test_silhouette_rules(spark):
     x = np.array([[0.0], [0.1], [5.0], [5.1], [20.0]])
     df, axes = _frame(spark, x, g=["a", "a", "b", "b", "c"])
-    got = diagnostics.silhouette_of(df, axes, "g", "id").first()["silhouette"]
+    got = diagnostics.silhouette_of(df, axes, "g", "id", sample_rows=1200).first()["silhouette"]
     def s(i, own, other):
         a, b = abs(x[i] - x[own])[0], np.mean([abs(x[i] - x[o])[0] for o in other])
         return (b - a) / max(a, b)
     assert got == pytest.approx((s(0, 1, [2, 3]) + s(1, 0, [2, 3]) + s(2, 3, [0, 1]) + s(3, 2, [0, 1]) + 0) / 5)
     one, axes = _frame(spark, np.zeros((6, 1)), g=["a"] * 3 + ["b"] * 3)
-    assert diagnostics.silhouette_of(one, axes, "g", "id").first()["silhouette"] == 0
+    assert diagnostics.silhouette_of(one, axes, "g", "id", sample_rows=1200).first()["silhouette"] == 0
+    assert diagnostics.silhouette_of(one, axes, "g", "id").first()["squared_silhouette"] == 0
+    squared = (x - x.T) ** 2
+    own = [np.array(o) for o in ([1], [0], [3], [2])]
+    ab = [(squared[i, own[i]].mean(), min(squared[i, o].mean() for o in ([0, 1], [2, 3], [4]) if i not in o)) for i in range(4)]
+    got = diagnostics.silhouette_of(df, axes, "g", "id").first()
+    assert got["squared_silhouette"] == pytest.approx(sum((b - a) / max(a, b) for a, b in ab) / 5) and got["n"] == 5
 
 
 def test_suggest_k_finds_the_blobs(spark):
@@ -286,3 +280,46 @@ def test_k_distance_agrees_with_dbscan(spark):
     assert (row["n"], row["kth_neighbor"]) == (80, 3) and row["p50"] == pytest.approx(kth[40]) and row["max"] == pytest.approx(kth[-1])
     assert dbscan.core_points(df, axes, row["max"] * (1 + 1e-12), 4, "id").count() == 80
     assert diagnostics.k_distance(df, axes, 1, "id").count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 6])
+def test_k_distance_sees_all_rows_of_uneven_tables(spark, monkeypatch, d):
+    monkeypatch.setattr(neighbors, "_CROWD", 8)
+    monkeypatch.setattr(neighbors, "_PACK", 16)
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(size=(200, d)), np.zeros((60, d)), rng.normal(50, 0.01, (150, d)), rng.uniform(-900, 900, (20, d))])
+    df, axes = _frame(spark, x)
+    distance = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)
+    for m in (2, 5, 70):
+        row, kth = diagnostics.k_distance(df, axes, m, "id").first(), np.sort(distance[:, m - 1])
+        assert row["n"] == len(x)
+        assert [row[f"p{p}"] for p in (50, 75, 90, 95)] == pytest.approx([kth[int(p / 100 * len(x))] for p in (50, 75, 90, 95)], abs=1e-9)
+        assert row["max"] == pytest.approx(kth[-1])
+
+
+@pytest.mark.parametrize("d", [6, 9])
+def test_dbscan_on_many_axes(spark, d):
+    rng = np.random.default_rng(d)
+    x = np.concatenate([rng.normal(c, 0.4, (60, d)) for c in (0, 3)] + [rng.uniform(-4, 7, (25, d)), np.full((9, d), -8.0)])
+    df, axes = _frame(spark, x)
+    for eps, m in ((1.0, 4), (1.6, 6)):
+        near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= eps * eps
+        core = np.flatnonzero(near.sum(axis=1) >= m)
+        assert sorted(r["row_id"] for r in dbscan.core_points(df, axes, eps, m, "id").collect()) == core.tolist()
+        got = {r["row_id"]: r["label"] for r in dbscan.dbscan_labels(df, axes, eps, m, "id").collect()}
+        assert [got[i] for i in range(len(x))] == _expected_clusters(x, eps, m)
+
+
+def test_run_takes_its_label_from_the_variables(spark):
+    x = np.random.default_rng(1).normal(size=(40, 2))
+    df = spark.createDataFrame(pd.DataFrame({"mood_1": x[:, 0], "mood_2": x[:, 1]}))
+    assert pca.run_pca(df, ["mood_1", "mood_2"], k=1, label=None).columns == ["COMP_mood"]
+
+
+def test_kmeans_can_form_nearly_as_many_clusters_as_points(spark):
+    df, axes = _frame(spark, np.random.default_rng(0).normal(size=(600, 2)))
+    points, names = kmeans.narrow_points(df, [F.col(a) for a in axes], "id")
+    fits = kmeans.fit_all(points, names, [(560, 42)])
+    assert fits[0].converged and len(np.unique(fits[0].centers, axis=0)) == 560
+    with pytest.raises(ValueError, match="only 600 distinct"):
+        kmeans.fit_all(points, names, [(601, 42)])
