@@ -129,6 +129,17 @@ def categorical_profile_withheld(spark, folder):
     return profile.categorical_profile(customers, customers.columns)
 
 
+_NUMBERS = "(SELECT CAST(o_custkey % 5 AS DOUBLE) / 2 AS half FROM orders)"
+
+
+@query(_categorical_sql("(SELECT CASE WHEN half = floor(half) THEN CAST(CAST(half AS INTEGER) AS VARCHAR) ELSE CAST(half AS VARCHAR) END AS half "
+                        f"FROM {_NUMBERS})", [("half", False)]))
+def categorical_profile_numbers(spark, folder):
+    """Numbers as category values are written plainly."""
+    halves = table(spark, folder, "orders").select(((F.col("o_custkey") % 5).cast("double") / 2).alias("half"))
+    return profile.categorical_profile(halves, ["half"])
+
+
 def _histogram_sql(c):
     return f"""
     SELECT '{c}' AS "column", CAST(b.bin AS INTEGER) AS bin, coalesce(h.n, 0) AS n,

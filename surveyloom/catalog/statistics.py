@@ -144,15 +144,25 @@ def _codes_sql() -> str:
            concat_ws(',', CASE WHEN sign THEN 'impossible-sign' END, CASE WHEN far THEN 'far-outside' END,
                      CASE WHEN hole THEN 'scale-hole' END, CASE WHEN coalesce(supports, FALSE) AND tier < 3 THEN 'co-occurs' END) AS reasons,
            peers, observed, {sql_round('expected')} AS expected, {sql_round('lift')} AS lift, supports,
-           CASE WHEN final < 2 THEN TRUE WHEN final = 2 THEN FALSE ELSE coalesce(supports, FALSE) END AS suggested
-    FROM raised"""
+           CASE WHEN final < 2 THEN TRUE WHEN final = 2 THEN FALSE ELSE coalesce(supports, FALSE) END AS suggested,
+           CAST(row_number() OVER (ORDER BY best, position, x) AS INTEGER) AS place
+    FROM (SELECT *, min(final) OVER (PARTITION BY "column") AS best FROM raised)"""
 
 
 @query(_codes_sql())
 def code_scan(spark, folder):
     scan = codes.scan_codes(survey(spark, folder), declared=_DECLARED)
     return scan.select("column", "position", "value", "count", "confidence", F.array_join("reasons", ",").alias("reasons"),
-                       "peers", "observed", rounded("expected"), rounded("lift"), "supports", "suggested")
+                       "peers", "observed", rounded("expected"), rounded("lift"), "supports", "suggested", "place")
+
+
+@query(f"""WITH survey AS ({SURVEY}), cells AS (SELECT * FROM ({_UNPIVOT}) WHERE x IS NOT NULL) SELECT "column", x AS value, count(*) AS count FROM cells
+    WHERE list_contains(list_transform(regexp_split_to_array('3, 9 -1', '[,\\s]+'), lambda c: CAST(c AS DOUBLE)), x) GROUP BY 1, 2""")
+def declared_codes(spark, folder):
+    """Codes typed as text are listed wherever they occur."""
+    declared = codes.parse_codes("3, 9 -1, x")
+    scan = codes.scan_codes(survey(spark, folder), declared=declared)
+    return scan.filter(F.col("value").isin(declared)).select("column", "value", "count")
 
 
 _PLAN = {"item_a": [9], "item_b": [9], "item_c": [99], "price": [-99], "item_text": [77], "absent": [1], "p_size": []}

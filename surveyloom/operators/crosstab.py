@@ -17,8 +17,6 @@ MISSING_LABEL = "N/A"
 NOISE = "Noise"
 BREAKDOWN_TOP = 6
 
-DENSE_COLUMNS = 500
-
 
 def natural_order(label: Column) -> Column:
     """Sort key that reads digits as numbers and puts Noise last."""
@@ -68,30 +66,25 @@ def crosstab(df: DataFrame, cluster: str, group: str) -> DataFrame:
     )
 
 
-def composition(df: DataFrame, cluster: str, group: str, direction: str = "cluster") -> DataFrame:
+def composition(df: DataFrame, cluster: str, group: str, direction: str = "cluster", zeros: bool = True) -> DataFrame:
     """Every row-column cell with its count and its percentage of the row section.
 
     ``direction`` "cluster" gives percentages of each cluster, "group" of each
-    group. Combinations that never occur are listed with zero, unless the matrix
-    would be wider than DENSE_COLUMNS; then the zero cells are left out.
+    group. Combinations that never occur are listed with zero unless ``zeros``
+    is false; the result has the same shape however many columns there are.
     """
     if direction not in ("cluster", "group"):
         raise ValueError("direction is 'cluster' or 'group'")
     row, column = ("cluster", "group") if direction == "cluster" else ("group", "cluster")
     cells = pair_counts(df, cluster, group).select(F.col(row).alias("row"), F.col(column).alias("column"), "n")
-    percent = F.col("n") * 100.0 / F.col("total")
-    labels = [r["column"] for r in cells.select("column").distinct().limit(DENSE_COLUMNS + 1).collect()]
-    if len(labels) > DENSE_COLUMNS:
-        totals = cells.groupBy("row").agg(F.sum("n").alias("total"))
-        return lookup(cells, totals, ["row"]).select("row", "column", "n", percent.alias("percent"))
-    wide = cells.groupBy("row").agg(
-        F.sum("n").alias("total"),
-        *[F.coalesce(F.sum(F.when(F.col("column") == c, F.col("n"))), F.lit(0)).alias(f"n{i}")
-          for i, c in enumerate(labels)],
-    )
-    return wide.select("row", "total", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(labels)
-    ]))).select("row", "column", "n", percent.alias("percent"))
+    totals = cells.groupBy("row").agg(F.sum("n").alias("total"))
+    if zeros:
+        labels = cells.agg(F.collect_set("column")).scalar()
+        listed = totals.select("row", "total", F.explode(labels).alias("column")).join(cells, ["row", "column"], "left")
+        listed = listed.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    else:
+        listed = lookup(cells, totals, ["row"])
+    return listed.select("row", "column", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "Cluster") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from surveyloom.functions import names
 from surveyloom.functions.numeric import (
-    as_number, can_hold_numbers, col, finite, is_text, label_of, number_of, number_of_stripped, round_half_up, strip,
+    as_number, can_hold_numbers, col, finite, is_text, label_of, number_of, number_of_stripped, number_text, round_half_up,
+    strip,
 )
 from surveyloom.plans.ranking import nearest_rank, order_statistics
 
@@ -211,7 +212,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     best = Window.partitionBy("idx").orderBy(F.desc("n"), F.col("txt"))
     top = (
         counts.filter(safe)
-        .select("idx", F.coalesce("txt", F.col("num").cast("string")).alias("txt"), "n")
+        .select("idx", F.coalesce("txt", number_text(F.col("num"))).alias("txt"), "n")
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= TOP_CATEGORIES)
     )
@@ -280,13 +281,11 @@ def proportions(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def shape_levels(df: DataFrame, name: str) -> DataFrame | None:
-    """Levels of a marker-shape column, or None when there are more than six."""
+def shape_levels(df: DataFrame, name: str) -> DataFrame:
+    """Levels of a marker-shape column; no rows when there are more than six."""
     levels = df.select(F.coalesce(label_of(df, name), F.lit("N/A")).alias("level")).distinct()
     found = levels.limit(MAX_SHAPE_LEVELS + 1).collect()
-    if len(found) > MAX_SHAPE_LEVELS:
-        return None
-    return df.sparkSession.createDataFrame(found, "level string")
+    return df.sparkSession.createDataFrame(found if len(found) <= MAX_SHAPE_LEVELS else [], "level string")
 
 
 def bounds(df: DataFrame, axes: Sequence[str], color: str | None = None, hidden: Sequence[str] = ()) -> DataFrame:

@@ -29,14 +29,17 @@ def transfer_by_key(
 
     Keys compare as text with numbers written one way, so 5, 5.0 and "5" meet;
     null keys match nothing. When the source repeats a key the row with the
-    largest ``order`` value wins, so ``order`` is needed unless keys are unique.
+    largest ``order`` value wins, null orders last and ties by the larger value;
+    without ``order`` a repeated key is an error.
     """
-    latest = F.max_by(F.struct(col(column).alias("v")), col(order)) if order else F.first(F.struct(col(column).alias("v")))
-    right = (
-        source.withColumn("_key", key_text(source, key)).filter("_key is not null")
-        .groupBy("_key").agg(latest.alias("_found"))
-        .select("_key", F.col("_found.v").alias(new_name))
-    )
+    value = F.struct(col(column).alias("v"))
+    place = F.struct(col(order).isNotNull(), col(order), col(column)) if order else F.lit(1)
+    keyed = source.withColumn("_key", key_text(source, key)).filter("_key is not null").groupBy("_key").agg(
+        F.max_by(value, place).alias("_found"), F.count(F.lit(1)).alias("_n"))
+    if order is None:
+        clash = F.concat(F.lit("the source repeats key "), F.col("_key"), F.lit("; name an order"))
+        keyed = keyed.filter(F.assert_true(F.col("_n") == 1, clash).isNull())
+    right = keyed.select("_key", F.col("_found.v").alias(new_name))
     left = _without(target, new_name).withColumn("_key", key_text(target, key))
     return lookup(left, right, ["_key"]).drop("_key")
 
@@ -88,8 +91,9 @@ def match_stats(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Target rows whose key occurs in the source, and whether source keys are unique."""
     keys = source.select(key_text(source, key).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     source_side = keys.agg(F.coalesce(F.max("_n") == 1, F.lit(True))).scalar()
-    left = target.select(key_text(target, key).alias("_key"))
-    found = lookup(left, keys.filter("_key is not null").withColumn("_hit", F.lit(True)), ["_key"])
+    left = target.select(key_text(target, key).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    found = left.join(keys.filter("_key is not null").select("_key", F.lit(1).alias("_hit")), "_key", "left")
     return found.agg(
-        F.count("_hit").alias("matched"), F.count(F.lit(1)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("_hit") == 1, F.col("_rows"))), F.lit(0)).alias("matched"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total"),
     ).withColumn("source_unique", source_side)

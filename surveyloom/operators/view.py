@@ -70,7 +70,7 @@ def view_rows(df: DataFrame, axes: Sequence[str], color: str, shape: str | None
         rows = lookup(rows, places, ["color"])
     else:
         rows = rows.withColumn("color_index", F.lit(None).cast("bigint"))
-    if shape and shape_levels(df, shape) is not None:
+    if shape and not shape_levels(df, shape).isEmpty():
         marks = category_index(df, shape).select(F.col("label").alias("shape"), F.col("index").alias("shape_index"))
         rows = lookup(rows, marks, ["shape"])
     else:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.operators import codes, crosstab, feedback, groups, missing, profile, search, transfer, view
 from surveyloom.operators.correlation import correlate
+from surveyloom.plans.scratch import materialize
 
 
 def _scan(spark, **columns):
@@ -39,7 +40,7 @@ def test_cooccurrence_raises_but_never_creates(spark):
     )
     a = found[("item_a", 9.0)]
     assert a["confidence"] == "likely" and "co-occurs" in a["reasons"] and a["peers"] == 2 and a["suggested"]
-    assert "same rows as 9" in a["message"]
+    assert "in the same rows by 2 other columns" in a["message"]
     assert not any(c == "child_age" for c, _ in found)
 
 
@@ -47,7 +48,7 @@ def test_declared_codes_are_listed_literally(spark):
     pdf = pd.DataFrame({"age": [float(i % 15) for i in range(60)], "txt": ["a"] * 60})
     rows = codes.scan_codes(spark.createDataFrame(pdf), declared=[9, 500]).collect()
     assert [(r["column"], r["value"], r["confidence"], r["suggested"]) for r in rows] == [("age", 9.0, None, False)]
-    assert rows[0]["message"] == "declared; the detector did not flag this column"
+    assert rows[0]["message"] == "listed because it was declared"
 
 
 def test_parse_codes():
@@ -65,8 +66,20 @@ def test_recode_keeps_everything_else_and_is_idempotent(spark):
     assert effects["t"]["replaced"] == 2 and effects["t"]["n_after"] == 0 and effects["n"]["mean_after"] == 1.5
     assert all(r["untouched_identical"] for r in effects.values())
     lines = {r["column"]: r["message"] for r in codes.describe_recode(codes.recode_effects(df, {"n": [9], "t": [5]})).collect()}
-    assert lines["n"] == "n: 1 cell blanked, n 3 to 2. mean 4.00 to 1.50, sd 4.36 to 0.71"
-    assert lines["t"] == "t: nothing matched, left unchanged."
+    assert lines["n"] == "n | 1 of 3 numbers blanked (33.3%) | mean -2.500 | sd -3.652"
+    assert lines["t"] == "t | no cell holds a planned code"
+
+
+def test_wide_tables_are_scanned_in_one_pass(spark):
+    rng = np.random.default_rng(12)
+    x = rng.integers(1, 8, size=(3105, 1156)).astype(float)
+    x[::50, :450] = 9
+    table = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>").repartition(8)
+    wide = materialize(table.select(*[F.col("v")[i].alias(f"q{i}") for i in range(x.shape[1])]), "wide")
+    found = codes.scan_codes(wide).collect()
+    assert [r["column"] for r in found] == [f"q{i}" for i in range(450)] and {r["value"] for r in found} == {9.0}
+    assert {(r["count"], r["peers"], r["confidence"]) for r in found} == {(63, 449, "likely")}
+    assert [r["place"] for r in found] == list(range(1, 451))
 
 
 def test_group_guards_and_noise(spark):
@@ -152,11 +165,28 @@ def test_natural_order_and_crosstab(spark):
     assert cells[("Cluster 2", "g")] == 2 and cells[(None, "g")] == 5 and cells[("Noise", None)] == 1
 
 
-def test_composition_sparse_beyond_the_dense_width(spark, monkeypatch, tiny_hot):
-    monkeypatch.setattr(crosstab, "DENSE_COLUMNS", 2)
-    df = spark.createDataFrame([("a", f"g{i % 4}") for i in range(12)] + [("b", "g0")], "c string, g string")
+@pytest.mark.parametrize("groups", [4, 501])
+def test_composition_has_one_shape_at_every_width(spark, tiny_hot, groups):
+    df = spark.createDataFrame([("a", f"g{i % groups}") for i in range(3 * groups)] + [("b", "g0")], "c string, g string")
     rows = {(r["row"], r["column"]): (r["n"], r["percent"]) for r in crosstab.composition(df, "c", "g").collect()}
-    assert rows[("a", "g1")] == (3, 25.0) and rows[("b", "g0")] == (1, 100.0) and ("b", "g1") not in rows
+    assert len(rows) == 2 * groups and rows[("a", "g1")] == (3, 100.0 / groups)
+    assert rows[("b", "g0")] == (1, 100.0) and rows[("b", "g1")] == (0, 0.0)
+    filled = crosstab.composition(df, "c", "g", zeros=False)
+    assert {(r["row"], r["column"]) for r in filled.collect()} == {k for k, v in rows.items() if v[0]}
+
+
+def test_numbers_as_categories_read_plainly(spark):
+    df = spark.createDataFrame([(1.0,)] * 6 + [(2.5,)] * 5, "v double")
+    assert [r["value"] for r in profile.categorical_profile(df, ["v"]).orderBy("rank").collect()] == ["1", "2.5"]
+
+
+def test_a_repeated_key_needs_an_order(spark):
+    source = spark.createDataFrame([("k", 1, 5), ("k", 2, None), ("j", 3, 1)], "key string, v int, at int")
+    target = spark.createDataFrame([("k",), ("j",)], "key string")
+    with pytest.raises(Exception, match="repeats key k"):
+        transfer.transfer_by_key(target, source, "v", "key", "new").collect()
+    got = transfer.transfer_by_key(target, source, "v", "key", "new", order="at").collect()
+    assert {r["key"]: r["new"] for r in got} == {"k": 1, "j": 3}
 
 
 def test_breakdown_refuses_individuals(spark):
