@@ -76,6 +76,35 @@ def csv_audit(spark, folder):
     return csv_table.read_csv(spark, path).audit.select("kind", "n", "sample_lines")
 
 
+@query("""SELECT 'blank-header' AS kind, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT[]) AS sample_lines, NULL AS columns FROM region HAVING count(*) > 0
+    UNION ALL SELECT 'repeated-header', 2, NULL, 'cust_1,cust_2' FROM region HAVING count(*) > 0
+    UNION ALL SELECT 'open-quote', count(*), list_sort(list(pos))[1:3], NULL
+      FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) + 1 AS pos FROM nation) WHERE n_nationkey % 4 = 1 HAVING count(*) > 0""")
+def csv_header_audit(spark, folder):
+    """A blank header, repeated headers, and lines that leave a quotation mark open."""
+    path = scratch_path(spark, "headers")
+    key = F.col("n_nationkey").cast("string")
+    line = F.concat_ws(",", key, F.when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit('"'), "n_name")).otherwise(F.col("n_name")), key, key)
+    rows = table(spark, folder, "nation").select(F.lit(1).alias("part"), "n_nationkey", line.alias("value"))
+    head = spark.createDataFrame([(0, -1, "cust,,cust,cust")], "part int, n_nationkey int, value string")
+    # nation has one row per country, so one small file is what such a table is
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("part", "n_nationkey").select("value").write.text(path)
+    found = csv_table.read_csv(spark, path, delimiter=",").audit.filter("kind in ('blank-header', 'repeated-header', 'open-quote')")
+    return found.select("kind", "n", "sample_lines", F.array_join("columns", ",").alias("columns"))
+
+
+@query("""SELECT 'too-few-cells' AS kind, count(*) AS n FROM nation WHERE n_nationkey % 5 = 2 HAVING count(*) > 0""")
+def csv_multi_line_audit(spark, folder):
+    """Quoted line breaks are sound when records are read whole; short records are still found."""
+    path = scratch_path(spark, "breaks")
+    key, two_lines = F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('\nsecond line"'))
+    line = F.when(F.col("n_nationkey") % 5 == 2, key).otherwise(F.concat_ws(",", key, two_lines))
+    rows = table(spark, folder, "nation").select(F.lit(1).alias("part"), "n_nationkey", line.alias("value"))
+    head = spark.createDataFrame([(0, -1, "key,name")], "part int, n_nationkey int, value string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("part", "n_nationkey").select("value").write.text(path)
+    return csv_table.read_csv(spark, path, delimiter=",", multi_line=True).audit.select("kind", "n")
+
+
 @query("SELECT 'dates-as-text' AS kind, 1::BIGINT AS n, 'o_orderdate' AS columns FROM orders HAVING count(*) > 0 "
        "UNION ALL SELECT 'no-rows', 0::BIGINT, NULL FROM orders HAVING count(*) = 0")
 def parquet_audit(spark, folder):
@@ -190,15 +219,16 @@ def _records(spark, folder):
     return spark.sql(_RECORDS.replace("FROM events", "FROM {e}"), e=table(spark, folder, "events"))
 
 
-@query(f"""SELECT event_id, rating, coalesce(reason, '') AS reason, count(*) AS copies, min(created_at) AS first_seen, max(created_at) AS last_seen
-    FROM ({_RECORDS}) GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+@query(f"""SELECT DISTINCT event_id, rating, why AS reason, copies, first_seen, last_seen FROM (
+    SELECT event_id, rating, why, count(*) OVER same AS copies, min(created_at) OVER same AS first_seen, max(created_at) OVER same AS last_seen
+    FROM (SELECT *, coalesce(reason, '') AS why FROM ({_RECORDS})) WINDOW same AS (PARTITION BY event_id, rating, why)) WHERE copies > 1""")
 def feedback_copies(spark, folder):
     return feedback.copies(_records(spark, folder))
 
 
-@query(f"""WITH r AS ({_RECORDS}) SELECT a.* FROM r a WHERE NOT (a.client_key IS NULL AND EXISTS (SELECT 1 FROM r b WHERE a.row_id > b.row_id
-    AND a.event_id = b.event_id AND a.rating = b.rating AND coalesce(a.reason, '') = coalesce(b.reason, '')
-    AND coalesce(a.user_message, '') = coalesce(b.user_message, '')))""")
+@query(f"""SELECT * EXCLUDE (place) FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_id, rating, coalesce(reason, ''), coalesce(user_message, '') ORDER BY row_id) AS place
+    FROM ({_RECORDS})) WHERE client_key IS NOT NULL OR event_id IS NULL OR rating IS NULL OR place = 1""")
 def feedback_without_copies(spark, folder):
     return feedback.without_copies(_records(spark, folder), "row_id")
 
@@ -207,8 +237,8 @@ def _appended(spark, folder):
     """Deliver the records twice, the second time late, through the streaming append."""
     records = _records(spark, folder)
     inbox, base = scratch_path(spark, "inbox"), scratch_path(spark, "append")
-    records.coalesce(1).write.parquet(inbox)
-    sink = AppendSink(f"{base}/table", f"{base}/quarantine", f"{base}/checkpoint", lateness="45 days", source_app="survey")
+    records.write.parquet(inbox)
+    sink = AppendSink(f"{base}/table", f"{base}/quarantine", f"{base}/checkpoint", source_app="survey")
     valid = F.col("event_id").isNotNull() & (F.col("rating") != "error")
 
     def deliver():
@@ -216,7 +246,7 @@ def _appended(spark, folder):
         start_append(stream, sink, valid).awaitTermination()
 
     deliver()
-    records.filter("client_key is not null").coalesce(1).write.mode("append").parquet(inbox)
+    records.filter("client_key is not null").write.mode("append").parquet(inbox)
     deliver()
     return sink
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +25,6 @@ NUMERIC_TEXT_PATTERNS = (
 NUMERIC_TEXT_SHARE = 0.8
 SAMPLE_LINES = 3
 
-_HEADER_SAMPLE = 10
 AUDIT_SCHEMA = "kind string, n bigint, sample_lines array<bigint>, columns array<string>, detail string"
 
 
@@ -59,20 +57,23 @@ def _cells(line: str, delimiter: str) -> list[str]:
     return next(csv.reader(io.StringIO(line), delimiter=delimiter), [])
 
 
-def detect_delimiter(lines: list[str]) -> tuple[str, bool]:
-    """The candidate that splits the sampled lines most evenly into several cells."""
-    best, best_score = ",", None
-    for delimiter in DELIMITERS:
-        widths = [len(_cells(line, delimiter)) for line in lines if line.strip()]
-        if not widths or max(widths) < 2:
-            continue
-        width, hits = Counter(widths).most_common(1)[0]
-        if width < 2:
-            continue
-        score = (hits / len(widths), width)
-        if best_score is None or score > best_score:
-            best, best_score = delimiter, score
-    return best, best_score is not None
+def _width(line: Column, delimiter: str) -> Column:
+    """Cells of a line, quoted stretches aside."""
+    bare = F.regexp_replace(line, r'"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+
+
+def detect_delimiter(lines: DataFrame) -> tuple[str, bool]:
+    """The candidate that splits all lines (``value``) most evenly into several cells, from one pass over them."""
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    widths = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _width(line, d).alias("width")) for i, d in enumerate(DELIMITERS)]))
+    counts = lines.filter(strip(F.col("value")) != "").select(widths.alias("w")).groupBy("w.i", "w.width").agg(F.count(F.lit(1)).alias("n"))
+    commonest = F.max(F.struct("n", "width"))
+    found = counts.groupBy("i").agg(commonest.alias("top"), F.sum("n").alias("lines")).collect()
+    scores = {r["i"]: (r["top"]["n"] / r["lines"], r["top"]["width"]) for r in found if r["top"]["width"] > 1}
+    if not scores:
+        return ",", False
+    return DELIMITERS[max(scores, key=lambda i: (scores[i], -i))], True
 
 
 def name_columns(fields: list[str]) -> list[str | None]:
@@ -96,17 +97,17 @@ def name_columns(fields: list[str]) -> list[str | None]:
 
 
 def read_header(spark: SparkSession, path: str, delimiter: str | None = None) -> Header:
-    lines = [r["value"].rstrip("\r").lstrip("\ufeff") for r in spark.read.text(path).limit(_HEADER_SAMPLE).collect()]
+    lines = [r["value"].rstrip("\r").lstrip("\ufeff") for r in spark.read.text(path).limit(1).collect()]
     if not lines:
-        raise ValueError("no columns found; is the first row a header?")
-    found, detected = (delimiter, True) if delimiter else detect_delimiter(lines)
+        raise ValueError(f"{path}: the first line names no column")
+    found, detected = (delimiter, True) if delimiter else detect_delimiter(spark.read.text(path))
     fields = _cells(lines[0], found)
     junk = [f for f in fields if BINARY_PATTERN.search(f)]
     if junk and len(junk) >= len(fields) / 2:
-        raise ValueError("most column names are binary; this is not a text table")
+        raise ValueError(f"{path}: half of the header or more is binary, so this cannot be a table of text")
     names = name_columns(fields)
     if not any(names):
-        raise ValueError("no columns found; is the first row a header?")
+        raise ValueError(f"{path}: the first line names no column")
     return Header(fields, names, found, detected)
 
 
@@ -116,9 +117,10 @@ def read_csv(
     """Load a CSV file or folder whose files share one header.
 
     Names come from the header line itself, so repeats and blanks follow our
-    own rules. Blank rows are dropped. With ``typed`` a column whose every cell
-    is a number becomes double. Quoted line breaks need ``multi_line``, which
-    gives up splitting files.
+    own rules. Without ``delimiter`` all lines are looked at to find it. Blank
+    rows are dropped. With ``typed`` a column whose every cell is a number
+    becomes double. Quoted line breaks need ``multi_line``, which gives up
+    splitting files; the audit then counts records instead of lines.
     """
     header = read_header(spark, path, delimiter)
     stored = [f"_c{i}" for i in range(len(header.fields))]
@@ -132,7 +134,7 @@ def read_csv(
     named = raw.filter(~blank).select(*[
         cells[c].alias(name) for c, name in zip(stored, header.names) if name is not None])
     table = _typed(named) if typed else named
-    return CsvTable(table, header, audit_csv(spark, path, header, named))
+    return CsvTable(table, header, audit_csv(spark, path, header, named, multi_line))
 
 
 def _csv_cell(c: Column) -> Column:
@@ -176,24 +178,52 @@ def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.join(starts, ["file", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("skip") + 1)
 
 
+def _fault(text: Column, header: Header) -> Column:
+    """What is wrong with a line or record, if anything."""
+    width = _width(text, header.delimiter)
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    blank = strip(F.replace(text, F.lit(header.delimiter), F.lit(""))) == ""
+    kind = (
+        F.when(quotes % 2 == 1, "open-quote")
+        .when(width > len(header.fields), "too-many-cells")
+        .when(width < len(header.fields), "too-few-cells")
+    )
+    return F.when(~blank, kind)
+
+
+def _record_findings(spark: SparkSession, path: str, header: Header) -> DataFrame:
+    """The same for records that may hold line breaks; the first three records instead of lines, the header being the first."""
+    stored = [f"_c{i}" for i in range(len(header.fields))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*stored, "_odd"]])
+    # The parser keeps the text of a record whose cells do not fit the header.
+    read = spark.read.csv(
+        path, schema=schema, header=True, sep=header.delimiter, quote='"', escape='"', mode="PERMISSIVE", multiLine=True,
+        enforceSchema=True, columnNameOfCorruptRecord="_odd")
+    # The parser only judges records of which all cells are asked for.
+    asked = F.length(F.concat_ws("", *stored)) >= 0
+    odd = F.when(asked, F.rtrim(F.col("_odd"), F.lit("\r\n"))).alias("odd")
+    records = read.select(odd, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    bad = records.select("file", "at", _fault(F.col("odd"), header).alias("kind")).filter("kind is not null")
+    # A file is read by one task, record after record.
+    first = records.groupBy("file").agg(F.min("at").alias("first"))
+    place = Window.partitionBy("kind").orderBy("file", "at")
+    shown = bad.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= SAMPLE_LINES).join(first, "file")
+    located = shown.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", (F.col("at") - F.col("first") + 2).alias("line")))).alias("places"))
+    return (
+        bad.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(located, "kind")
+        .select("kind", "n", F.transform("places", lambda s: s["line"]).alias("sample_lines"),
+                F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("string").alias("detail"))
+    )
+
+
 def _line_findings(spark: SparkSession, path: str, header: Header) -> DataFrame:
     """Ragged rows and lines that leave a quotation mark open, with the first three lines.
 
     Only the three lines to show of each kind are numbered; the rest are counted.
     """
     value = F.rtrim(F.col("value"), F.lit("\r"))
-    bare = F.regexp_replace(value, r'"[^"]*"', "")
-    separator = F.lit(header.delimiter)
-    width = F.length(bare) - F.length(F.replace(bare, separator, F.lit(""))) + 1
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
-    blank = strip(F.replace(value, separator, F.lit(""))) == ""
-    kind = (
-        F.when(quotes % 2 == 1, "open-quote")
-        .when(width > len(header.fields), "too-many-cells")
-        .when(width < len(header.fields), "too-few-cells")
-    )
     lines = split_lines(spark, path)
-    bad = lines.select("file", "block", "at", F.when(~blank, kind).alias("kind")).filter("kind is not null")
+    bad = lines.select("file", "block", "at", _fault(value, header).alias("kind")).filter("kind is not null")
     first = Window.partitionBy("kind").orderBy("file", "block", "at")
     shown = bad.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_LINES)
     located = with_line_numbers(shown, lines).groupBy("kind").agg(
@@ -283,10 +313,11 @@ def _text_findings(df: DataFrame) -> DataFrame:
              "columns", F.col("format").alias("detail"))
 
 
-def audit_csv(spark: SparkSession, path: str, header: Header, table: DataFrame) -> DataFrame:
+def audit_csv(spark: SparkSession, path: str, header: Header, table: DataFrame, multi_line: bool = False) -> DataFrame:
     """Everything the load changed or found odd, one row per kind; runs only when read."""
     heads = spark.createDataFrame(header_findings(header), AUDIT_SCHEMA)
-    return heads.unionByName(_line_findings(spark, path, header)).unionByName(_text_findings(table))
+    rows = _record_findings(spark, path, header) if multi_line else _line_findings(spark, path, header)
+    return heads.unionByName(rows).unionByName(_text_findings(table))
 
 
 def audit_table(df: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def save_snapshot(
 ) -> DataFrame:
     """Store datasets and pinned views; a table used several times is written once.
 
-    The manifest is written last, so a half-written snapshot is never listed.
-    Saving under an existing name replaces it.
+    Every save is a generation of its own. Its manifest is written last and the
+    newest one counts, so at any moment either the old or the new snapshot is
+    whole; what the older generations left is deleted after that.
     """
     folder = _folder(root, name)
     stamp = datetime.now(timezone.utc)
@@ -56,22 +57,35 @@ def save_snapshot(
         "settings": json.dumps(dict(settings or {})),
     }
     line = spark.createDataFrame([(json.dumps(manifest),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    line.coalesce(1).write.text(f"{folder}/manifest/{generation}")
+    _drop_older(spark, folder, generation)
     return list_snapshots(spark, root).filter(F.col("name") == name)
 
 
+def _drop_older(spark: SparkSession, folder: str, generation: str) -> None:
+    """Delete manifests, then tables, of the generations before."""
+    for place, old in ((f"{folder}/manifest", lambda n: n < generation),
+                       (folder, lambda n: n.startswith("t") and n.rpartition("-")[2] < generation)):
+        fs, path = _files(spark, place)
+        for status in fs.listStatus(path):
+            if old(status.getPath().getName()):
+                fs.delete(status.getPath(), True)
+
+
 def _manifests(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.text(pattern).select(F.from_json("value", MANIFEST_SCHEMA).alias("m")).select("m.*")
+    """The newest manifest of every name."""
+    read = spark.read.text(pattern).select(F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+    return read.groupBy("m.name").agg(F.max_by("m", F.col("m.saved_at")).alias("m")).select("m.*")
 
 
 def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
     """Saved snapshots, newest first, with their total rows."""
-    fs, path = _files(spark, f"{root.rstrip('/')}/*/manifest")
+    fs, path = _files(spark, f"{root.rstrip('/')}/*/manifest/*")
     if not fs.globStatus(path):
         return spark.createDataFrame([], "name string, saved_at string, version double, n_tables int, total_rows bigint")
     sizes = F.transform(F.map_values("tables"), lambda t: t["rows"])
     return (
-        _manifests(spark, f"{root.rstrip('/')}/*/manifest")
+        _manifests(spark, f"{root.rstrip('/')}/*/manifest/*")
         .select("name", "saved_at", "version", F.size("tables").alias("n_tables"),
                 F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, r: a + r).alias("total_rows"))
         .orderBy(F.desc("saved_at"))
@@ -113,7 +127,8 @@ def _is_table(entry) -> bool:
 
 
 def read_manifest(spark: SparkSession, root: str, name: str) -> dict:
-    text = spark.read.text(f"{_folder(root, name)}/manifest").first()
+    # generations are named by their time
+    text = spark.read.text(f"{_folder(root, name)}/manifest/*").orderBy(F.desc("_metadata.file_path")).select("value").first()
     try:
         return json.loads(text["value"])
     except (TypeError, ValueError) as error:

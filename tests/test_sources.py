@@ -77,6 +77,20 @@ def test_parsing_numeric_text(spark):
     assert [r[0] for r in csv_table.parse_numeric_text(df, "c", "thousands separators").collect()] == [1234.0, None]
 
 
+def test_the_delimiter_is_judged_on_all_lines(spark, tmp_path):
+    text = "a;b\n" + "".join(f"1,{i},x;y\n" for i in range(9)) + "".join(f"left {i};right\n" for i in range(200))
+    header = csv_table.read_csv(spark, _write(tmp_path, text)).header
+    assert header.delimiter == ";" and header.fields == ["a", "b"]
+
+
+def test_quoted_line_breaks_are_sound_under_multi_line(spark, tmp_path):
+    path = _write(tmp_path, 'a,b\n1,"two\nlines"\n2,"x\n\ny"\n3,z\n4\n5,6,7\n')
+    loaded = csv_table.read_csv(spark, path, multi_line=True)
+    assert loaded.table.count() == 5
+    found = {r["kind"]: (r["n"], r["sample_lines"]) for r in loaded.audit.collect()}
+    assert found == {"too-few-cells": (1, [5]), "too-many-cells": (1, [6])}
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     path = _write(tmp_path, "\n".join(str(i) for i in range(1, 5001)) + "\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -125,6 +139,7 @@ def test_snapshots(spark, tmp_path):
     datasets, views, settings = snapshots.load_snapshot(spark, root, "one")
     assert datasets["again"].count() == 3 and views["pin"].columns == ["x"] and settings == {"k": 1}
     snapshots.save_snapshot(spark, root, "one", {"b": b})
+    assert len(list((tmp_path / "one").glob("t*"))) == 1 and len(list((tmp_path / "one" / "manifest").iterdir())) == 1
     assert list(snapshots.load_snapshot(spark, root, "one")[0]) == ["b"]
     snapshots.copy_snapshot(spark, root, "two", root + "/other")
     assert snapshots.load_snapshot(spark, root + "/other", "two")[0]["b"].count() == 5
