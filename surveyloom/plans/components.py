@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.plans.scratch import materialize, row_count
+from surveyloom.plans.scratch import discard, materialize, row_count
 from surveyloom.plans.skew import lookup
 
 
@@ -36,10 +36,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rounds.append(pointers)
         ends = lookup(links, _renamed(pointers, "u", "ru"), ["u"], rows=links.stored_rows)
         ends = lookup(ends, _renamed(pointers, "v", "rv"), ["v"], rows=links.stored_rows)
-        links = materialize(
+        fewer = materialize(
             ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")).filter("u != v").distinct(), "links")
+        discard(links)
+        links = fewer
     roots, rows = nodes.select("node", F.col("node").alias("root")), row_count(nodes)
     for pointers in rounds:
         roots = lookup(roots, _renamed(pointers, "root", "to"), ["root"], rows=rows).select(
             "node", F.coalesce("to", "root").alias("root"))
-    return materialize(roots, "roots")
+    found = materialize(roots, "roots")
+    discard(links, *rounds)
+    return found

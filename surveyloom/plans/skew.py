@@ -69,14 +69,16 @@ def split_join(
 ) -> DataFrame:
     """The same join with the hot keys already known.
 
-    The rows of a hot key are dealt over several tasks and only those keys of
-    ``right`` are repeated. Null keys are dealt out too: they match nothing and
+    The rows of a hot key are dealt over several tasks by a hash of all their
+    cells and only those keys of ``right`` are repeated. Null keys are dealt out too: they match nothing and
     need not meet in one task.
     """
     keys = list(keys)
     if hot is None:
         return left.join(right, keys, how)
-    spread = F.monotonically_increasing_id()
+    # A place drawn from the row itself: a task run again deals its rows the same way.
+    plain = [col(c) for c, t in left.dtypes if not t.startswith(("map", "variant"))]
+    spread = F.xxhash64(*plain)
     dealt = (
         left.join(F.broadcast(hot), keys, "left")
         .withColumn(
