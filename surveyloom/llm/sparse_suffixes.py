@@ -30,7 +30,7 @@ from surveyloom.plans.scratch import discard, materialize
 
 _SUFFIXES = "suffix binary, left binary, n int, first int, doc_id long, text_hash long"
 _COMPARED = "doc_id long, text_hash long, start int, size int, owner long, head_hash long, head_first int, gram long, hash long"
-# Suffixes that agree in so many bytes begin alike.
+# Bytes of a suffix by which suffixes are dealt to partitions, with the doc_id: what the sampling for it sends stays small.
 BEGINNING = 32
 _WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -147,7 +147,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     suffixes = materialize(prepared(docs).join(recurring(read), list(KEY)).mapInArrow(_select, _SUFFIXES), "suffixes")
     order = ("suffix", "left", "n", "doc_id", "text_hash", "first")
     compared = materialize(
-        suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+        suffixes.repartitionByRange(F.substring("suffix", 1, BEGINNING), "doc_id").sortWithinPartitions(*order)
         .mapInArrow(_compare, _COMPARED), "compared")
     discard(read, suffixes)
     run = ("head_doc", "head_hash", "head_first")
