@@ -76,24 +76,26 @@ def recurring(read: DataFrame) -> DataFrame:
     """(doc_id, text_hash, phrases): for documents with phrases that other documents have too, those phrases.
 
     Counting combines map-side; a phrase that a third of the documents hold is
-    one row of the counts. Documents with a null doc_id take no part.
+    one row of the counts. These are stored, so that the join has nothing but
+    shuffled rows below it and Spark can split a hot phrase. Documents with a
+    null doc_id take no part.
     """
     each = read.filter("doc_id is not null").select(*KEY, F.explode("phrases").alias("p")).select(*KEY, "p.gram", "p.place")
-    shared = each.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
+    shared = materialize(each.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), "shared")
     return each.join(shared, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("phrases"))
 
 
 def repeated_starts(windows: DataFrame, run: tuple[str, ...]) -> DataFrame:
     """(doc_id, text_hash, run columns, start, size, owner) of windows that a smaller doc_id also has, given (…, gram, hash, start)."""
-    owners = windows.groupBy("gram", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(
-        "owner < last").select("gram", "hash", "owner")
+    owners = materialize(windows.groupBy("gram", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(
+        "owner < last").select("gram", "hash", "owner"), "owners")
     return windows.join(owners, ["gram", "hash"]).filter("doc_id > owner").select(
         *KEY, *run, "start", F.lit(1).alias("size"), "owner")
 
 
 def with_least_owner(copies: DataFrame, found: DataFrame, run: tuple[str, ...]) -> DataFrame:
     """Copies of a run with the least doc_id that holds one of its windows: its first owner, or one found for a window."""
-    least = found.groupBy(*run).agg(F.min("owner").alias("_least"))
+    least = materialize(found.groupBy(*run).agg(F.min("owner").alias("_least")), "least-owners")
     return copies.join(least, list(run), "left").withColumn("owner", F.least("owner", "_least")).select(*KEY, "start", "size", "owner")
 
 

@@ -103,7 +103,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     read = read_phrases(docs)
     runs = materialize(prepared(docs).join(recurring(read), list(KEY)).mapInArrow(_locate, _RUNS), "runs")
-    owners = runs.groupBy("gram", "block").agg(F.min("doc_id").alias("owner"))
+    owners = materialize(runs.groupBy("gram", "block").agg(F.min("doc_id").alias("owner")), "run-owners")
     heads = F.when(F.col("doc_id") == F.col("owner"), F.col("hashes"))
     owned = materialize(runs.join(owners, ["gram", "block"]).withColumn("hashes", heads), "owned-runs")
     discard(runs)

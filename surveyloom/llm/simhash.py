@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = materialize(links(prints.select("print")), "links")
     ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     roots = components(materialize(ends, "ends"), edges).select(F.col("node").alias("print"), "root")
-    rooted = prints.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = materialize(prints.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_print = materialize(rooted.select("print", "root").join(least, "root"), "print-components")
     return stored.join(of_print, "print").select("doc_id", "print", "text_hash", "root", "component_id")
 
