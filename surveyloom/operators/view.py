@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import as_number, col, label_of
-from surveyloom.operators.crosstab import MISSING_LABEL, category_index
+from surveyloom.operators.crosstab import MISSING_LABEL, category_index, natural_order
 from surveyloom.operators.profile import scan_columns, shape_levels
 from surveyloom.plans.skew import lookup
 
@@ -16,6 +16,8 @@ from surveyloom.plans.skew import lookup
 PALETTE = 10
 PAN_LIMITS = (0.05, 2.0)
 
+_FEW_LEVELS = 50
+
 
 def visible_rows(df: DataFrame, column: str, hidden: Sequence[str]) -> DataFrame:
     """Drop the hidden categories; a name that is no category is an error."""
@@ -51,6 +53,20 @@ def viewport(df: DataFrame, x: str, y: str, x_window: tuple[float, float], y_win
     return df.filter(as_number(df, x).between(*x_window) & as_number(df, y).between(*y_window))
 
 
+def _with_places(rows: DataFrame, df: DataFrame, name: str, label: str, index: str) -> DataFrame:
+    """Add the place of each row's label in natural order.
+
+    Few levels are sent to every task, after they have been counted; more are
+    looked up in shuffled pieces.
+    """
+    levels = df.select(F.coalesce(label_of(df, name), F.lit(MISSING_LABEL)).alias(label)).distinct().limit(_FEW_LEVELS + 1).collect()
+    if len(levels) > _FEW_LEVELS:
+        return lookup(rows, category_index(df, name).select(F.col("label").alias(label), F.col("index").alias(index)), [label])
+    known = df.sparkSession.createDataFrame(levels, f"{label} string")
+    place = F.row_number().over(Window.orderBy(natural_order(F.col(label)))) - 1
+    return rows.join(F.broadcast(known.select(label, place.cast("bigint").alias(index))), label, "left")
+
+
 def view_rows(df: DataFrame, axes: Sequence[str], color: str, shape: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Coordinates with the colour and shape of each row.
 
@@ -66,13 +82,11 @@ def view_rows(df: DataFrame, axes: Sequence[str], color: str, shape: str | None
         (F.coalesce(label_of(df, shape), F.lit(MISSING_LABEL)) if shape else F.lit(None).cast("string")).alias("shape"),
     )
     if kind["kind"] == "categorical":
-        places = category_index(df, color).select(F.col("label").alias("color"), F.col("index").alias("color_index"))
-        rows = lookup(rows, places, ["color"])
+        rows = _with_places(rows, df, color, "color", "color_index")
     else:
         rows = rows.withColumn("color_index", F.lit(None).cast("bigint"))
     if shape and not shape_levels(df, shape).isEmpty():
-        marks = category_index(df, shape).select(F.col("label").alias("shape"), F.col("index").alias("shape_index"))
-        rows = lookup(rows, marks, ["shape"])
+        rows = _with_places(rows, df, shape, "shape", "shape_index")
     else:
         rows = rows.withColumn("shape", F.lit(None).cast("string")).withColumn("shape_index", F.lit(None).cast("bigint"))
     continuous = kind["kind"] == "continuous"
