@@ -44,18 +44,24 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """For each language a bounded number of pieces of its labelled texts, chosen by hash alone."""
-    order = F.xxhash64(F.lit(11), "doc_id", "text")
-    length = F.char_length("text")
-    start = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.greatest(length - chars, F.lit(0)) + 1) + 1
+    """For each language a bounded number of pieces of its labelled texts, chosen by hash alone.
+
+    Rows are dealt into ``rows`` places for each language and the least hash of
+    each place wins, so tasks keep one number for a place and never a text.
+    """
+    order, place = F.xxhash64(F.lit(11), "doc_id", "text"), F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(rows))
+    usable = docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        "lang", "doc_id", "text", order.alias("order"))
+    least = usable.groupBy("lang", place.alias("place")).agg(F.min("order").alias("order")).select("lang", "order").collect()
+    # At most ``rows`` rows for each language.
+    chosen = docs.sparkSession.createDataFrame(least, "lang string, order long")
+    start = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
     piece = F.col("text").substr(start.cast("int"), F.lit(chars))
-    letters = F.col("text").rlike(r"\p{L}")
-    found = (
-        docs.filter(~is_held_out() & F.col("lang").isNotNull() & letters)
-        .select("lang", F.struct(order.alias("order"), piece.alias("piece")).alias("entry"))
-        .groupBy("lang").agg(F.expr(f"slice(array_sort(collect_set(entry)), 1, {int(rows)})").alias("least"))
-    )
-    return {r["lang"]: [e["piece"] for e in r["least"]] for r in found.collect()}
+    found = usable.join(F.broadcast(chosen), ["lang", "order"]).groupBy("lang", "order").agg(F.min(piece).alias("piece")).collect()
+    pieces: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["order"])):
+        pieces.setdefault(r["lang"], []).append(r["piece"])
+    return pieces
 
 
 @dataclass
