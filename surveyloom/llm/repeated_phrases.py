@@ -29,7 +29,7 @@ from surveyloom.llm.words import WHITE, list_column, minimisers, mix, range_hash
 from surveyloom.plans.scratch import discard, materialize
 
 _RUN_BASE = 0x9FB21C651E98DF25
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _RUNS = "doc_id long, text_hash long, gram long, block long, first int, n int, hashes array<long>"
 _RUN = ("gram", "block")

@@ -16,7 +16,7 @@ import pyarrow as pa
 _STEP = 0x9E3779B97F4A7C15
 _GRAM = 0x2545F4914F6CDD1D
 _WRAP = 2**64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _table(members: bytes) -> np.ndarray:
