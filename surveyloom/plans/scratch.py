@@ -48,18 +48,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing will read any more.
-
-    The driver's JVM is asked to collect garbage as well: Spark deletes the
-    shuffle files of finished plans only when it finds them unreferenced.
-    """
+    """Delete stored tables that nothing will read any more."""
     for table in tables:
         path = getattr(table, "stored_path", None)
         if path is not None:
             jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
-            jvm.System.gc()
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver's JVM collect garbage: Spark deletes the shuffle files of finished plans once it finds them unreferenced."""
+    spark._jvm.System.gc()
 
 
 def row_count(df: DataFrame) -> int:
