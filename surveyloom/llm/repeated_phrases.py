@@ -26,7 +26,7 @@ from surveyloom.llm.passages import (
     window_hashes, with_least_owner,
 )
 from surveyloom.llm.words import WHITE, list_column, minimisers, mix, range_hashes, slices, split_words, text_bytes
-from surveyloom.plans.scratch import discard, materialize
+from surveyloom.plans.scratch import discard, materialize, release_shuffles
 
 _RUN_BASE = 0x9FB21C651E98DF25
 SHARD_BYTES = 1 << 20
@@ -107,12 +107,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     heads = F.when(F.col("doc_id") == F.col("owner"), F.col("hashes"))
     owned = materialize(runs.join(owners, ["gram", "block"]).withColumn("hashes", heads), "owned-runs")
     discard(runs)
+    release_shuffles(docs.sparkSession)
     later = owned.filter("hashes is null").select(*KEY, *_RUN, F.col("first").alias("start"), F.col("n").alias("size"), "owner")
     opened = owned.filter("hashes is not null").select(*KEY, *_RUN, "first", F.posexplode("hashes").alias("i", "hash")).select(
         *KEY, *_RUN, "hash", (F.col("first") + F.col("i")).alias("start"))
     found = materialize(repeated_starts(opened, _RUN), "repeated-starts")
     spans = materialize(spans_of(found.select(*KEY, "start", "size", "owner").unionByName(with_least_owner(later, found, _RUN))), "spans")
     discard(owned, found)
+    release_shuffles(docs.sparkSession)
     changed = prepared(docs).join(spans, list(KEY)).select("doc_id", "text", "spans").mapInArrow(_remove, _CHANGED)
     whole = read.join(spans.select(*KEY), list(KEY), "left_anti").select(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words_sha256").alias("kept_sha256"),

@@ -26,7 +26,7 @@ from surveyloom.llm.passages import (
     with_least_owner,
 )
 from surveyloom.llm.words import WHITE, minimisers, slices, split_words, text_bytes
-from surveyloom.plans.scratch import discard, materialize
+from surveyloom.plans.scratch import discard, materialize, release_shuffles
 
 _SUFFIXES = "suffix binary, left binary, n int, first int, doc_id long, text_hash long"
 _COMPARED = "doc_id long, text_hash long, start int, size int, owner long, head_hash long, head_first int, gram long, hash long"
@@ -150,6 +150,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         suffixes.repartitionByRange(F.substring("suffix", 1, BEGINNING), "doc_id").sortWithinPartitions(*order)
         .mapInArrow(_compare, _COMPARED), "compared")
     discard(read, suffixes)
+    release_shuffles(docs.sparkSession)
     run = ("head_doc", "head_hash", "head_first")
     rows = compared.withColumn("head_doc", F.col("owner"))
     settled = rows.filter("size is not null").select(*KEY, *run, "start", "size", "owner")
@@ -157,6 +158,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = materialize(repeated_starts(opened, run), "repeated-starts")
     spans = materialize(spans_of(found.select(*KEY, "start", "size", "owner").unionByName(with_least_owner(settled, found, run))), "spans")
     discard(compared, found)
+    release_shuffles(docs.sparkSession)
     return spans
 
 
