@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveyloom.plans.scratch import materialize
+from surveyloom.plans.scratch import discard, materialize
 
 MAGIC = b"WARC/1.0\r\n"
 BREAK = b"\n" + MAGIC
@@ -190,11 +190,13 @@ def reachable(links: DataFrame) -> DataFrame:
     for _ in range(int(longest).bit_length()):
         marks = state.filter("reached and jump is not null").select("file", F.col("jump").alias("starts")).distinct()
         leaps = state.select("file", F.col("starts").alias("jump"), F.col("jump").alias("next"))
-        state = materialize(
+        onward = materialize(
             state.join(marks.withColumn("marked", F.lit(True)), ["file", "starts"], "left")
             .join(leaps, ["file", "jump"], "left")
             .select("file", "starts", F.col("next").alias("jump"),
                     (F.col("reached") | F.coalesce("marked", F.lit(False))).alias("reached")), "jumps")
+        discard(state)
+        state = onward
     return state.filter("reached").select("file", "starts")
 
 
@@ -239,7 +241,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     read, for revisits from their headers. Records behind a broken link of a
     chain are not returned. Files without records give no rows.
     """
-    found = materialize(_with_offsets(_segments(spark, path).mapInArrow(_candidates, _CANDIDATES)), "candidates")
+    seen = materialize(_segments(spark, path).mapInArrow(_candidates, _CANDIDATES), "segments")
+    found = materialize(_with_offsets(seen), "candidates")
+    discard(seen)
     links = found.filter("starts is not null").select("file", "starts", "succ")
     records = found.join(reachable(links), ["file", "starts"])
     if not records.filter("not whole and record_type <> 'revisit'").isEmpty():
