@@ -145,19 +145,29 @@ def _bracket(view: DataFrame, places: list[_Place]) -> list[tuple[_Place, float
     """One pass for sketches, one for exact counts at the ends they name."""
     if not places:
         return []
-    ends = []
+    # One sketch for each bracket, however many positions it holds.
+    brackets: dict[tuple, list[int]] = {}
     for i, p in enumerate(places):
-        share, slack = (p.rank - p.below) / (p.upto - p.below), 1.5 / _ACCURACY
-        around = [max(0.0, share - slack), min(1.0, share + slack)]
-        ends.append(F.percentile_approx(F.when(p.inside(), F.col(f"v{p.column}")), around, _ACCURACY).alias(f"e{i}"))
-    named = view.agg(*ends).first()
+        brackets.setdefault((p.column, p.low, p.high), []).append(i)
+    sketches, ends = [], {}
+    for t, held in enumerate(brackets.values()):
+        around = []
+        for i in held:
+            p = places[i]
+            share, slack = (p.rank - p.below) / (p.upto - p.below), 1.5 / _ACCURACY
+            around += [max(0.0, share - slack), min(1.0, share + slack)]
+        first = places[held[0]]
+        sketches.append(F.percentile_approx(F.when(first.inside(), F.col(f"v{first.column}")), around, _ACCURACY).alias(f"e{t}"))
+    named = view.agg(*sketches).first()
+    for t, held in enumerate(brackets.values()):
+        ends |= {i: named[f"e{t}"][2 * j:2 * j + 2] for j, i in enumerate(held)}
     tests = []
     for i, p in enumerate(places):
         v = F.col(f"v{p.column}")
-        for j, end in enumerate(named[f"e{i}"]):
+        for j, end in enumerate(ends[i]):
             tests += [F.count_if(v < F.lit(end)).alias(f"b{i}_{j}"), F.count_if(v == F.lit(end)).alias(f"a{i}_{j}")]
     counted = view.agg(*tests).first()
-    return [(p, p.settle(*named[f"e{i}"], [counted[f"{t}{i}_{j}"] for j in (0, 1) for t in "ba"])) for i, p in enumerate(places)]
+    return [(p, p.settle(*ends[i], [counted[f"{t}{i}_{j}"] for j in (0, 1) for t in "ba"])) for i, p in enumerate(places)]
 
 
 def medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
