@@ -256,7 +256,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near-duplicates: the least doc_id, null last; then the least text hash."""
-    found = near_duplicates(docs)
+    return keep_least(docs, near_duplicates(docs))
+
+
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with one of each ``root`` of ``found`` (doc_id, text_hash, root): the least doc_id, null last; then the least text hash."""
     each = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     chosen = materialize(each.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "copies")).alias("c")).select(
