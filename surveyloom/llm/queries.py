@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from surveyloom.llm import (
-    chat, decontaminate, language, packing, repeated_phrases, sharding, simhash, sparse_suffixes, vector_search, warc,
+    alignment, byte_pairs, chat, decontaminate, hard_negatives, language, packing, repeated_phrases, sharding, simhash, sparse_suffixes,
+    vector_search, warc,
 )
 from surveyloom.plans.scratch import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 40
 PROBE = -1  # the conversation added to those of the table
 
@@ -165,3 +168,37 @@ FROM islands JOIN hits ON hits.doc_id = islands.doc_id AND i BETWEEN a AND b GRO
 def op10_sparse_suffixes(spark, folder):
     """Stretches of 50 words and more that an earlier document holds, in all documents."""
     return sparse_suffixes.repeated_passages(table(spark, folder, "documents"))
+
+
+@query("""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r AS other, c.vec_id, a.label = c.label AS same,
+          CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM v AS a JOIN v AS c ON a.vec_id % 100 = 0 AND a.r <> c.r),
+p AS (SELECT anchor, anchor_id, other AS positive, vec_id AS positive_id, score AS positive_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) AS place FROM s WHERE same)
+      WHERE place <= 5),
+n AS (SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+          row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, vec_id) AS rank
+      FROM p JOIN s USING (anchor) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op11_hard_negatives(spark, folder):
+    """Hard negatives for the five best positives of every anchor vector."""
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query()
+def op12_byte_pairs(spark, folder):
+    """All documents encoded by byte-level BPE, and decoded again."""
+    decoded = byte_pairs.decode(byte_pairs.encode(table(spark, folder, "documents"), RANKS), RANKS)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op13_alignment(spark, folder):
+    """All documents under two tokenizers, aligned."""
+    measures, _ = alignment.align(table(spark, folder, "documents"), VOCABULARY, PIECES)
+    return measures
