@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,11 @@ GROUP = 1 << 16  # slices of a text looked at at once
 MARK = "▁"
 _BLOCK_BITS = 33
 _PAIR_BITS = 32
+_WHITE_LEADS = b"\xc2\x9a\x80\x81"  # second last bytes of the white space beyond ASCII
+_MAY_LEAD = np.isin(np.arange(256), list(_WHITE_LEADS))
 
 _BLOCKS = ("block long, pairs array<long>, held array<long>, texts binary, digests array<string>, figures array<long>, "
-           "text_bounds binary, slices binary, slice_bounds binary, slice_pairs binary, slice_links binary")
+           "entries binary, links binary")
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 _MEASURES = "text_key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -91,15 +94,24 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     """Bytes that are a space after something that is surely not white space."""
     before = np.concatenate([[32], data[:-1]]).astype(np.uint8)
     earlier = np.concatenate([[32, 32], data[:-2]]).astype(np.uint8)[:len(data)]
-    # Second last bytes of the white space beyond ASCII.
-    plain = (before > 32) & ((before < 128) | ~np.isin(earlier, [0xC2, 0x9A, 0x80, 0x81]))
-    return np.flatnonzero((data == 32) & plain)
+    return np.flatnonzero((data == 32) & (before > 32) & ((before < 128) | ~_MAY_LEAD[earlier]))
 
 
 def _goes_on(piece: bytes) -> bool:
-    """Whether another slice may follow: not after white space."""
-    tail = piece[-2:] + b" "
-    return cut_places(np.frombuffer(tail, np.uint8))[-1:].tolist() == [len(tail) - 1]
+    """Whether another slice may follow: not after what may be white space."""
+    return piece[-1] > 32 and (piece[-1] < 128 or piece[-2] not in _WHITE_LEADS)
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Numbers, none negative, in as few bytes as the largest needs, compressed."""
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * n)
+    return zstandard.compress(b"%d" % size + values.astype(f"<u{size}").tobytes(), 1)
+
+
+def _large(value: pa.Scalar) -> np.ndarray:
+    """The numbers again."""
+    data = zstandard.decompress(value.as_buffer())
+    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1).astype(np.int64)
 
 
 def _distinct(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,16 +250,21 @@ def _block(both: Pair, block: int, data: np.ndarray, offsets: np.ndarray, copies
     bounds = np.cumsum([0, *map(len, numbers)])
     used = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
     figures = np.diff(np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(found.figures[:, used], axis=1)], axis=1)[:, bounds], axis=1)
-    # Documents that hold a pair: distinct slices of a text, then distinct pairs of those.
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    once = np.unique(owner * max(found.n, 1) + used)
-    owner, once = once // max(found.n, 1), once % max(found.n, 1)
+    # Entries are the pairs of each text: those of its distinct slices, put together.
+    slots, many = max(found.n, 1), max(len(found.pairs), 1)
+    once, uses = np.unique(np.repeat(np.arange(n), np.diff(bounds)) * slots + used, return_counts=True)
+    owner, once = once // slots, once % slots
     times = found.bounds[once + 1] - found.bounds[once]
     at = np.repeat(found.bounds[once] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    held = np.unique(np.repeat(owner, times) * max(len(found.pairs), 1) + found.link_pairs[at])
+    entries = np.repeat(owner, times) * many + found.link_pairs[at]
+    links = np.repeat(uses, times) * found.links[at]
+    order = np.argsort(entries, kind="stable")
+    entries, links = entries[order], links[order]
+    new = np.flatnonzero(np.append(True, entries[1:] != entries[:-1])[:len(entries)])
+    entries, links = entries[new], np.add.reduceat(links, new) if len(new) else links
     weights = np.zeros(len(found.pairs), np.int64)
-    np.add.at(weights, held % max(len(found.pairs), 1), copies[held // max(len(found.pairs), 1)])
-    small = [x.astype(kind).tobytes() for x, kind in ((bounds, "<u4"), (used, "<u4"), (found.bounds, "<u4"), (found.link_pairs, "<u4"), (found.links, "<i8"))]
+    np.add.at(weights, entries % many, copies[entries // many])
+    small = [_small(np.diff(entries, prepend=0)), _small(links)]
     one = np.array([0, 1])
     return pa.RecordBatch.from_arrays([
         pa.array([block], pa.int64()), list_column(pa.array(found.pairs, pa.int64()), one * len(found.pairs)),
@@ -262,20 +279,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(batch.num_rows):
             row = batch.slice(at, 1)
             column = {name: row.column(i) for i, name in enumerate(row.schema.names)}
-            bounds, used, slice_bounds, slice_pairs, slice_links = (
-                np.frombuffer(column[c][0].as_buffer(), kind).astype(np.int64) for c, kind in (
-                    ("text_bounds", "<u4"), ("slices", "<u4"), ("slice_bounds", "<u4"), ("slice_pairs", "<u4"), ("slice_links", "<i8")))
+            entries, links = np.cumsum(_large(column["entries"][0])), _large(column["links"][0])
             digests = column["digests"].flatten()
             n = len(digests)
             figures = column["figures"].flatten().to_numpy().reshape(4, n)
             counts = column["counts"].flatten()
-            pairs, highest = counts.field(1).to_numpy(), counts.field(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            sums = []
-            for value in (highest, pairs):
-                by_link = np.concatenate([[0], np.cumsum(slice_links * value[slice_pairs])])
-                by_slice = by_link[slice_bounds[1:]] - by_link[slice_bounds[:-1]]
-                by_place = np.concatenate([[0], np.cumsum(by_slice[used])])
-                sums.append(by_place[bounds[1:]] - by_place[bounds[:-1]])
+            documents, highest = (counts.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            many = max(len(documents), 1)
+            bounds = np.searchsorted(entries, np.arange(n + 1) * many)
+            sums = [np.diff(np.append(0, np.cumsum(links * value[entries % many]))[bounds]) for value in (highest, documents)]
             keys = column["texts"][0].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[32 * i:32 * i + 32] for i in range(n)], pa.binary()), *(pa.array(x, pa.int64()) for x in (*figures, *sums)), digests],
