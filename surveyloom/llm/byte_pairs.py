@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.words import slices, text_bytes
 
-KEPT_BYTES = 48 << 20  # of slices kept with their ids, for each Python worker
+KEPT_BYTES = 64 << 20  # of slices kept with their ids, for each Python worker
 STRETCH = 1 << 18  # code points scanned at once
 GROUP = 1 << 15  # slices looked up at once
 _BLOCK = 512
@@ -250,11 +250,11 @@ class Merger:
         missing = set(pieces).difference(self._kept)
         if missing:
             learned = self._learn(list(missing))
-            grown = sum(300 + 12 * len(p) for p in missing)
+            grown = sum(200 + 8 * len(p) for p in missing)
             if self._kept_bytes + grown > KEPT_BYTES:
                 kept, self._kept, self._kept_bytes = self._kept, {}, 0
                 learned.update((p, kept[p]) for p in set(pieces).intersection(kept))
-                grown = sum(300 + 12 * len(p) for p in learned)
+                grown = sum(200 + 8 * len(p) for p in learned)
             if grown > KEPT_BYTES:
                 return [learned[p] for p in pieces]
             self._kept.update(learned)
