@@ -79,7 +79,8 @@ class Pair:
         """Ids of a text that begins with a space, or None if the bytes of either do not join to it."""
         read = text.decode()
         a = self.a.encode(read, add_special_tokens=False).ids
-        b = self.b.encode(read[1:])
+        # The model gives an empty text no space; after something it does.
+        b = self.b.encode(read[1:]) if read != " " else self.b.encode("a ")[len(self.b.encode("a")):]
         same = b"".join([self.a_bytes[i] for i in a]) == text == b"".join([self.b_bytes[i] for i in b])
         return (a, b) if same else None
 
