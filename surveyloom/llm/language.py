@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.words import LOWER, slices, text_bytes
+from surveyloom.plans.scratch import materialize
 
 SAMPLE_ROWS = 24  # labelled rows of each language that the automata are made from
+MOST_LANGUAGES = 64  # languages learned, those with the most labelled rows
 SAMPLE_CHARS = 1000  # taken from each of them, at a place drawn by its hash
 HELD_OUT = 2  # remainder of crc32(doc_id) by 4 that is never learned from
 STRETCH = 256
@@ -43,17 +45,20 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == HELD_OUT, F.lit(True))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most: int = MOST_LANGUAGES) -> dict[str, list[str]]:
     """For each language a bounded number of pieces of its labelled texts, chosen by hash alone.
 
     Rows are dealt into ``rows`` places for each language and the least hash of
-    each place wins, so tasks keep one number for a place and never a text.
+    each place wins, so tasks keep one number for a place and never a text. Of more
+    than ``most`` languages those with the most labelled rows are learned, ties by name.
     """
     order, place = F.xxhash64(F.lit(11), "doc_id", "text"), F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(rows))
     usable = docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", "doc_id", "text", order.alias("order"))
-    least = usable.groupBy("lang", place.alias("place")).agg(F.min("order").alias("order")).select("lang", "order").collect()
-    # At most ``rows`` rows for each language.
+    places = materialize(usable.groupBy("lang", place.alias("place")).agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("n")), "places")
+    learned = places.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang")
+    least = places.join(learned, "lang").select("lang", "order").collect()
+    # At most ``rows`` rows for each of ``most`` languages.
     chosen = docs.sparkSession.createDataFrame(least, "lang string, order long")
     start = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1) + 1
     piece = F.col("text").substr(start.cast("int"), F.lit(chars))
@@ -176,7 +181,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, carry: tuple[st
     """One row for each row of ``docs``: doc_id, lang_pred, score and the columns named in ``carry``.
 
     Learns from (doc_id, text, lang) of ``labelled``, by default ``docs``, leaving
-    out held-out rows. lang_pred is a language learned, or ``und`` if the text is
+    out held-out rows, at most ``MOST_LANGUAGES`` languages. lang_pred is a language learned, or ``und`` if the text is
     null or has no letter, or nothing could be learned. score is how much fewer
     normalised phrases the best language needs than the second, 0 to 1 (1 if only
     one was learned, 0 for ``und``); of equal languages the first by name wins.

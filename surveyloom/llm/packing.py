@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.bpe import encoder
-from surveyloom.llm.words import text_bytes
+from surveyloom.llm.words import slices, text_bytes
 
 CAPACITY = 2048
 END_ID = 1
@@ -91,9 +91,9 @@ class Packer:
             yield loose
 
 
-def _pack(path: str, capacity: int):
+def _pack(path: str, capacity: int, limit: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = encoder(path), Packer(capacity)
+        tokens, packer = encoder(path), Packer(capacity, limit)
         sequence = TaskContext.get().partitionId() << _SEQUENCE_BITS
         end = np.array([END_ID], "<u4").tobytes()
         rows: list[tuple] = []
@@ -115,34 +115,41 @@ def _pack(path: str, capacity: int):
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            data = data.tobytes()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = tokens.encode(data[offsets[i]:offsets[i + 1]]) + end
-                total = len(ids) // 4
-                whole = total - total % capacity
-                for start in range(0, whole, capacity):
-                    write([(doc_id, start, ids[4 * start:4 * (start + capacity)], total)])
-                if whole < total:
-                    for window in packer.place((doc_id, whole, ids[4 * whole:], total), total - whole):
-                        write(window)
-                if len(rows) >= 2000:
-                    yield table()
+            for lo, hi in slices(offsets):
+                part, begin = data[offsets[lo]:offsets[hi]].tobytes(), offsets[lo:hi + 1] - offsets[lo]
+                for i, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    ids = tokens.encode_marked(part[begin[i]:begin[i + 1]]) + end
+                    total = len(ids) // 4
+                    whole = total - total % capacity
+                    for start in range(0, whole, capacity):
+                        write([(doc_id, start, ids[4 * start:4 * (start + capacity)], total)])
+                        if len(rows) >= 2000:
+                            yield table()
+                    if whole < total:
+                        for window in packer.place((doc_id, whole, ids[4 * whole:], total), total - whole):
+                            write(window)
+                    if len(rows) >= 2000:
+                        yield table()
+            pa.default_memory_pool().release_unused()
+        tokens.forget()
         for window in packer.close():
             write(window)
         yield table()
     return pack
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence.
 
-    A document is the byte-level BPE ids of its whole text, then ``END_ID``; a
-    null text is empty. Full stretches of ``capacity`` ids are sequences of their
+    A document is the byte-level BPE ids of its whole text, as the library of the
+    tokenizer gives them (so the string of a special token is that token), then
+    ``END_ID``; a null text is empty. Full stretches of ``capacity`` ids are sequences of their
     own, the rest goes to the packer of the task. ids holds unsigned 32-bit
     little-endian numbers; sequences are unique over all tasks; offset and
     length lie within the sequence, which is to be padded to ``capacity``. Each
-    task leaves at most one sequence short. Rows with a null doc_id and repeated
+    task leaves at most one sequence short, and one more each time that more than
+    ``open_windows`` are open, which are then closed like at its end. Rows with a null doc_id and repeated
     rows are packed like others. An empty table gives no rows. ``vocabulary`` is
     the path of the tokenizer's file, which every executor can read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(vocabulary, capacity), _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(vocabulary, capacity, open_windows), _PIECES)

@@ -72,20 +72,23 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), SPANS, pa.string())
-    for batch in batches:
-        rows = []
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words, cut = text.encode().split(), merged(spans)
-            left, at = [], 0
-            for begin, end, _ in cut:
-                left += words[at:begin]
-                at = end
-            left = b" ".join(left + words[at:])
-            rows.append((doc_id, len(words), sum(e - b for b, e, _ in cut), hashlib.sha256(left).hexdigest(),
-                         span_rows(cut), left.decode("utf-8", "replace")))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
+    for whole in batches:
+        _, offsets = text_bytes(whole.column(1))
+        for lo, hi in slices(offsets):
+            batch, rows = whole.slice(lo, hi - lo), []
+            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, cut = text.encode().split(), merged(spans)
+                left, at = [], 0
+                for begin, end, _ in cut:
+                    left += words[at:begin]
+                    at = end
+                left = b" ".join(left + words[at:])
+                rows.append((doc_id, len(words), sum(e - b for b, e, _ in cut), hashlib.sha256(left).hexdigest(),
+                             span_rows(cut), left.decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
+        pa.default_memory_pool().release_unused()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

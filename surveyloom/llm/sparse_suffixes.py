@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +24,13 @@ from surveyloom.llm.passages import (
     KEY, PHRASE, SPAN_TYPE, SPANS, WINDOW, merged, prepared, read_phrases, recurring, repeated_starts, span_rows, spans_of,
     with_least_owner,
 )
-from surveyloom.llm.words import WHITE, minimisers, slices, split_words, text_bytes
+from surveyloom.llm.words import WHITE, minimisers, slices, split_words, text_bytes, word_places
 from surveyloom.plans.scratch import discard, materialize, release_shuffles
 
 _SUFFIXES = "suffix binary, left binary, n int, first int, doc_id long, text_hash long"
 _COMPARED = "doc_id long, text_hash long, start int, size int, owner long, head_hash long, head_first int, gram long, hash long"
 # Bytes of a suffix by which suffixes are dealt to partitions, with the doc_id: what the sampling for it sends stays small.
 BEGINNING = 32
-_WORD = regex.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,27 +160,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans
 
 
+def _without(text: str, spans: list[dict]) -> tuple[str, list[dict], bool]:
+    """The text without the words of the spans, the stretches cut, and whether a word is left."""
+    raw, cut = text.encode(), merged(spans)
+    starts, ends = word_places(np.frombuffer(raw, np.uint8), WHITE)
+    parts, at = [], 0
+    for begin, end, _ in cut:
+        parts.append(raw[at:starts[begin]])
+        at = int(ends[end - 1])
+    left = len(starts) > sum(e - b for b, e, _ in cut)
+    return (b"".join(parts) + raw[at:]).decode("utf-8", "replace"), span_rows(cut), left
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["text", "spans", "words_left"]
     for batch in batches:
-        texts, cuts, left = [], [], []
-        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not spans:
-                texts.append(text)
-                cuts.append([])
-                left.append(True)
-                continue
-            raw, cut = text.encode(), merged(spans)
-            places = [m.span() for m in _WORD.finditer(raw)]
-            parts, at = [], 0
-            for begin, end, _ in cut:
-                parts.append(raw[at:places[begin][0]])
-                at = places[end - 1][1]
-            texts.append((b"".join(parts) + raw[at:]).decode("utf-8", "replace"))
-            cuts.append(span_rows(cut))
-            left.append(len(places) > sum(e - b for b, e, _ in cut))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()), pa.array(cuts, SPANS), pa.array(left, pa.bool_()), *batch.columns[2:]],
-            names=["text", "spans", "words_left", *batch.schema.names[2:]])
+        _, offsets = text_bytes(batch.column(0))
+        for lo, hi in slices(offsets):
+            part = batch.slice(lo, hi - lo)
+            given = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            made = [_without(text, spans) if spans else (text, [], True) for text, spans in given]
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.string(), SPANS, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=[*names, *batch.schema.names[2:]])
+        pa.default_memory_pool().release_unused()
 
 
 def cut_repeats(docs: DataFrame, spans_as: str = "spans", words_left_as: str = "words_left") -> DataFrame:

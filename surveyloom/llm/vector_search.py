@@ -1,6 +1,6 @@
 """Exact inner-product top-k by a KD-tree for each shard of the vectors.
 
-Rows are dealt over shards by a hash of their id. Each shard becomes one stored
+Rows are dealt over shards by a hash of their own number. Each shard becomes one stored
 row: its vectors in the order of a KD-tree with median splits, and the tight
 bounding box of every node. Queries go through in blocks, each block against
 each shard of the same dimension. A shard is walked best first: the node whose
@@ -26,22 +26,22 @@ BLOCK_QUERIES = 256
 LEAF_ROWS = 64
 SCALE = 1024
 
-_SHARD = "shard long, dim int, ids binary, vectors binary, nodes binary, boxes binary"
-_FOUND = "query_id long, vec_id long, score long"
+_SHARD = "shard long, dim int, rows binary, ids binary, vectors binary, nodes binary, boxes binary"
+_FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v): each component x as floor(1024 * x), x as double.
+    """(row_id, vec_id, v): each component x as floor(1024 * x), x as double.
 
-    Left out: null ids, null or empty vectors, and vectors with a null or
-    non-finite component. Of rows that share an id the least vector counts.
+    Left out: null ids, null vectors, and vectors with a null or non-finite
+    component. Each row has a number of its own (row_id).
     """
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
-    sound = (F.col(vec_id).isNotNull() & (F.size(vector) > 0)
+    sound = (F.col(vec_id).isNotNull() & F.col(vector).isNotNull()
              & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))))
     scaled = F.transform(x, lambda c: F.floor(c * F.lit(float(SCALE))))
-    return (table.filter(F.coalesce(sound, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+    return table.filter(F.coalesce(sound, F.lit(False))).select(
+        F.monotonically_increasing_id().alias("row_id"), F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v"))
 
 
 def _build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,32 +69,32 @@ def _build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, dim, ids, v in zip(*(batch.column(i) for i in range(4)), strict=True):
-            ids = ids.values.to_numpy(zero_copy_only=False)
+        for shard, dim, rows, ids, v in zip(*(batch.column(i) for i in range(5)), strict=True):
+            rows, ids = (x.values.to_numpy(zero_copy_only=False) for x in (rows, ids))
             vectors = v.values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim.as_py())
             at = np.argsort(ids)
             order, nodes, boxes = _build(vectors[at])
             yield pa.RecordBatch.from_arrays([
                 pa.array([shard.as_py()], pa.int64()), pa.array([dim.as_py()], pa.int32()),
                 *(pa.array([np.ascontiguousarray(x, np.int64).tobytes()], pa.binary())
-                  for x in (ids[at][order], vectors[at][order], nodes, boxes)),
-            ], names=["shard", "dim", "ids", "vectors", "nodes", "boxes"])
+                  for x in (rows[at][order], ids[at][order], vectors[at][order], nodes, boxes)),
+            ], names=["shard", "dim", "rows", "ids", "vectors", "nodes", "boxes"])
 
 
 class _Tree:
     def __init__(self, row: dict):
         dim = row["dim"]
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.int64).reshape(-1, dim)
+        self.rows, self.ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
+        self.vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(self.ids), dim)
         self.nodes = np.frombuffer(row["nodes"], np.int64).reshape(-1, 4)
-        boxes = np.frombuffer(row["boxes"], np.int64).reshape(-1, 2 * dim)
+        boxes = np.frombuffer(row["boxes"], np.int64).reshape(len(self.nodes), 2 * dim)
         self.low, self.high = boxes[:, :dim], boxes[:, dim:]
-        self.most = max(int(np.abs(boxes).max()), 1)
+        self.most = max(int(np.abs(boxes).max(initial=0)), 1)
         self.doubles: tuple | None = None
 
     def numbers(self, query: np.ndarray) -> tuple:
         """Doubles while every sum of products is exact in them, else integers."""
-        largest = self.most * max(int(np.abs(query).max()), 1) * len(query)
+        largest = self.most * max(int(np.abs(query).max(initial=0)), 1) * len(query)
         if largest >= 2**63:
             raise ValueError("inner products leave 64 bits")
         if largest >= 2**53:
@@ -103,7 +103,7 @@ class _Tree:
             self.doubles = tuple(x.astype(np.float64) for x in (self.vectors, self.low, self.high))
         return query.astype(np.float64), *self.doubles
 
-    def search(self, query_id: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
+    def search(self, query_row: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
         """(score, -vec_id) of up to k rows that can still be among the best; ``least`` is a k-th score known."""
         q, vectors, low, high = self.numbers(query)
         bound = np.where(q >= 0, high, low) @ q
@@ -122,10 +122,9 @@ class _Tree:
             scores = vectors[begin:end] @ q
             hopeful = np.arange(end - begin) if floor is None else np.flatnonzero(scores >= floor)
             for i in hopeful:
-                vec_id = int(self.ids[begin + i])
-                if vec_id == query_id:
+                if self.rows[begin + i] == query_row:
                     continue
-                entry = (int(scores[i]), -vec_id)
+                entry = (int(scores[i]), -int(self.ids[begin + i]))
                 if least is not None and entry[0] < least:
                     continue
                 if len(best) < k:
@@ -142,23 +141,23 @@ def _search(k: int):
                 row = batch.slice(at, 1).to_pylist()[0]
                 tree = _Tree(row)
                 found = [
-                    (q["vec_id"], -other, score)
+                    (q["row_id"], q["vec_id"], -other, score)
                     for q in row["queries"]
-                    for score, other in tree.search(q["vec_id"], np.array(q["v"], np.int64), k, q["least"])
+                    for score, other in tree.search(q["row_id"], np.array(q["v"], np.int64), k, q["least"])
                 ]
-                columns = list(zip(*found, strict=True)) or [[], [], []]
+                columns = list(zip(*found, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+                    [pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
     return search
 
 
 def _blocks(queries: DataFrame, *keys: str) -> DataFrame:
-    packed = F.collect_list(F.struct("vec_id", "v", "least"))
+    packed = F.collect_list(F.struct("row_id", "vec_id", "v", "least"))
     return queries.groupBy("dim", *keys, "block").agg(packed.alias("queries"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -166,28 +165,29 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by ``every``.
 
     The score is the inner product of the integer vectors; ties go to the
-    smaller id; a query is not its own candidate, so neither is a row that
-    repeats its id. Vectors meet only vectors of their own length. With fewer
+    smaller id. A query is not its own candidate; rows that repeat an id, or repeat
+    altogether, are rows of their own, as queries and as candidates. Vectors meet only vectors of
+    their own length; empty ones score 0. With fewer
     than k candidates all are returned, with none no row. Products that leave
     64 bits raise an error.
     """
     rows = materialize(integer_vectors(table, vec_id, vector).withColumn("dim", F.size("v")), "vectors")
     shards = max(1, -(-rows.stored_rows // SHARD_ROWS))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    home = F.pmod(F.xxhash64("row_id"), F.lit(shards))
     trees = materialize(
-        rows.groupBy(home.alias("shard"), "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("r"))
-        .select("shard", "dim", F.col("r.vec_id").alias("ids"), F.col("r.v").alias("v"))
+        rows.groupBy(home.alias("shard"), "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row_id", "v"))).alias("r"))
+        .select("shard", "dim", F.col("r.row_id").alias("rows"), F.col("r.vec_id").alias("ids"), F.col("r.v").alias("v"))
         .mapInArrow(_shards, _SHARD), "trees")
     per_block = max(1, -(-rows.stored_rows // (every * BLOCK_QUERIES)))
     queries = rows.filter(F.col("vec_id") % every == 0).select(
-        "vec_id", "v", "dim", home.alias("home"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(per_block)).alias("block"))
+        "row_id", "vec_id", "v", "dim", home.alias("home"), F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(per_block)).alias("block"))
 
     first = _blocks(queries.withColumn("least", F.lit(None).cast("long")).withColumn("shard", F.col("home")), "shard")
     at_home = materialize(trees.join(first, ["shard", "dim"]).mapInArrow(_search(k), _FOUND), "home")
-    kth = at_home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select(
-        F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("s")).alias("least"))
-    onward = _blocks(queries.join(kth, "vec_id", "left")).withColumn(
+    kth = at_home.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select(
+        F.col("query_row").alias("row_id"), F.when(F.col("n") >= k, F.col("s")).alias("least"))
+    onward = _blocks(queries.join(kth, "row_id", "left")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn(
-        "queries", F.expr(f"filter(queries, q -> pmod(xxhash64(q.vec_id), {shards}) <> shard)"))
+        "queries", F.expr(f"filter(queries, q -> pmod(xxhash64(q.row_id), {shards}) <> shard)"))
     elsewhere = trees.join(onward, ["shard", "dim"]).mapInArrow(_search(k), _FOUND)
     return _best(at_home.unionByName(elsewhere), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -105,6 +105,14 @@ class Words:
         return out.tobytes(), begin, begin + sizes
 
 
+def word_places(data: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes at which the words of one text begin and end."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~separators[data]
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts data[offsets[i]:offsets[i + 1]]; offsets begin at 0."""
     if lower:

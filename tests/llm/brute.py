@@ -120,16 +120,15 @@ def contamination(docs, items):
 
 
 def top_k(rows, k=10, every=100):
-    vectors = {}
+    vectors = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        v = [math.floor(1024 * struct.unpack("f", struct.pack("f", x))[0]) for x in v]
-        vectors[i] = min(vectors.get(i, v), v)
+        vectors.append((i, [math.floor(1024 * struct.unpack("f", struct.pack("f", x))[0]) for x in v]))
     found = []
-    for q, v in vectors.items():
+    for r, (q, v) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for s, (i, w) in enumerate(vectors) if s != r and len(w) == len(v))
             found += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return found
 

@@ -307,16 +307,17 @@ def test_warc_without_pages_and_with_a_threshold(spark):
 @pytest.fixture(scope="module")
 def public():
     tokenizer = Tokenizer.from_file(queries.VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return tokenizer
 
 
 def test_ids_are_those_of_the_public_tokenizer(public):
     texts = [t or "" for _, t in awkward_texts()[:-4]] + [
-        "a  b   c \n d\t e", " lead", "trail ", "tail \n", "it's 's don't  we'll", "<|endoftext|> x", "    a 　b", "a  b", "\x1c a \x1d", "9 99  9a a9 ٣ ½"]
+        "a  b   c \n d\t e", " lead", "trail ", "tail \n", "it's 's don't  we'll", "<|endoftext|> x", "a <|endoftext|> x", "a<|endoftext|><|endoftext|>", " <|endoftext| > <|endoftext|>  ", "    a 　b", "a  b", "\x1c a \x1d", "9 99  9a a9 ٣ ½"]
     encoder = bpe.Encoder(queries.VOCABULARY)
     for text in texts * 2:
-        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == public.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode_marked(text.encode()), "<u4").tolist() == public.encode(text, add_special_tokens=False).ids
+        if "<|endoftext|>" not in text:
+            assert encoder.encode(text.encode()) == encoder.encode_marked(text.encode())
     assert encoder.size == 50257 and public_tokenizers.path("byte_bpe_50k.json") == queries.VOCABULARY
 
 

@@ -16,6 +16,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from surveyloom.llm import queries  # noqa: E402
 from test_llm_operators import ITEMS, awkward_texts, sentence  # noqa: E402
+from test_shingles import grouped  # noqa: E402
 
 
 def cut(text, gone):
@@ -37,7 +38,7 @@ def texts():
     rng = random.Random(21)
     bench = " ".join(f"q{i}" for i in range(30))
     given = [(d, t) for d, t in awkward_texts() if d is not None]
-    given += [(200, "Intro words here. " + bench + " and more."), (201, sentence(rng, 300)), (202, "!!! 123"), (203, "   ")]
+    given += [(200, "Intro words here. " + bench + " and more."), (201, sentence(rng, 300)), (202, "!!! 123"), (203, "   "), (204, "a <|endoftext|> x"), (205, "<|endoftext|>")]
     return given
 
 
@@ -45,10 +46,7 @@ def expected(given):
     """(doc_id, text) after each stage but the last."""
     spoken = [(d, t) for d, t in given if t is not None and any(c.isalpha() for c in t)]
     yield "language", spoken
-    component = {}
-    for (d, t), (_, _, c) in zip(spoken, brute.near_duplicates(spoken), strict=True):
-        component.setdefault(c, []).append((d, t))
-    single = [min(g) for g in component.values()]
+    single = [min(g) for g in grouped(spoken)]
     yield "near_duplicates", single
     kept = []
     for (d, t), (_, w, gone, _) in zip(single, brute.repeated(single), strict=True):
@@ -63,7 +61,7 @@ def expected(given):
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus")
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts()], "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: F.lit(f"own {c}") for c in ("text_hash", "score", "lang_pred", "spans", "words_left", "print", "copies", "_1", "row")}
+    clash = {c: F.lit(f"own {c}") for c in ("text_hash", "score", "lang_pred", "spans", "words_left", "print", "copies", "_1", "row", "_cut_spans", "_words_left")}
     docs.withColumns(clash).repartition(3).write.parquet(str(path / "documents.parquet"))
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
     return str(path)
@@ -84,7 +82,6 @@ def test_stages_do_what_brute_force_does(spark, folder, tmp_path):
 def test_the_whole_run_packs_what_is_left(spark, folder):
     *_, (_, left) = expected(texts())
     public = Tokenizer.from_file(queries.VOCABULARY)
-    public.encode_special_tokens = True
     found = corpus_pipeline.run(spark, folder).collect()
     lengths = {d: len(public.encode(t, add_special_tokens=False).ids) + 1 for d, t in left}
     assert {r.doc_id: r.doc_tokens for r in found} == lengths
