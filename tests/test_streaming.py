@@ -75,3 +75,48 @@ def test_latest_row_survives_missing_times_and_ties(spark, times, newest):
     rows = [("e", t, v) for t, v in zip(times, "ab", strict=True)]
     found = latest_per_event(spark.createDataFrame(rows, "event_id string, created_at int, v string")).collect()
     assert [(r["event_id"], r["v"]) for r in found] == [("e", newest)]
+
+
+def test_a_key_that_most_rows_have_and_ties(spark, tmp_path):
+    base, sink = _sink(tmp_path)
+    hot = [("hot", f"e{i}", "up", at(50 - i % 50)) for i in range(5000)] + [("hot", "x", "broken", at(9))] * 3
+    _deliver(spark, base, sink, hot + [("z", "e", "broken", at(3)), ("z", "f", "broken", at(1))], files=4)
+    stored = spark.read.parquet(sink.table).collect()
+    assert [(r["client_key"], r["created_at"]) for r in stored] == [("hot", at(1))]
+    bad = spark.read.parquet(sink.quarantine).select("client_key", "event_id", "attempts", "dropped").collect()
+    assert sorted(map(tuple, bad)) == [("hot", "x", 3, False), ("z", "f", 2, False)]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    base, sink = _sink(tmp_path)
+    _deliver(spark, base, sink, [("a", "e1", "up", at(0)), ("z", "e9", "broken", at(0))])
+    _deliver(spark, base, sink, [("b", "e2", "up", at(1)), ("a", "e1", "up", at(0)), ("z", "e9", "broken", at(0))])
+    before = sorted(map(tuple, spark.read.parquet(sink.table).collect()), key=repr), sorted(map(tuple, spark.read.parquet(sink.quarantine).collect()), key=repr)
+    commits = tmp_path / "ck" / "commits"
+    for name in ("1", ".1.crc"):  # as if the engine had failed between writing the batch and noting it
+        (commits / name).unlink(missing_ok=True)
+    _deliver(spark, base, sink, [("c", "e3", "up", at(2)), ("b", "e2", "up", at(2))])
+    table = spark.read.parquet(sink.table)
+    assert sorted(r["client_key"] for r in table.collect()) == ["a", "b", "c"]
+    assert sorted(map(tuple, table.filter("batch < 2").collect()), key=repr) == before[0]
+    assert sorted(map(tuple, spark.read.parquet(sink.quarantine).filter("batch < 2").collect()), key=repr) == before[1]
+
+
+def test_a_batch_reads_nothing_that_earlier_ones_wrote(spark, tmp_path):
+    base, sink = _sink(tmp_path)
+    for i in range(4):
+        _deliver(spark, base, sink, [(f"k{i}", "e", "up", at(i)), ("k0", "e", "up", at(0)), ("z", "e", "broken", at(0))])
+        if i:  # the tables are gone, and still every key is known
+            import shutil
+
+            shutil.rmtree(sink.table)
+            shutil.rmtree(sink.quarantine)
+    _deliver(spark, base, sink, [(f"k{i}", "e", "up", at(9)) for i in range(5)] + [("z", "e", "broken", at(9))])
+    assert [r["client_key"] for r in spark.read.parquet(sink.table).collect()] == ["k4"]
+    assert [(r["attempts"], r["dropped"]) for r in spark.read.parquet(sink.quarantine).collect()] == [(5, True)]
+
+
+def test_names_that_the_append_needs(spark, tmp_path):
+    base, sink = _sink(tmp_path)
+    with pytest.raises(ValueError, match="attempts"):
+        _deliver(spark, base, sink, [("a", "e", "up", at(0), 1)], f"{SCHEMA}, attempts int")
