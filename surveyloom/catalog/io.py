@@ -55,54 +55,77 @@ def csv_guard_documents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", guarded)
 
 
-@query("""SELECT kind, n, sample_lines FROM (
-    SELECT 'too-many-cells' AS kind, count(*) FILTER (WHERE o_orderkey % 50 = 7) AS n, list_sort(list(pos) FILTER (WHERE o_orderkey % 50 = 7))[1:3] AS sample_lines
-      FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS pos FROM orders)
-    UNION ALL SELECT 'too-few-cells', count(*) FILTER (WHERE o_orderkey % 70 = 9 AND o_orderkey % 50 <> 7),
-      list_sort(list(pos) FILTER (WHERE o_orderkey % 70 = 9 AND o_orderkey % 50 <> 7))[1:3]
-      FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS pos FROM orders)
-    UNION ALL SELECT 'repeated-header', 1, NULL) WHERE n > 0""")
+_FILES = 4
+
+
+def _text_files(lines, head, tag):
+    """Lines (o_orderkey, value) written in order as several files, each beginning with ``head``."""
+    spark = lines.sparkSession
+    rows = lines.select((F.col("o_orderkey") % _FILES).cast("int").alias("part"), "o_orderkey", "value")
+    heads = spark.createDataFrame([(i, -1, head) for i in range(_FILES)], "part int, o_orderkey bigint, value string")
+    path = scratch_path(spark, tag)
+    heads.unionByName(rows).repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy("part").text(path)
+    return path
+
+
+_NUMBERED = "SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) + 1 AS number FROM orders"
+
+
+@query(f"""SELECT kind, count(*) AS n, list(number ORDER BY o_orderkey % 4, number)[1:3] AS sample_lines
+    FROM (SELECT *, CASE WHEN o_orderkey % 50 = 7 THEN 'too-many-cells' WHEN o_orderkey % 70 = 9 THEN 'too-few-cells' END AS kind FROM ({_NUMBERED}))
+    WHERE kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'repeated-header', 1, NULL FROM region HAVING count(*) > 0""")
 def csv_audit(spark, folder):
-    """Ragged lines of a written file are counted and located."""
+    """Ragged lines of written files are counted and located."""
     cells = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")]
     line = (
         F.when(F.col("o_orderkey") % 50 == 7, F.concat_ws(",", *cells, F.lit("extra")))
         .when(F.col("o_orderkey") % 70 == 9, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", *cells))
     )
-    path = scratch_path(spark, "ragged")
-    orders = table(spark, folder, "orders").select(F.lit(1).alias("part"), "o_orderkey", line.alias("value"))
-    head = spark.createDataFrame([(0, -1, "key,cust,cust")], "part int, o_orderkey bigint, value string")
-    head.unionByName(orders).coalesce(1).sortWithinPartitions("part", "o_orderkey").select("value").write.text(path)
+    path = _text_files(table(spark, folder, "orders").select("o_orderkey", line.alias("value")), "key,cust,cust", "ragged")
     return csv_table.read_csv(spark, path).audit.select("kind", "n", "sample_lines")
 
 
-@query("""SELECT 'blank-header' AS kind, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT[]) AS sample_lines, NULL AS columns FROM region HAVING count(*) > 0
+@query(f"""SELECT 'blank-header' AS kind, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT[]) AS sample_lines, NULL AS columns FROM region HAVING count(*) > 0
     UNION ALL SELECT 'repeated-header', 2, NULL, 'cust_1,cust_2' FROM region HAVING count(*) > 0
-    UNION ALL SELECT 'open-quote', count(*), list_sort(list(pos))[1:3], NULL
-      FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) + 1 AS pos FROM nation) WHERE n_nationkey % 4 = 1 HAVING count(*) > 0""")
+    UNION ALL SELECT 'open-quote', count(*), list(number ORDER BY o_orderkey % 4, number)[1:3], NULL
+      FROM ({_NUMBERED}) WHERE o_orderkey % 45 = 1 HAVING count(*) > 0""")
 def csv_header_audit(spark, folder):
     """A blank header, repeated headers, and lines that leave a quotation mark open."""
-    path = scratch_path(spark, "headers")
-    key = F.col("n_nationkey").cast("string")
-    line = F.concat_ws(",", key, F.when(F.col("n_nationkey") % 4 == 1, F.concat(F.lit('"'), "n_name")).otherwise(F.col("n_name")), key, key)
-    rows = table(spark, folder, "nation").select(F.lit(1).alias("part"), "n_nationkey", line.alias("value"))
-    head = spark.createDataFrame([(0, -1, "cust,,cust,cust")], "part int, n_nationkey int, value string")
-    # nation has one row per country, so one small file is what such a table is
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("part", "n_nationkey").select("value").write.text(path)
+    key = F.col("o_orderkey").cast("string")
+    status = F.when(F.col("o_orderkey") % 45 == 1, F.concat(F.lit('"'), "o_orderstatus")).otherwise(F.col("o_orderstatus"))
+    lines = table(spark, folder, "orders").select("o_orderkey", F.concat_ws(",", key, status, key, key).alias("value"))
+    path = _text_files(lines, "cust,,cust,cust", "headers")
     found = csv_table.read_csv(spark, path, delimiter=",").audit.filter("kind in ('blank-header', 'repeated-header', 'open-quote')")
     return found.select("kind", "n", "sample_lines", F.array_join("columns", ",").alias("columns"))
 
 
-@query("""SELECT 'too-few-cells' AS kind, count(*) AS n FROM nation WHERE n_nationkey % 5 = 2 HAVING count(*) > 0""")
+_BROKEN = """SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) + 1 AS number,
+    CASE WHEN o_orderkey % 50 = 7 THEN 'too-few-cells' WHEN o_orderkey % 70 = 9 THEN 'too-many-cells' END AS kind FROM orders"""
+
+
+def _broken_lines(spark, folder):
+    """Orders written as text files with a header each, with line breaks, marks and delimiters in quoted cells."""
+    key = F.col("o_orderkey").cast("string")
+    cell = F.concat(F.lit('"'), "o_orderstatus", F.lit('\n""second"", line"'))
+    line = (F.when(F.col("o_orderkey") % 50 == 7, F.concat_ws(",", key, cell))
+            .when(F.col("o_orderkey") % 70 == 9, F.concat_ws(",", key, cell, "o_orderpriority", F.lit("extra")))
+            .otherwise(F.concat_ws(",", key, cell, "o_orderpriority")))
+    return _text_files(table(spark, folder, "orders").select("o_orderkey", line.alias("value")), "key,status,priority", "breaks")
+
+
+@query(f"""SELECT kind, count(*) AS n, list(number ORDER BY o_orderkey % 4, number)[1:3] AS sample_lines
+    FROM ({_BROKEN}) WHERE kind IS NOT NULL GROUP BY kind""")
 def csv_multi_line_audit(spark, folder):
-    """Quoted line breaks are sound when records are read whole; short records are still found."""
-    path = scratch_path(spark, "breaks")
-    key, two_lines = F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('\nsecond line"'))
-    line = F.when(F.col("n_nationkey") % 5 == 2, key).otherwise(F.concat_ws(",", key, two_lines))
-    rows = table(spark, folder, "nation").select(F.lit(1).alias("part"), "n_nationkey", line.alias("value"))
-    head = spark.createDataFrame([(0, -1, "key,name")], "part int, n_nationkey int, value string")
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("part", "n_nationkey").select("value").write.text(path)
-    return csv_table.read_csv(spark, path, delimiter=",", multi_line=True).audit.select("kind", "n")
+    """Quoted line breaks are sound when records are read whole; short and long records are still found."""
+    audit = csv_table.read_csv(spark, _broken_lines(spark, folder), delimiter=",", multi_line=True).audit
+    return audit.select("kind", "n", "sample_lines")
+
+
+@query(f"""SELECT CAST(o_orderkey AS DOUBLE) AS "key", o_orderstatus || chr(10) || '"second", line' AS status,
+    CASE WHEN kind = 'too-few-cells' THEN NULL ELSE o_orderpriority END AS priority FROM ({_BROKEN})""")
+def csv_multi_line_rows(spark, folder):
+    """Cells with line breaks, marks and delimiters as they were written."""
+    return csv_table.read_csv(spark, _broken_lines(spark, folder), delimiter=",", multi_line=True).table
 
 
 @query("SELECT 'dates-as-text' AS kind, 1::BIGINT AS n, 'o_orderdate' AS columns FROM orders HAVING count(*) > 0 "

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.functions.numeric import col, is_text, number_of, number_of_stripped, strip
+from surveyloom.sources.csv_records import records
 
 # Delimiters tried, characters no typed header contains, and the
 # number formats recognised in text columns, strictest first.
@@ -119,16 +120,20 @@ def read_csv(
     Names come from the header line itself, so repeats and blanks follow our
     own rules. Without ``delimiter`` all lines are looked at to find it. Blank
     rows are dropped. With ``typed`` a column whose every cell is a number
-    becomes double. Quoted line breaks need ``multi_line``, which gives up
-    splitting files; the audit then counts records instead of lines.
+    becomes double. Quoted line breaks need ``multi_line``: files are still read
+    in splits, line breaks inside cells become \\n, and the audit counts records
+    instead of lines.
     """
     header = read_header(spark, path, delimiter)
     stored = [f"_c{i}" for i in range(len(header.fields))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in stored])
-    raw = spark.read.csv(
-        path, schema=schema, header=True, sep=header.delimiter, quote='"', escape='"', mode="PERMISSIVE",
-        multiLine=multi_line, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    options = {"sep": header.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if multi_line:
+        body = records(spark, path, header.delimiter).filter("number > 1")
+        raw = body.select(F.from_csv("text", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r")).select("r.*")
+    else:
+        raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options)
     cells = {c: _csv_cell(F.col(c)) for c in stored}
     blank = F.coalesce(*[cells[c] for c in stored]).isNull()
     named = raw.filter(~blank).select(*[
@@ -193,22 +198,17 @@ def _fault(text: Column, header: Header) -> Column:
 
 def _record_findings(spark: SparkSession, path: str, header: Header) -> DataFrame:
     """The same for records that may hold line breaks; the first three records instead of lines, the header being the first."""
-    stored = [f"_c{i}" for i in range(len(header.fields))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*stored, "_odd"]])
-    # The parser keeps the text of a record whose cells do not fit the header.
-    read = spark.read.csv(
-        path, schema=schema, header=True, sep=header.delimiter, quote='"', escape='"', mode="PERMISSIVE", multiLine=True,
-        enforceSchema=True, columnNameOfCorruptRecord="_odd")
-    # The parser only judges records of which all cells are asked for.
-    asked = F.length(F.concat_ws("", *stored)) >= 0
-    odd = F.when(asked, F.rtrim(F.col("_odd"), F.lit("\r\n"))).alias("odd")
-    records = read.select(odd, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    bad = records.select("file", "at", _fault(F.col("odd"), header).alias("kind")).filter("kind is not null")
-    # A file is read by one task, record after record.
-    first = records.groupBy("file").agg(F.min("at").alias("first"))
-    place = Window.partitionBy("kind").orderBy("file", "at")
-    shown = bad.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= SAMPLE_LINES).join(first, "file")
-    located = shown.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", (F.col("at") - F.col("first") + 2).alias("line")))).alias("places"))
+    found = records(spark, path, header.delimiter, texts=False)
+    kind = (
+        F.when(F.col("marks") % 2 == 1, "open-quote")
+        .when(F.col("cells") > len(header.fields), "too-many-cells")
+        .when(F.col("cells") < len(header.fields), "too-few-cells")
+    )
+    bad = found.filter("number > 1 and filled").select("file", "number", kind.alias("kind")).filter("kind is not null")
+    # The first three of each kind pass through a task; the others are counted where they are.
+    place = Window.partitionBy("kind").orderBy("file", "number")
+    shown = bad.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= SAMPLE_LINES)
+    located = shown.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("number").alias("line")))).alias("places"))
     return (
         bad.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(located, "kind")
         .select("kind", "n", F.transform("places", lambda s: s["line"]).alias("sample_lines"),

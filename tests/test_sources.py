@@ -158,3 +158,57 @@ def test_snapshots(spark, tmp_path):
 ])
 def test_manifest_validation(manifest, sound):
     assert (snapshots.problems(manifest) == []) is sound
+
+
+def _torn_csv(rng, n):
+    """Text of a CSV file with line breaks, delimiters and marks in cells, and what it holds."""
+    lines, rows = ["a,b,c"], []
+    for i in range(n):
+        cell = "".join(rng.choice(["x", ",", "\n", '""', "é", "\n\n", " "]) for _ in range(rng.randrange(12)))
+        width = rng.choice([3, 3, 3, 3, 2, 4])
+        lines.append(",".join([str(i), f'"{cell}"', *["z"] * (width - 2)]))
+        rows.append((i, cell.replace('""', '"'), width))
+    return "\n".join(lines) + "\n", rows
+
+
+@pytest.fixture
+def split_bytes(spark):
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    yield use
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [1 << 20, 700, 64, 17])
+def test_records_do_not_depend_on_the_splits(spark, tmp_path, split_bytes, size):
+    import random
+
+    rng, want, folder = random.Random(size), [], tmp_path / "many"
+    folder.mkdir()
+    for name in ("a.csv", "b.csv"):
+        text, rows = _torn_csv(rng, 40)
+        (folder / name).write_text(text, newline="")
+        want.append(rows)
+    split_bytes(size)
+    loaded = csv_table.read_csv(spark, str(folder), delimiter=",", multi_line=True, typed=False)
+    found = sorted((int(r["a"]), r["b"] or "") for r in loaded.table.collect())
+    assert found == sorted((i, cell.strip()) for rows in want for i, cell, _ in rows)
+    audit = {r["kind"]: r for r in loaded.audit.collect()}
+    for kind, width in (("too-few-cells", 2), ("too-many-cells", 4)):
+        places = [j for rows in want for j, r in enumerate(rows, 2) if r[2] == width]
+        assert audit[kind]["n"] == len(places) and audit[kind]["sample_lines"] == places[:3]
+    assert "open-quote" not in audit
+
+
+@pytest.mark.parametrize("size", [1 << 20, 9])
+def test_a_mark_left_open_takes_the_rest_of_its_file(spark, tmp_path, split_bytes, size):
+    from surveyloom.sources.csv_records import records
+
+    path = _write(tmp_path, 'a,b\n1,2\n\n \u00a0,\n3,"four\nfive,6\n7,8\n')
+    split_bytes(size)
+    found = sorted(map(tuple, records(spark, path).select("number", "cells", "marks", "filled", "text").collect()))
+    assert found == [(1, 2, 0, True, "a,b"), (2, 2, 0, True, "1,2"), (3, 2, 0, False, " \u00a0,"), (4, 2, 1, True, '3,"four\nfive,6\n7,8')]
+    audit = {r["kind"]: r for r in csv_table.read_csv(spark, path, delimiter=",", multi_line=True).audit.collect()}
+    assert audit["open-quote"]["sample_lines"] == [4] and set(audit) == {"open-quote"}
