@@ -181,6 +181,27 @@ def dbscan(spark, folder):
     return grid.dbscan_labels(table(spark, folder, "customer"), ["c_acctbal", "c_nationkey"], EPS, MIN_SAMPLES, "c_custkey", True)
 
 
+WIDE, WIDE_EPS = 6, 0.14
+_WIDE = f"""z AS (SELECT vec_id AS id, {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(WIDE))} FROM embeddings),
+    near AS (SELECT a.id AS p, b.id AS q FROM z a, z b
+        WHERE {" + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(WIDE))} <= {WIDE_EPS * WIDE_EPS!r}::DOUBLE),
+    core AS (SELECT p AS id FROM near GROUP BY p HAVING count(*) >= {MIN_SAMPLES})"""
+
+
+@query(f"""WITH RECURSIVE {_WIDE}, links AS (SELECT p, q FROM near WHERE p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
+    reach AS (SELECT id, id AS root FROM core UNION SELECT l.q, r.root FROM reach r JOIN links l ON l.p = r.id WHERE r.root < l.q),
+    rooted AS (SELECT id, min(root) AS root FROM reach GROUP BY 1),
+    numbered AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM rooted),
+    border AS (SELECT n.p AS id, min(c.cluster) AS cluster FROM near n JOIN numbered c ON n.q = c.id GROUP BY 1)
+    SELECT z.id AS row_id, coalesce('Cluster ' || CAST(coalesce(c.cluster, b.cluster) AS VARCHAR), 'Noise') AS label
+    FROM z LEFT JOIN numbered c ON z.id = c.id LEFT JOIN border b ON z.id = b.id""")
+def dbscan_many_axes(spark, folder):
+    """Clusters on the first six components of the embeddings."""
+    axes = [f"x{i}" for i in range(WIDE)]
+    rows = table(spark, folder, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(axes)])
+    return grid.dbscan_labels(rows, axes, WIDE_EPS, MIN_SAMPLES, "vec_id")
+
+
 @query()
 def kmeans_labels(spark, folder):
     customers = table(spark, folder, "customer")

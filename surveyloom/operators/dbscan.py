@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
 from surveyloom.operators.missing import distance_views
-from surveyloom.operators.neighbors import RadiusGraph
+from surveyloom.operators.wide_grid import wide_labels
 from surveyloom.plans.components import components
 from surveyloom.plans.ranking import dense_index
 from surveyloom.plans.scratch import materialize, row_count
@@ -263,21 +263,6 @@ def _labels(grid: Grid) -> DataFrame:
     return settled.unionByName(loose)
 
 
-def _wide_labels(points: DataFrame, names: Sequence[str], eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
-    """Core row ids, and (row_id, cluster), where the cells around a cell are too many to list."""
-    graph = RadiusGraph(points, names, eps)
-    counted = materialize(graph.places.join(graph.neighbour_counts(), "id"), "counted")
-    core, rest = counted.filter(F.col("n") >= min_samples).drop("n"), counted.filter(F.col("n") < min_samples).drop("n")
-    rooted = components(core.select(F.col("id").alias("node")), graph.links(core))
-    numbered = dense_index(rooted, "root", "cluster")
-    clusters = materialize(rooted.join(numbered, "root").select(F.col("node").alias("id"), "cluster"), "clusters")
-    labelled = core.drop("w").join(clusters, "id").withColumnRenamed("cluster", "w")
-    border = graph.least_label(rest, labelled).select("id", F.col("label").alias("cluster"))
-    found = clusters.unionByName(border)
-    rows = points.join(graph.places.select(*names, "id"), list(names)).select("row_id", "id")
-    return rows.join(core.select("id"), "id", "left_semi").select("row_id"), rows.join(found, "id", "left").select("row_id", "cluster")
-
-
 def _points(df: DataFrame, columns: Sequence[str], eps: float, row_id: str, standardize: bool) -> tuple[DataFrame, list[str]]:
     columns = list(columns)
     if not eps > 0:
@@ -297,7 +282,7 @@ def core_points(
     """Row ids with at least ``min_samples`` rows within eps, themselves included."""
     points, names = _points(df, columns, eps, row_id, standardize)
     if not _few_axes(names):
-        return _wide_labels(points, names, float(eps), int(min_samples))[0]
+        return wide_labels(points, names, float(eps), int(min_samples))[0]
     return Grid(points, names, float(eps), int(min_samples)).core_points().select("row_id")
 
 
@@ -309,7 +294,7 @@ def dbscan_labels(
     if _few_axes(names):
         labels = _labels(Grid(points, names, float(eps), int(min_samples)))
     else:
-        labels = _wide_labels(points, names, float(eps), int(min_samples))[1]
+        labels = wide_labels(points, names, float(eps), int(min_samples))[1]
     name = F.concat(F.lit("Cluster "), F.col("cluster").cast("string"))
     return labels.select("row_id", F.coalesce(name, F.lit("Noise")).alias("label"))
 

@@ -90,12 +90,12 @@ def _kth(near: Column, k: int) -> Column:
         (a["seen"] + e["w"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + e["w"] >= k, e["d"])).alias("at")))["at"]
 
 
-def distinct_places(points: DataFrame, names: Sequence[str]) -> DataFrame:
+def places_of(points: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row for each distinct place: its coordinates, how many rows are there (w) and the least row_id (id)."""
     return materialize(points.groupBy(*names).agg(F.count(F.lit(1)).alias("w"), F.min("row_id").alias("id")), "places")
 
 
-def _grid_axes(places: DataFrame, names: Sequence[str]) -> tuple[list[str], dict[str, float], float]:
+def grid_axes(places: DataFrame, names: Sequence[str]) -> tuple[list[str], dict[str, float], float]:
     """The widest axes, where they begin, and the width of the widest."""
     ends = places.agg(*[f(n).alias(f"{t}_{n}") for n in names for t, f in (("lo", F.min), ("hi", F.max))]).first()
     width = {n: (ends[f"hi_{n}"] or 0.0) - (ends[f"lo_{n}"] or 0.0) for n in names}
@@ -111,8 +111,8 @@ def kth_distances(points: DataFrame, names: Sequence[str], kth: int) -> DataFram
     the cells around it can be nearer; the others go on with cells twice as
     wide. ``points`` needs ``row_id`` and finite coordinates.
     """
-    places = distinct_places(points, names)
-    axes, low, widest = _grid_axes(places, names)
+    places = places_of(points, names)
+    axes, low, widest = grid_axes(places, names)
     side = _first_side(places, axes, low, widest) if widest > 0 else 1.0
     open_, settled = places, []
     while True:
@@ -165,7 +165,7 @@ def _least_label(ids, _w, _others, labels, hit):
     return ids[reached], np.where(hit[reached], labels[None, :], np.iinfo(np.int64).max).min(axis=1)
 
 
-def _forest(ids, _w, others, _weights, hit):
+def forest(ids: np.ndarray, others: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the hits connect: each row to its first hit, and hits of one row to each other."""
     left, right = np.nonzero(hit)
     nodes, place = np.unique(np.concatenate([ids[left], others[right]]), return_inverse=True)
@@ -184,24 +184,19 @@ def _forest(ids, _w, others, _weights, hit):
 
 
 class RadiusGraph:
-    """Rows within ``eps`` of each other, for any number of axes: the grid takes the widest ones, distances all."""
+    """Places (id, w and coordinates) within ``eps`` of each other, for any number of axes: the grid takes the widest ones, distances all."""
 
-    def __init__(self, points: DataFrame, names: Sequence[str], eps: float):
-        self.names, self.eps = list(names), eps
-        self.places = distinct_places(points, names)
-        self.axes, self.low, _ = _grid_axes(self.places, names)
+    def __init__(self, places: DataFrame, names: Sequence[str], eps: float):
+        self.names, self.eps, self.places = list(names), eps, places
+        self.axes, self.low, _ = grid_axes(places, names)
 
     def _fold(self, asking: DataFrame, held: DataFrame, fold) -> DataFrame:
         pairs = _pack_pairs(asking, held, self.axes, self.names, self.low, self.eps * (1 + 1e-9))
         return pairs.mapInArrow(_within(self.names, self.eps * self.eps, fold), "id long, v long")
 
-    def neighbour_counts(self) -> DataFrame:
-        """(id, n): rows within eps of each place, its own included."""
-        return self._fold(self.places, self.places, _count).groupBy("id").agg(F.sum("v").alias("n"))
-
-    def links(self, among: DataFrame) -> DataFrame:
-        """(u, v) that connect what lies within eps among some places."""
-        return self._fold(among, among, _forest).select(F.col("id").alias("u"), F.col("v").alias("v"))
+    def neighbour_counts(self, asking: DataFrame) -> DataFrame:
+        """(id, v): rows within eps of each of some places, their own included."""
+        return self._fold(asking, self.places, _count).groupBy("id").agg(F.sum("v").alias("v"))
 
     def least_label(self, asking: DataFrame, labelled: DataFrame) -> DataFrame:
         """(id, label): the least ``w`` of the labelled places within eps."""

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import dbscan, diagnostics, impute, kmeans, neighbors, pca, projection, sample
+from surveyloom.operators import dbscan, diagnostics, impute, kmeans, neighbors, pca, projection, sample, wide_grid
 
 
 def _frame(spark, x, parts=3, **extra):
@@ -310,6 +310,23 @@ def test_dbscan_on_many_axes(spark, d):
         assert [got[i] for i in range(len(x))] == _expected_clusters(x, eps, m)
 
 
+def _crowds(d):
+    """Dense balls: one crowd, one that touches it, one on its own; a thin bridge, border rows and noise; repeated places."""
+    rng = np.random.default_rng(d)
+    balls = [rng.normal(c, 0.05, (n, d)) for c, n in ((0.0, 150), (0.25, 60), (2.0, 80))]
+    bridge = np.linspace(2.0, 2.6, 12)[:, None] * np.ones(d)
+    return np.concatenate([*balls, bridge, rng.uniform(-1, 3, (40, d)), np.full((9, d), 1.0), np.full((3, d), -1.0)])
+
+
+@pytest.mark.parametrize(("d", "pack", "eps", "m"), [(6, 1024, 0.4, 5), (8, 40, 0.62, 30)])
+def test_dbscan_on_many_axes_where_rows_crowd(spark, tiny_hot, monkeypatch, d, pack, eps, m):
+    monkeypatch.setattr(wide_grid, "_PACK", pack)
+    x = np.random.default_rng(1).permutation(_crowds(d))
+    df, axes = _frame(spark, x, parts=3)
+    got = {r["row_id"]: r["label"] for r in dbscan.dbscan_labels(df, axes, eps, m, "id").collect()}
+    assert [got[i] for i in range(len(x))] == _expected_clusters(x, eps, m)
+
+
 def test_run_takes_its_label_from_the_variables(spark):
     x = np.random.default_rng(1).normal(size=(40, 2))
     df = spark.createDataFrame(pd.DataFrame({"mood_1": x[:, 0], "mood_2": x[:, 1]}))
