@@ -15,7 +15,7 @@ import numpy as np
 import tiktoken
 
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-KEPT_BYTES = 48 << 20  # of pieces kept with their ids, as Python holds them
+KEPT_BYTES = 72 << 20  # of pieces kept with their ids, as Python holds them
 LONGEST_KEPT = 64
 _ENTRY = 250  # bytes that an entry takes besides its piece
 
