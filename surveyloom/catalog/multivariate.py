@@ -119,6 +119,43 @@ def impute_iterative(spark, folder):
         total(missing).cast("int").alias("still_missing")).withColumn("converged", F.lit(fit.converged))
 
 
+# Two columns leave one component, whose fill of a cell has a closed form: with correlation r, its sign s and
+# q = |r| / (1 + |r|), the standardized fill is q (a + s b). The recursion carries the whole table, step by step.
+_PAIR_START = f"""g AS ({_GAPPED}), start AS (SELECT o_orderkey, price IS NULL AS ga, mixed IS NULL AS gb,
+      coalesce(CAST(price AS DOUBLE), avg(price) OVER ()) AS a, coalesce(CAST(mixed AS DOUBLE), avg(mixed) OVER ()) AS b FROM g)"""
+_PAIR_STEP = """SELECT o_orderkey, ga, gb, a, b, it + 1 AS it,
+      CASE WHEN ga THEN ma + sa * q * ((a - ma) / sa + s * (b - mb) / sb) ELSE a END AS na,
+      CASE WHEN gb THEN mb + sb * q * (s * (a - ma) / sa + (b - mb) / sb) ELSE b END AS nb
+    FROM (SELECT *, abs(r) / (1 + abs(r)) AS q, CASE WHEN r < 0 THEN -1 ELSE 1 END AS s FROM (
+      SELECT *, avg(a) OVER () AS ma, avg(b) OVER () AS mb, stddev_pop(a) OVER () AS sa, stddev_pop(b) OVER () AS sb, corr(a, b) OVER () AS r
+      FROM fill WHERE open))"""
+_PAIR = f"""{_PAIR_START}, fill AS (SELECT *, 0 AS it, TRUE AS open FROM start UNION ALL
+    SELECT o_orderkey, ga, gb, na AS a, nb AS b, it,
+      it < 200 AND sum(CASE WHEN ga THEN (na - a) * (na - a) ELSE 0 END + CASE WHEN gb THEN (nb - b) * (nb - b) ELSE 0 END) OVER ()
+      > 1e-8::DOUBLE * sum(CASE WHEN ga THEN na * na ELSE 0 END + CASE WHEN gb THEN nb * nb ELSE 0 END) OVER () AS open
+    FROM ({_PAIR_STEP})), last AS (SELECT * FROM fill WHERE NOT open)"""
+
+
+@query(f"""WITH RECURSIVE {_PAIR} SELECT o_orderkey, {sql_round('a', 3)} AS price, {sql_round('b', 3)} AS mixed FROM last""")
+def impute_values(spark, folder):
+    """The numbers the iterative fill leaves in two columns, gaps and all."""
+    pair = _gapped(spark, folder).select("o_orderkey", "price", "mixed")
+    fit = impute.fit_iterative(pair, ["price", "mixed"])
+    return fit.fill(pair).select("o_orderkey", rounded("price", 3), rounded("mixed", 3))
+
+
+_PAIR_VALUES = "SELECT corr(a, b) AS r, max(it) AS it FROM last"
+
+
+@query(f"""WITH RECURSIVE {_PAIR} SELECT CAST(c AS INTEGER) AS component, {sql_round('CASE c WHEN 1 THEN 1 + abs(r) ELSE 1 - abs(r) END')} AS eigenvalue,
+    {sql_round('CASE c WHEN 1 THEN 1 + abs(r) ELSE 1 - abs(r) END / 2')} AS share, CAST(it AS INTEGER) AS iterations
+    FROM ({_PAIR_VALUES}), (SELECT unnest([1, 2]) AS c)""")
+def pca_iterative_pair(spark, folder):
+    """The spectrum of two columns after the iterative fill, and the steps it took."""
+    run = pca.run_pca(_gapped(spark, folder), ["price", "mixed"], k=1, missing="iterative")
+    return run.spectrum.select("component", rounded("eigenvalue"), rounded("share"), F.lit(run.iterations).alias("iterations"))
+
+
 @query()
 def pca_iterative(spark, folder):
     run = pca.run_pca(_gapped(spark, folder), ["price", "mixed", "cust", "blend"], k=2, missing="iterative")

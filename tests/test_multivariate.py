@@ -202,6 +202,25 @@ def test_iterative_imputation_beats_the_median(spark, share):
     assert np.abs(got - x)[holes].mean() < 0.7 * np.abs(median - x)[holes].mean()
 
 
+@pytest.mark.parametrize("carry", [1, 3])
+def test_iterative_imputation_from_stored_rows(spark, monkeypatch, carry):
+    """Steps replayed from rows stored on the way give what replaying all of them gives."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(120, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(120, 5)) * 0.3
+    df, axes = _frame(spark, np.where(rng.random(x.shape) < 0.15, np.nan, x))
+    monkeypatch.setattr(impute, "_CARRY", 10**6)
+    whole = impute.fit_iterative(df, axes, max_iter=20, tol=0.0)
+    monkeypatch.setattr(impute, "_CARRY", carry)
+    made = impute.fit_iterative(df, axes, max_iter=20, tol=0.0)
+    assert made.iterations == whole.iterations == 20
+    for a, b in zip(whole.steps, made.steps):
+        np.testing.assert_allclose(a.mean, b.mean, atol=1e-12)
+        np.testing.assert_allclose(a.shrink, b.shrink, atol=1e-12)
+    x0 = np.array([list(r) for r in whole.fill(df).orderBy("id").select(*axes).collect()])
+    x1 = np.array([list(r) for r in made.fill(df).orderBy("id").select(*axes).collect()])
+    np.testing.assert_allclose(x0, x1, atol=1e-10)
+
+
 def test_iterative_imputation_without_gaps(spark):
     df, axes = _frame(spark, np.random.default_rng(0).normal(size=(20, 3)))
     fit = impute.fit_iterative(df, axes)
