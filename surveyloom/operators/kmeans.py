@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.numeric import col
 from surveyloom.operators.missing import distance_views
-from surveyloom.plans.scratch import materialize, row_count
+from surveyloom.plans.scratch import discard, materialize, row_count
 from surveyloom.plans.vectors import PARTIAL_SCHEMA, matrix_of, partial_batch, tree_sum
 
 # The starts and their seeds, and the longest run of one start.
@@ -22,6 +22,10 @@ MAX_ITERATIONS = 300
 
 _SEEDING_ROUNDS = 4
 _EXPRESSION_TERMS = 600
+_BLOCK_CELLS = 1 << 20
+# Centres from which on bounds are worth their table, and the share of rows that makes a new one due.
+_BOUND_CENTERS = 32
+_OPEN_SHARE = 0.25
 
 
 @dataclass
@@ -34,11 +38,54 @@ class Fit:
     converged: bool = False
 
 
+def _about(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of a few rows to all centres by one matrix product, and how far off each row's may be."""
+    sizes, lengths = (x**2).sum(axis=1), (centers**2).sum(axis=1)
+    found = sizes[:, None] - 2 * (x @ centers.T) + lengths
+    return found, 8 * (x.shape[1] + 8) * np.finfo(float).eps * (sizes + lengths.max())
+
+
+def _blocks(rows: int, k: int):
+    step = max(1, _BLOCK_CELLS // max(k, 1))
+    for lo in range(0, rows, step):
+        yield slice(lo, min(lo + step, rows))
+
+
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre of each row, lowest index on ties, and its squared distance."""
-    squared = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
-    label = squared.argmin(axis=1)
-    return label, squared[np.arange(len(x)), label]
+    """Index of the nearest centre of each row, lowest index on ties, and its squared distance.
+
+    Rows are taken in blocks, so memory does not grow with rows times centres. A
+    product of matrices rules out most centres; those that its rounding leaves
+    open are compared by their exact distances.
+    """
+    label = np.empty(len(x), np.int64)
+    squared = np.empty(len(x))
+    for part in _blocks(len(x), len(centers)):
+        rows = x[part]
+        found, slack = _about(rows, centers)
+        best = found.argmin(axis=1)
+        own = ((rows - centers[best]) ** 2).sum(axis=1)
+        # written so that a distance that is no number counts as open
+        maybe = ~(found > (found[np.arange(len(rows)), best] + 2 * slack)[:, None])
+        torn = np.flatnonzero(maybe.sum(axis=1) != 1)
+        if len(torn):
+            at, center = np.nonzero(maybe[torn])
+            exact = ((rows[torn[at]] - centers[center]) ** 2).sum(axis=1)
+            order = np.lexsort((center, exact, at))
+            first = order[np.searchsorted(at, np.arange(len(torn)))]
+            best[torn], own[torn] = center[first], exact[first]
+        label[part], squared[part] = best, own
+    return label, squared
+
+
+def _second_bound(x: np.ndarray, centers: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """No centre but a row's own is nearer to it than this."""
+    bound = np.empty(len(x))
+    for part in _blocks(len(x), len(centers)):
+        found, slack = _about(x[part], centers)
+        found[np.arange(len(found)), label[part]] = np.inf
+        bound[part] = np.sqrt(np.maximum(found.min(axis=1) - slack, 0))
+    return bound
 
 
 def nearest_center(views: Sequence[Column], centers: np.ndarray) -> Column:
@@ -140,7 +187,10 @@ def _seeding_points(points: DataFrame, names: Sequence[str], k: int, seed: int)
 def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int, int]]) -> list[Fit]:
     """Lloyd iterations for several (k, seed) starts, one shared job per iteration.
 
-    ``points`` has a ``row_id`` and complete coordinates. A cluster that loses
+    With many centres each row's nearest centre and a bound on all others are
+    stored with the points; an iteration then compares only those rows with
+    every centre whose bound the moves since then have used up. The table is
+    written anew once that is more than a share of the rows. ``points`` has a ``row_id`` and complete coordinates. A cluster that loses
     all its points restarts at the point farthest from its own centre, so k
     clusters stay k clusters.
     """
@@ -152,24 +202,33 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
         if len(f.centers) < f.k:
             raise ValueError(f"fewer than {f.k} distinct points")
     active = set(range(len(fits)))
+    source, marks = points, {}
     while active:
         current = {i: fits[i].centers for i in sorted(active)}
+        columns = [*names, *[c for i in current if i in marks for c in (f"own{i}", f"second{i}")]]
 
-        def accumulate(batches, current=current):
+        def accumulate(batches, current=current, marks=dict(marks)):
             totals: dict[int, np.ndarray] = {}
             for batch in batches:
                 x = matrix_of(batch, names)
                 for i, centers in current.items():
                     k = len(centers)
-                    label, squared = nearest(x, centers)
+                    if i in marks:
+                        label, squared, unsettled = _by_bounds(
+                            x, centers, marks[i], batch.column(f"own{i}").to_numpy(), batch.column(f"second{i}").to_numpy())
+                    else:
+                        (label, squared), unsettled = nearest(x, centers), len(x)
                     part = np.concatenate([
                         [squared.sum()], np.bincount(label, minlength=k),
-                        *[np.bincount(label, weights=x[:, j], minlength=k) for j in range(d)],
+                        *[np.bincount(label, weights=x[:, j], minlength=k) for j in range(d)], [unsettled],
                     ])
                     totals[i] = totals[i] + part if i in totals else part
             yield partial_batch(totals)
 
-        sums = tree_sum(points.select(*names).mapInArrow(accumulate, PARTIAL_SCHEMA), plain_scan=True)
+        sums = tree_sum(source.select(*columns).mapInArrow(accumulate, PARTIAL_SCHEMA), plain_scan=True)
+        before = {i: fits[i].centers for i in active}
+        unsettled = {i: sums[i][-1] for i in active}
+        sums = {i: total[:-1] for i, total in sums.items()}
         for i in sorted(active):
             fit, total = fits[i], sums[i]
             counts = total[1 : 1 + fit.k]
@@ -191,9 +250,52 @@ def fit_all(points: DataFrame, names: Sequence[str], configs: Sequence[tuple[int
                     active.discard(i)
             if fit.iterations >= MAX_ITERATIONS:
                 active.discard(i)
+        wide = [i for i in sorted(active) if fits[i].k >= _BOUND_CENTERS]
+        rows = sum(sums[i][1 : 1 + fits[i].k].sum() for i in wide)
+        if wide and sum(unsettled[i] for i in wide) > _OPEN_SHARE * rows:
+            old, marks = source, {i: before[i] for i in wide}
+            source = _with_bounds(points, names, marks)
+            if old is not points:
+                discard(old)
+    if source is not points:
+        discard(source)
     return fits
 
 
+def _by_bounds(
+    x: np.ndarray, centers: np.ndarray, marked: np.ndarray, own: np.ndarray, second: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """What ``nearest`` finds, and for how many rows the stored bounds did not settle it.
+
+    ``own`` and ``second`` were taken against the centres ``marked``. No centre has
+    come nearer by more than the longest way one has moved since, so a row
+    whose own centre is nearer than what is left of ``second`` keeps it.
+    """
+    moved = np.sqrt(((centers - marked) ** 2).sum(axis=1).max())
+    label = own.astype(np.int64)
+    squared = ((x - centers[label]) ** 2).sum(axis=1)
+    torn = np.flatnonzero(~(np.sqrt(squared) * (1 + 1e-9) < (second - moved) * (1 - 1e-9)))
+    if len(torn):
+        label[torn], squared[torn] = nearest(x[torn], centers)
+    return label, squared, len(torn)
+
+
+def _with_bounds(points: DataFrame, names: Sequence[str], centers: dict[int, np.ndarray]) -> DataFrame:
+    """The points, stored with each start's nearest centre and a lower bound on the distance to any other."""
+    def run(batches):
+        for batch in batches:
+            x = matrix_of(batch, names)
+            found = [pa.array(x[:, j]) for j in range(len(names))]
+            for c in centers.values():
+                label = nearest(x, c)[0]
+                found += [pa.array(label.astype(np.int32)), pa.array(_second_bound(x, c, label))]
+            yield pa.RecordBatch.from_arrays(found, names=columns)
+
+    columns = [*names, *[c for i in centers for c in (f"own{i}", f"second{i}")]]
+    schema = ", ".join([f"{c} double" for c in names] + [f"own{i} int, second{i} double" for i in centers])
+    return materialize(points.select(*names).mapInArrow(run, schema), "bounds")
+
+
 def _farthest(points: DataFrame, names: Sequence[str], centers: np.ndarray, n: int) -> np.ndarray:
     """The n distinct points farthest from their nearest centre; each task sends its own n."""
     def measure(batches):

@@ -117,6 +117,38 @@ def test_kmeans_restarts_an_empty_cluster(spark, monkeypatch):
     assert kmeans.kmeans(df, axes, 3, "id").inertia < 5
 
 
+def test_nearest_in_blocks_is_exact(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(kmeans, "_BLOCK_CELLS", 64)
+    for x, centers in (
+        (rng.normal(size=(200, 6)), rng.normal(size=(40, 6))),
+        (rng.normal(size=(200, 3)) * 1e-4 + 1e6, rng.normal(size=(30, 3)) * 1e-4 + 1e6),  # a product alone cannot tell these
+        (np.round(rng.uniform(0, 4, (200, 2))), np.repeat(np.round(rng.uniform(0, 4, (9, 2))), 2, axis=0)),  # ties
+        (np.zeros((5, 2)), np.zeros((1, 2))), (np.zeros((0, 2)), np.ones((3, 2))),
+    ):
+        squared = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+        label, own = kmeans.nearest(x, centers)
+        assert (label == squared.argmin(axis=1)).all()
+        np.testing.assert_array_equal(own, squared.min(axis=1))
+
+
+def test_kmeans_by_bounds_finds_the_same_centers(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.normal(c, 0.5, (40, 3)) for c in rng.uniform(-6, 6, (12, 3))])
+    df, axes = _frame(spark, x)
+    points, names = kmeans.narrow_points(df, [F.col(a) for a in axes], "id")
+    configs = [(8, 42), (12, 43), (12, 44)]
+    plain = kmeans.fit_all(points, names, configs)
+    seen, real = [], kmeans._with_bounds
+    monkeypatch.setattr(kmeans, "_BOUND_CENTERS", 10)
+    monkeypatch.setattr(kmeans, "_with_bounds", lambda *args: seen.append(sorted(args[2])) or real(*args))
+    bounded = kmeans.fit_all(points, names, configs)
+    assert seen and all(set(s) <= {1, 2} for s in seen)
+    for a, b in zip(plain, bounded):
+        assert a.iterations == b.iterations and a.converged == b.converged
+        np.testing.assert_allclose(a.centers, b.centers, atol=1e-9)
+
+
 def test_wide_assignment_matches_the_expression(spark):
     x = np.random.default_rng(1).normal(size=(40, 3))
     df, axes = _frame(spark, x)
