@@ -4,7 +4,9 @@
    corpus and those that two documents or more hold are confirmed as recurring.
 2. Documents that hold one are dealt into shards, together with the phrases
    confirmed for them. Each shard compiles an Aho-Corasick automaton and streams
-   its documents through it, which locates every occurrence. Runs of windows around
+   its documents through it, which locates every occurrence; nothing else says where
+   one is. A window belongs to the occurrence in it whose phrase hashes least: in a
+   window that recurs that is the phrase it keeps, in every shard. Runs of windows at
    the same occurrence are reported with a hash of all their words.
 3. Runs that are equal as a whole are settled by their least doc_id. Only the
    runs of that document are opened into windows and compared one by one.
@@ -52,19 +54,19 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in at.tolist():
                 shard.add_word(text[begin[i]:end[i + PHRASE - 1] + 2])
             shard.make_automaton()
-            hit = np.zeros(len(text) + 1, dtype=bool)
-            if len(at):
-                hit[[last for last, _ in shard.iter(text)]] = True
-            runs = minimisers(words, PHRASE, WINDOW)
-            # A phrase ends with the space after its last word.
-            kept = np.flatnonzero(hit[end[runs.place + PHRASE - 1] + 1])
-            first, count, place, owner = runs.first[kept], runs.count[kept], runs.place[kept], runs.text[kept]
+            # A phrase ends with the space after its last word, and lies in one text.
+            spaces = np.fromiter((last for last, _ in shard.iter(text)) if len(at) else (), np.int64)
+            hit = np.searchsorted(end + 1, np.unique(spaces)) - PHRASE + 1
+            text_of = words.text_of()
+            hit = hit[text_of[hit] == text_of[hit + PHRASE - 1]]
+            runs = minimisers(words, PHRASE, WINDOW, hit)
+            first, count, place, owner = runs.first, runs.count, runs.place, runs.text
             hashes, marks = window_hashes(words, first, count)
             shape = ((place - first) * WINDOW + count).astype(np.uint64)
             block = mix(range_hashes(words.hashes, first, first + count + WINDOW - 1, _RUN_BASE) + shape)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array(owner + lo)), batch.column(1).take(pa.array(owner + lo)),
-                pa.array(runs.gram[kept].view(np.int64)), pa.array(block.view(np.int64)),
+                pa.array(runs.gram.view(np.int64)), pa.array(block.view(np.int64)),
                 pa.array((first - words.bounds[owner]).astype(np.int32)), pa.array(count.astype(np.int32)),
                 list_column(pa.array(hashes.view(np.int64)), marks),
             ], names=[c.split()[0] for c in _RUNS.split(", ")])

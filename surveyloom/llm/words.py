@@ -155,11 +155,12 @@ class Runs:
     gram: np.ndarray  # its hash
 
 
-def minimisers(words: Words, k: int, span: int) -> Runs:
+def minimisers(words: Words, k: int, span: int, places: np.ndarray | None = None) -> Runs:
     """Winnowing: of every ``span`` words of a text, the k-gram with the least hash, the last of equals.
 
     Which k-gram a window keeps depends on its words alone, so equal windows
-    keep the same one, wherever they occur.
+    keep the same one, wherever they occur. With ``places`` only the k-grams that
+    begin at these words are there to choose from, and windows without one drop out.
     """
     grams = gram_hashes(words, k)
     windows = len(words.hashes) - span + 1
@@ -168,6 +169,11 @@ def minimisers(words: Words, k: int, span: int) -> Runs:
         return Runs(none, none, none, none, none.astype(np.uint64))
     low = np.uint64((1 << max(20, int(len(grams)).bit_length())) - 1)
     least = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
+    there = np.ones(len(grams), dtype=bool)
+    if places is not None:
+        there[:] = False
+        there[places] = True
+        least[~there] = np.uint64(_WRAP - 1)
     reach, width = 1, span - k + 1
     while reach < width:
         step = min(reach, width - reach)
@@ -175,10 +181,11 @@ def minimisers(words: Words, k: int, span: int) -> Runs:
         reach += step
     place = (low - (least & low)).astype(np.int64)
     text = words.text_of()
-    whole = np.flatnonzero(text[:windows] == text[span - 1:])
+    # a window without a place to choose from comes out at one before it, or at one that is not there
+    whole = np.flatnonzero((text[:windows] == text[span - 1:]) & there[place] & (place >= np.arange(windows)))
     place, text = place[whole], text[whole]
     new = np.ones(len(whole), dtype=bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1] + 1)
     at = np.flatnonzero(new)
     return Runs(text[at], whole[at], np.diff(np.append(at, len(whole))), place[at], grams[place[at]])
 

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -158,6 +159,30 @@ def test_sparse_suffixes(docs, no_docs, empty):
     assert rows(found, "doc_id", "span_start", "span_words", "first_doc_id") == sorted(brute.spans(given), key=repr)
 
 
+def _located(texts, named):
+    """Runs by (doc_id, first, n) that the automaton of these texts finds, with the phrases at the named places in it."""
+    entry = pa.struct([("gram", pa.int64()), ("place", pa.int32())])
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts),
+        pa.array([[{"gram": 0, "place": p} for p in named.get(i, ())] for i in range(len(texts))], pa.list_(entry)),
+    ], names=["doc_id", "text_hash", "text", "phrases"])
+    return {
+        (r["doc_id"], r["first"], r["n"]) for out in repeated_phrases._locate(iter([batch])) for r in out.to_pylist()}
+
+
+def test_automata_locate_occurrences_that_no_list_names():
+    words = [f"w{i}" for i in range(300)]
+    phrase = words[100:108]
+    texts = [" ".join(words), " ".join([*words[200:260], *phrase, *words[:60]]), " ".join(words[:90]), " ".join(phrase)]
+    # windows of 50 words that hold all of the phrase: 43 in the first text, 43 in the second, too short a last one
+    assert _located(texts, {0: [100]}) == {(0, 58, 43), (1, 18, 43)}
+    assert _located(texts, {}) == set()
+    # the first words of a slice: windows after the phrase hold no occurrence
+    assert _located(texts, {2: [0]}) == {(0, 0, 1), (1, 26, 43), (2, 0, 1)}
+    # a phrase does not reach from one text into the next
+    assert _located([" ".join(words[:96]), " ".join(words[96:200])], {}) == set()
+
+
 def test_cut_repeats_keeps_the_rest_of_the_text(docs):
     found = sparse_suffixes.cut_repeats(docs, "_s", "_left").collect()
     assert len(found) == len(awkward_texts()) and all(r.spans == "own spans" for r in found)
