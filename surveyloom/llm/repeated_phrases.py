@@ -31,7 +31,7 @@ from surveyloom.llm.words import WHITE, list_column, minimisers, mix, range_hash
 from surveyloom.plans.scratch import discard, materialize, release_shuffles
 
 _RUN_BASE = 0x9FB21C651E98DF25
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 
 _RUNS = "doc_id long, text_hash long, gram long, block long, first int, n int, hashes array<long>"
 _RUN = ("gram", "block")
@@ -56,6 +56,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard.make_automaton()
             # A phrase ends with the space after its last word, and lies in one text.
             spaces = np.fromiter((last for last, _ in shard.iter(text)) if len(at) else (), np.int64)
+            del shard, text, joined
             hit = np.searchsorted(end + 1, np.unique(spaces)) - PHRASE + 1
             text_of = words.text_of()
             hit = hit[text_of[hit] == text_of[hit + PHRASE - 1]]
@@ -70,6 +71,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array((first - words.bounds[owner]).astype(np.int32)), pa.array(count.astype(np.int32)),
                 list_column(pa.array(hashes.view(np.int64)), marks),
             ], names=[c.split()[0] for c in _RUNS.split(", ")])
+        pa.default_memory_pool().release_unused()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
