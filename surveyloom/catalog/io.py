@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.catalog.common import spread_table, table
-from surveyloom.operators import feedback, search, view
+from surveyloom.operators import feedback, search, search_index, view
 from surveyloom.plans.scratch import scratch_path
 from surveyloom.sources import csv_export, csv_table, parquet_table, snapshots
 from surveyloom.streaming.feedback import AppendSink, start_append
@@ -189,6 +189,14 @@ def search_documents(spark, folder):
     return hits.select("doc_id", "score")
 
 
+@query(_search_sql("documents", "lang || ' ' || source || ' ' || text", "doc_id", "Eauouon, rest and the of onnthe!"))
+def search_documents_indexed(spark, folder):
+    """The same three hits by way of a stored trigram index."""
+    index = search_index.build_index(
+        table(spark, folder, "documents"), scratch_path(spark, "search-index"), ["lang", "source", "text"], "doc_id", buckets=16)
+    return index.search("Eauouon, rest and the of onnthe!").select("doc_id", "score")
+
+
 @query(_search_sql("benchmark", "text", "item_id", "eroundth onen whou lytion"))
 def search_benchmark(spark, folder):
     return search.search(table(spark, folder, "benchmark"), "eroundth onen whou lytion", ["text"], "item_id").select("item_id", "score")

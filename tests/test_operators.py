@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import codes, crosstab, feedback, groups, missing, profile, search, transfer, view
+from surveyloom.operators import codes, crosstab, feedback, groups, missing, profile, search, search_index, transfer, view
 from surveyloom.operators.correlation import correlate
 from surveyloom.plans.scratch import materialize
 
@@ -231,6 +233,43 @@ def test_search(spark):
     assert [r["i"] for r in got] == [3, 1, 2]
 
 
+def test_search_index_finds_what_the_scan_finds(spark, tmp_path):
+    rng = random.Random(3)
+    letters = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choice(letters) for _ in range(rng.randint(0, 6))) for _ in range(200)]
+    rows = [(i, None if i % 41 == 0 else t.upper() if i % 3 else t, i % 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[5], (300, "m² of", 1)], "i int, body string, g int")
+    index = search_index.build_index(df, str(tmp_path / "index"), ["body"], "i", buckets=8)
+    for query in ["abc bca", "aaa abc abc cab, acb", "abcab", "m²", "zzz", "of", "", "abc zzz cccc", "bab abb cba bcc aac"]:
+        want = [(r["i"], r["score"]) for r in search.search(df, query, ["body"], "i").collect()]
+        assert [(r["i"], r["score"]) for r in index.search(query).collect()] == want, query
+    assert index.search("abc").columns == [*df.columns, "score"]
+
+
+def test_search_index_reads_the_postings_it_needs(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5)) for _ in range(150)]
+    df = spark.createDataFrame([*enumerate(texts), (900, "needle xylophone")], "i int, body string")
+    index = search_index.build_index(df, str(tmp_path / "index"), ["body"], "i", buckets=32)
+    lookup = index.postings(["xyl"])
+    assert [r["_key"] for r in lookup.collect()] == [900]
+    scan = lookup._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    files = len(spark.read.parquet(f"{index.path}/postings").inputFiles())
+    assert files >= 32 and scan.metrics().apply("numFiles").value() == 1
+    assert [r["_most"] for r in index.candidates(["needle", "xylophone", "qqq"]).collect()] == [2]
+    texts_read = index.texts(spark.createDataFrame([(900,)], "_key int"))
+    assert [r["i"] for r in texts_read.collect()] == [900]
+
+
+def test_search_index_needs_keys_and_its_own_names(spark, tmp_path):
+    with pytest.raises(ValueError):
+        search_index.build_index(spark.createDataFrame([(None, "abc")], "i int, body string"), str(tmp_path / "a"), ["body"], "i")
+    with pytest.raises(ValueError):
+        search_index.build_index(spark.createDataFrame([(1, "abc")], "score int, body string"), str(tmp_path / "b"), ["body"], "score")
+    empty = search_index.build_index(spark.createDataFrame([], "i int, body string"), str(tmp_path / "c"), ["body"], "i")
+    assert empty.search("abc").collect() == []
+
+
 def test_view(spark):
     df = spark.createDataFrame([(i, float(i), f"c{i % 12}", None if i % 4 == 0 else f"s{i % 2}") for i in range(48)],
                                "id int, v double, c string, s string")
