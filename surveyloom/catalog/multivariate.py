@@ -328,6 +328,26 @@ def silhouette_by_k(spark, folder):
     return by_k.select("k", rounded("squared_silhouette"), "n")
 
 
+# Six groups of customers, each ten times as far out as the one before: the best k clusters are the k - 1 outermost
+# groups and the rest together, for every k up to six.
+_SIX_GROUPS = """SELECT c_custkey, c_nationkey % 6 AS g, c_acctbal / 20000 + CASE c_nationkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 10
+    WHEN 2 THEN 100 WHEN 3 THEN 1000 WHEN 4 THEN 10000 ELSE 100000 END AS x FROM customer"""
+
+
+@query(f"""WITH y AS (SELECT k, c_custkey AS p, x, greatest(g, 6 - k) AS own FROM ({_SIX_GROUPS}), (SELECT unnest([2, 3, 4, 5, 6]) AS k)),
+    c AS (SELECT k, own AS other, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM y GROUP BY k, own),
+    d AS (SELECT k, p, own, other, n, n * x * x - 2 * x * s + q AS total FROM y JOIN c USING (k)),
+    s AS (SELECT *, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) OVER (PARTITION BY k, p) AS a,
+        min(CASE WHEN own <> other THEN total / n END) OVER (PARTITION BY k, p) AS b FROM d),
+    o AS (SELECT k, p, any_value(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM s GROUP BY k, p)
+    SELECT CAST(k AS INTEGER) AS k, {sql_round('avg(s)')} AS squared_silhouette, count(*) AS n FROM o GROUP BY k""")
+def silhouette_by_several_k(spark, folder):
+    """Silhouettes of two to six clusters over all customers."""
+    groups = spark.sql(_SIX_GROUPS.replace("FROM customer", "FROM {c}"), c=table(spark, folder, "customer"))
+    by_k = diagnostics.silhouette_by_k(groups.select("c_custkey", "x"), ["x"], 6, "c_custkey")
+    return by_k.select("k", rounded("squared_silhouette"), "n")
+
+
 @query(f"WITH {_BEST_CUT}, y AS (SELECT count(DISTINCT x <= edge) AS k FROM g, cut) SELECT CAST(k AS INTEGER) AS k FROM y")
 def suggested_k(spark, folder):
     """Two groups far apart suggest two clusters."""
