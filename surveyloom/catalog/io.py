@@ -178,6 +178,18 @@ def snapshot_list(spark, folder):
     return snapshots.list_snapshots(spark, root).select("name", "n_tables", "total_rows")
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderdate, CAST(1 AS INTEGER) AS n_stored FROM orders")
+def snapshot_shared_tables(spark, folder):
+    """The same orders, dealt out otherwise, saved under two names: stored once, and kept when one name goes."""
+    orders, root = table(spark, folder, "orders"), scratch_path(spark, "snapshots")
+    snapshots.save_snapshot(spark, root, "first", {"orders": orders})
+    snapshots.save_snapshot(spark, root, "second", {"mixed": orders.repartition(7, "o_custkey")})
+    parts = {snapshots.read_manifest(spark, root, n)["tables"]["t0"]["part"] for n in ("first", "second")}
+    snapshots.delete_snapshot(spark, root, "first")
+    kept = snapshots.load_snapshot(spark, root, "second")[0]["mixed"]
+    return kept.select("o_orderkey", "o_totalprice", "o_orderdate", F.lit(len(parts)).alias("n_stored"))
+
+
 def _search_sql(source, text, order, query_text):
     score = " + ".join(f"CAST(contains(lower({text}), '{t}') AS INTEGER)" for t in search.search_terms(query_text))
     return f"SELECT {order}, score FROM (SELECT {order}, {score} AS score FROM {source}) WHERE score > 0 ORDER BY score DESC, {order} LIMIT 3"

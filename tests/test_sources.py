@@ -1,5 +1,6 @@
+import os
+
 import pytest
-from pyspark.sql import functions as F
 
 from surveyloom.sources import csv_export, csv_table, snapshots
 
@@ -128,6 +129,61 @@ def test_folder_export_reads_back(spark, tmp_path):
     assert sorted((int(r["i"]), r["s"], r["t"]) for r in back.collect()) == sorted(map(tuple, df.collect()))
 
 
+def _parts(root):
+    """Every whole stored table, with the time it was written."""
+    return {str(p.parent): p.stat().st_mtime_ns for p in (root / ".parts").glob("*/*/_SUCCESS")}
+
+
+def test_equal_tables_are_stored_once(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [(i, None if i % 3 else f"n{i}", [None, i]) for i in range(50)]
+    schema = "id int, name string, l array<int>"
+    a = spark.createDataFrame(rows, schema)
+    turned = spark.createDataFrame(rows[::-1], schema).repartition(5)
+    snapshots.save_snapshot(spark, root, "one", {"a": a, "turned": turned})
+    stored = _parts(tmp_path)
+    assert len(stored) == 1
+    snapshots.save_snapshot(spark, root, "one", {"a": turned})
+    snapshots.save_snapshot(spark, root, "two", {"b": a, "c": a.limit(0)})
+    kept = _parts(tmp_path)
+    assert len(kept) == 2 and stored.items() <= kept.items()
+    assert snapshots.delete_snapshot(spark, root, "one")
+    assert _parts(tmp_path) == kept
+    datasets = snapshots.load_snapshot(spark, root, "two")[0]
+    assert sorted(map(str, datasets["b"].collect())) == sorted(map(str, a.collect())) and datasets["c"].count() == 0
+    snapshots.save_snapshot(spark, root, "two", {"c": a.limit(0)})
+    assert len(_parts(tmp_path)) == 1
+    assert snapshots.delete_snapshot(spark, root, "two") and not _parts(tmp_path)
+    assert not snapshots.delete_snapshot(spark, root, "two")
+
+
+def test_fingerprint_has_no_order(spark):
+    rows = [(None, 1), (1, None), (1, None)]
+    made = [spark.createDataFrame(r, "x int, y int") for r in (rows, rows[::-1])]
+    assert snapshots.fingerprint(made[0]) == snapshots.fingerprint(made[1].repartition(3))
+
+
+def test_fingerprint_tells_tables_apart(spark):
+    made = [
+        ([(None, 1), (1, None)], "x int, y int"), ([(1, None), (1, None)], "x int, y int"), ([(None, 1)], "x int, y int"),
+        ([(None, 1), (1, None)], "y int, x int"), ([(None, 1), (1, None)], "x int, y bigint"), ([], "x int, y int"),
+        ([(None, 1), (1, None)] * 2, "x int, y int"), ([([None, "a"],)], "v array<string>"), ([(["a", None],)], "v array<string>"),
+        ([(["null", "a"],)], "v array<string>"), ([(None,)], "v array<string>"), ([({"a": None},)], "v map<string, int>"),
+        ([({},)], "v map<string, int>"), ([("",)], "v string"), ([(None,)], "v string"),
+    ]
+    keys = [snapshots.fingerprint(spark.createDataFrame(rows, schema)) for rows, schema in made]
+    assert len(set(keys)) == len(keys)
+
+
+def test_tables_that_change_between_reads_are_filed_as_stored(spark, tmp_path):
+    noisy = spark.range(40).select("id", F.udf(lambda _: os.urandom(8).hex())("id").alias("r"))
+    snapshots.save_snapshot(spark, str(tmp_path), "one", {"a": noisy})
+    stored = snapshots.load_snapshot(spark, str(tmp_path), "one")[0]["a"]
+    assert stored.count() == 40
+    (place,) = _parts(tmp_path)
+    assert snapshots.fingerprint(stored) == place.split("/")[-2]
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path)
     a, b = spark.range(3), spark.range(5).withColumnRenamed("id", "x")
@@ -139,7 +195,7 @@ def test_snapshots(spark, tmp_path):
     datasets, views, settings = snapshots.load_snapshot(spark, root, "one")
     assert datasets["again"].count() == 3 and views["pin"].columns == ["x"] and settings == {"k": 1}
     snapshots.save_snapshot(spark, root, "one", {"b": b})
-    assert len(list((tmp_path / "one").glob("t*"))) == 1 and len(list((tmp_path / "one" / "manifest").iterdir())) == 1
+    assert len(_parts(tmp_path)) == 1 and len(list((tmp_path / "one" / "manifest").iterdir())) == 1
     assert list(snapshots.load_snapshot(spark, root, "one")[0]) == ["b"]
     snapshots.copy_snapshot(spark, root, "two", root + "/other")
     assert snapshots.load_snapshot(spark, root + "/other", "two")[0]["b"].count() == 5
