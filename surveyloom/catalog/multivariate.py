@@ -348,6 +348,36 @@ def silhouette_by_several_k(spark, folder):
     return by_k.select("k", rounded("squared_silhouette"), "n")
 
 
+@query(f"""WITH y AS (SELECT c_custkey AS p, g, x, CAST(c_custkey % 10 AS DOUBLE) / 10 AS z FROM ({_SIX_GROUPS})),
+    e AS (SELECT a.p, a.g, b.g AS h, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z))) AS total, count(*) AS n
+          FROM y a, y b GROUP BY a.p, a.g, b.g),
+    t AS (SELECT k, p, greatest(g, 6 - k) AS own, greatest(h, 6 - k) AS other, sum(total) AS total, sum(n) AS n
+          FROM e, (SELECT unnest([2, 3, 4, 5, 6]) AS k) GROUP BY 1, 2, 3, 4),
+    s AS (SELECT k, p, max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
+          FROM t GROUP BY k, p)
+    SELECT CAST(k AS INTEGER) AS k, {sql_round('avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)')}
+        AS silhouette, count(*) AS n FROM s GROUP BY k""")
+def silhouette_euclidean_by_k(spark, folder):
+    """Euclidean silhouettes of two to six clusters, over every pair of customers."""
+    groups = spark.sql(_SIX_GROUPS.replace("FROM customer", "FROM {c}"), c=table(spark, folder, "customer"))
+    groups = groups.withColumn("z", (F.col("c_custkey") % 10).cast("double") / 10)
+    by_k = diagnostics.silhouette_by_k(groups.select("c_custkey", "x", "z"), ["x", "z"], 6, "c_custkey", euclidean=True)
+    return by_k.select("k", rounded("silhouette"), "n")
+
+
+@query(f"""WITH y AS (SELECT o_orderkey AS p, o_custkey AS own, o_totalprice / 1000 AS x, CAST(o_orderkey % 100 AS DOUBLE) AS z FROM orders),
+    c AS (SELECT own AS other, count(*) AS n, sum(x) AS sx, sum(z) AS sz, sum(x * x + z * z) AS q FROM y GROUP BY own),
+    s AS (SELECT p, max(CASE WHEN own = other THEN (n * (x * x + z * z) - 2 * (x * sx + z * sz) + q) / nullif(n - 1, 0) END) AS a,
+        min(CASE WHEN own <> other THEN (n * (x * x + z * z) - 2 * (x * sx + z * sz) + q) / n END) AS b FROM y, c GROUP BY p)
+    SELECT {sql_round('avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END)')}
+        AS squared_silhouette, count(*) AS n FROM s""")
+def silhouette_many_labels(spark, folder):
+    """Orders labelled by customer: as many labels as there are customers."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("x"), (F.col("o_orderkey") % 100).cast("double").alias("z"))
+    return diagnostics.silhouette_of(orders, ["x", "z"], "o_custkey", "o_orderkey").select(rounded("squared_silhouette"), "n")
+
+
 @query(f"WITH {_BEST_CUT}, y AS (SELECT count(DISTINCT x <= edge) AS k FROM g, cut) SELECT CAST(k AS INTEGER) AS k FROM y")
 def suggested_k(spark, folder):
     """Two groups far apart suggest two clusters."""

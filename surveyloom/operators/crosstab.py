@@ -9,6 +9,7 @@ from surveyloom.functions import names
 from surveyloom.functions.numeric import label_of
 from surveyloom.operators.profile import MIN_AGGREGATE_COUNT
 from surveyloom.plans.ranking import dense_index
+from surveyloom.plans.scratch import materialize, row_count
 from surveyloom.plans.skew import lookup
 
 # The label of missing cells, the label of unclustered rows, the
@@ -16,6 +17,7 @@ from surveyloom.plans.skew import lookup
 MISSING_LABEL = "N/A"
 NOISE = "Noise"
 BREAKDOWN_TOP = 6
+_LABELS_PER_BLOCK = 1000
 
 
 def natural_order(label: Column) -> Column:
@@ -66,6 +68,15 @@ def crosstab(df: DataFrame, cluster: str, group: str) -> DataFrame:
     )
 
 
+def _grid(cells: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every row of ``totals`` with every column label; the labels are a table of blocks of about a thousand."""
+    labels = materialize(cells.select("column").distinct(), "labels")
+    count = max(1, -(-row_count(labels) // _LABELS_PER_BLOCK))
+    blocks = labels.groupBy(F.pmod(F.xxhash64("column"), F.lit(count)).alias("block")).agg(F.collect_list("column").alias("columns"))
+    places = totals.select("row", "total", F.explode(F.expr(f"sequence(0L, {count - 1}L)")).alias("block"))
+    return places.join(blocks, "block").select("row", "total", F.explode("columns").alias("column"))
+
+
 def composition(df: DataFrame, cluster: str, group: str, direction: str = "cluster", zeros: bool = True) -> DataFrame:
     """Every row-column cell with its count and its percentage of the row section.
 
@@ -77,10 +88,11 @@ def composition(df: DataFrame, cluster: str, group: str, direction: str = "clust
         raise ValueError("direction is 'cluster' or 'group'")
     row, column = ("cluster", "group") if direction == "cluster" else ("group", "cluster")
     cells = pair_counts(df, cluster, group).select(F.col(row).alias("row"), F.col(column).alias("column"), "n")
+    if zeros:
+        cells = materialize(cells, "cells")
     totals = cells.groupBy("row").agg(F.sum("n").alias("total"))
     if zeros:
-        labels = cells.agg(F.collect_set("column")).scalar()
-        listed = totals.select("row", "total", F.explode(labels).alias("column")).join(cells, ["row", "column"], "left")
+        listed = _grid(cells, totals).join(cells, ["row", "column"], "left")
         listed = listed.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     else:
         listed = lookup(cells, totals, ["row"])

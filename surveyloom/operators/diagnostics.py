@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,19 @@ from surveyloom.operators.missing import zscore_views
 from surveyloom.operators.neighbors import kth_distances, percentiles
 from surveyloom.operators.sample import draw_order
 from surveyloom.plans.scratch import materialize, row_count
+from surveyloom.plans.skew import lookup
 from surveyloom.plans.vectors import PARTIAL_SCHEMA, matrix_of, partial_batch, tree_sum
 
 # The smallest usable input and the percentiles shown.
 MIN_SILHOUETTE_ROWS = 10
 PERCENTILES = (50, 75, 90, 95)
+# Statistics of up to this many labels are gathered for every task; more stay a table.
+GATHERED_LABELS = 1024
+# Euclidean silhouettes of all rows look at every pair of rows; above this many they are refused.
+EXACT_ROWS = 2_000_000
+# Rows of a block that meets other blocks, and how many of them are compared at once.
+_BLOCK_ROWS = 2048
+_AT_ONCE = 256
 
 
 def _points(df: DataFrame, columns: Sequence[str], row_id: str, standardize: bool, label: str | None = None, rows: int | None = None):
@@ -87,21 +97,177 @@ def sample_silhouettes(sample: DataFrame, names: Sequence[str], points: np.ndarr
     )
 
 
+def _score_values(inside: np.ndarray, outside: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    top = np.maximum(inside, outside)
+    flat = alone | (top == 0) | ~np.isfinite(outside)
+    return np.where(flat, 0.0, (outside - inside) / np.where(flat, 1.0, top))
+
+
+def _scores_of_sums(total: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Silhouettes of rows from their summed distances to every cluster; 0 in a cluster of one, or where there is no other."""
+    rows = np.arange(len(total))
+    inside = total[rows, own] / np.maximum(sizes[own] - 1, 1)
+    mean = np.where(sizes > 0, total / np.maximum(sizes, 1), np.inf)
+    mean[rows, own] = np.inf
+    return _score_values(inside, mean.min(axis=1), sizes[own] == 1)
+
+
 def _scores(x: np.ndarray, own: np.ndarray, sizes: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> np.ndarray:
     """Silhouettes in squared distance of rows, from the size, vector sum and sum of squares of every cluster.
 
     The squared distances of x to a cluster's n rows add up to
     n |x|^2 - 2 x.S + Q, so no pair of rows is looked at.
     """
-    rows = np.arange(len(x))
     total = np.maximum((x * x).sum(axis=1)[:, None] * sizes - 2 * x @ sums.T + squares, 0)
-    inside = total[rows, own] / np.maximum(sizes[own] - 1, 1)
-    mean = total / sizes
-    mean[rows, own] = np.inf
-    outside = mean.min(axis=1)
-    top = np.maximum(inside, outside)
-    flat = (sizes[own] == 1) | (top == 0) | ~np.isfinite(outside)
-    return np.where(flat, 0.0, (outside - inside) / np.where(flat, 1.0, top))
+    return _scores_of_sums(total, own, sizes)
+
+
+_PARTS_SCHEMA = "k int, s double, n bigint"
+
+
+def _part(k: int, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k], pa.int32()), pa.array([float(scores.sum())]), pa.array([len(scores)], pa.int64())], names=["k", "s", "n"])
+
+
+_BLOCK_SCHEMA = "block bigint, x binary, tags binary"
+
+
+def _blocks(df: DataFrame, names: Sequence[str], tags) -> DataFrame:
+    """Rows of ``df`` in stored blocks: a matrix of doubles and, with ``tags(batch, x)``, a matrix of whole numbers."""
+    def pack(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            x = matrix_of(batch, names)
+            marks = np.asarray(tags(batch, x), dtype=np.int64).reshape(len(x), -1)
+            for i in range(0, len(x), _BLOCK_ROWS):
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array([block], pa.int64()),
+                    "x": pa.array([np.ascontiguousarray(x[i:i + _BLOCK_ROWS]).tobytes()], pa.binary()),
+                    "tags": pa.array([marks[i:i + _BLOCK_ROWS].tobytes()], pa.binary())})
+                block += 1
+
+    return materialize(df.mapInArrow(pack, _BLOCK_SCHEMA), "blocks")
+
+
+def _matrices(x: pa.Scalar, tags: pa.Scalar, width: int, marks: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.frombuffer(x.as_buffer(), dtype=float).reshape(-1, width),
+            np.frombuffer(tags.as_buffer(), dtype=np.int64).reshape(-1, marks))
+
+
+def _meet(left: DataFrame, right: DataFrame, widths: tuple[int, int, int, int], start, add, merge, score) -> DataFrame:
+    """(k, s, n): every left block meets every right block once, and its rows are scored from what they add up to.
+
+    ``start(rows)`` is an empty account, ``add(account, x, tags, right_x, right_tags)`` enters one block,
+    ``merge(a, b)`` joins two accounts of the same rows and ``score(account, tags)`` gives (k, scores) pairs.
+    Left blocks are dealt out in groups and the right blocks are repeated for each group, not for each block. The
+    blocks that meet one left block follow each other, so a task holds one account at a time; were they torn apart,
+    the accounts would be merged all the same.
+    """
+    x_width, x_marks, r_width, r_marks = widths
+    groups = max(1, min(row_count(left), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = left.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    repeated = right.select(
+        F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("g"), F.col("x").alias("rx"), F.col("tags").alias("rtags"))
+
+    def account(block, tags, sums):
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([block], pa.int64()), "tags": pa.array([tags], pa.binary()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    def compare(batches):
+        at, marks, sums = None, None, None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("block", "x", "tags", "rx", "rtags")]
+            for i in range(batch.num_rows):
+                block = columns[0][i].as_py()
+                x, tags = _matrices(columns[1][i], columns[2][i], x_width, x_marks)
+                if block != at:
+                    if at is not None:
+                        yield account(at, marks, sums)
+                    at, marks, sums = block, tags.tobytes(), start(len(x))
+                add(sums, x, tags, *_matrices(columns[3][i], columns[4][i], r_width, r_marks))
+        if at is not None:
+            yield account(at, marks, sums)
+
+    def finish(table: pa.Table) -> pa.Table:
+        total, tags = None, None
+        for marks, sums in zip(table.column("tags"), table.column("sums")):
+            tags = np.frombuffer(marks.as_buffer(), dtype=np.int64).reshape(-1, x_marks)
+            part = np.frombuffer(sums.as_buffer(), dtype=float).reshape(len(tags), -1)
+            total = part if total is None else merge(total, part)
+        return pa.Table.from_batches([_part(k, s) for k, s in score(total, tags)])
+
+    met = dealt.join(repeated.hint("merge"), "g").select("block", "x", "tags", "rx", "rtags")
+    return met.mapInArrow(compare, "block bigint, tags binary, sums binary").groupBy("block").applyInArrow(finish, _PARTS_SCHEMA)
+
+
+def _euclidean_scores(points: DataFrame, names: Sequence[str], sizes: dict[int, np.ndarray], codes) -> DataFrame:
+    """(k, silhouette, n) of labelings in Euclidean distance, over every pair of rows, each distance taken once for all labelings.
+
+    Work grows with the square of the rows, so more than EXACT_ROWS are refused. A row's account holds one sum
+    for each cluster of each labeling.
+    """
+    if row_count(points) > EXACT_ROWS:
+        raise ValueError(f"Euclidean silhouettes of all rows are for up to {EXACT_ROWS} rows; take the squared ones, or sample_rows")
+    ks, d = sorted(sizes), len(names)
+    starts = np.cumsum([0, *[len(sizes[k]) for k in ks]])
+
+    def tags(batch, x):
+        own = codes(batch, x)
+        return np.column_stack([own[k] for k in ks])
+
+    def add(sums, x, _, other, marks):
+        member = np.zeros((len(other), starts[-1]))
+        for j in range(len(ks)):
+            member[np.arange(len(other)), starts[j] + marks[:, j]] = 1.0
+        for i in range(0, len(x), _AT_ONCE):
+            sums[i:i + _AT_ONCE] += np.sqrt(_squared_distances(x[i:i + _AT_ONCE], other)) @ member
+
+    def score(sums, marks):
+        for j, k in enumerate(ks):
+            yield k, _scores_of_sums(sums[:, starts[j]:starts[j + 1]], marks[:, j], sizes[k])
+
+    blocks = _blocks(points, names, tags)
+    parts = _meet(blocks, blocks, (d, len(ks), d, len(ks)), lambda rows: np.zeros((rows, starts[-1])), add, np.add, score)
+    return parts.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("n"))
+
+
+def _scores_by_table(points: DataFrame, names: Sequence[str], center: np.ndarray, clusters: DataFrame) -> DataFrame:
+    """(squared_silhouette, n) where the labels are too many to gather: their statistics, a stored table, meet the rows in blocks.
+
+    Rows of clusters of one score 0 and meet nothing.
+    """
+    d = len(names)
+    coded = materialize(clusters.withColumn("code", F.monotonically_increasing_id()), "clusters")
+    rows = row_count(points)
+    shared = lookup(points, coded.filter("n > 1").select("label", "code"), ["label"], rows=rows).filter("code is not null")
+    numbers = coded.select("code", *[F.col("s")[j].alias(f"s{j}") for j in range(d)], F.col("n").cast("double").alias("n"), "q")
+
+    def tags(batch, _):
+        return batch.column("code").to_numpy(zero_copy_only=False)
+
+    def add(sums, x, own, stats, code):
+        y, sizes = x - center, stats[:, d]
+        total = np.maximum((y * y).sum(axis=1)[:, None] * sizes - 2 * y @ stats[:, :d].T + stats[:, d + 1], 0)
+        mean, mine = total / sizes, own == code.T
+        sums[:, 0] += np.where(mine, total / np.maximum(sizes - 1, 1), 0).sum(axis=1)
+        mean[mine] = np.inf
+        sums[:, 1] = np.minimum(sums[:, 1], mean.min(axis=1))
+
+    def start(size):
+        return np.column_stack([np.zeros(size), np.full(size, np.inf)])
+
+    def merge(a, b):
+        return np.column_stack([a[:, 0] + b[:, 0], np.minimum(a[:, 1], b[:, 1])])
+
+    def score(sums, _):
+        yield 0, _score_values(sums[:, 0], sums[:, 1], np.zeros(len(sums), dtype=bool))
+
+    left = _blocks(shared.select(*names, "code"), names, tags)
+    right = _blocks(numbers, numbers.columns[1:], tags)
+    parts = _meet(left, right, (d, 1, d + 2, 1), start, add, merge, score)
+    total = F.lit(rows).cast("bigint")
+    return parts.agg((F.coalesce(F.sum("s"), F.lit(0.0)) / total).alias("squared_silhouette")).select("squared_silhouette", total.alias("n"))
 
 
 def _mean_scores(points: DataFrame, names: Sequence[str], center: np.ndarray, clusters: dict[int, tuple], codes) -> DataFrame:
@@ -110,21 +276,21 @@ def _mean_scores(points: DataFrame, names: Sequence[str], center: np.ndarray, cl
         for batch in batches:
             x = matrix_of(batch, names)
             for k, own in codes(batch, x).items():
-                s = _scores(x - center, own, *clusters[k])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([float(s.sum())]), pa.array([len(s)], pa.int64())], names=["k", "s", "n"])
+                yield _part(k, _scores(x - center, own, *clusters[k]))
 
-    parts = points.mapInArrow(score, "k int, s double, n bigint")
+    parts = points.mapInArrow(score, _PARTS_SCHEMA)
     return parts.groupBy("k").agg((F.sum("s") / F.sum("n")).alias("squared_silhouette"), F.sum("n").alias("n"))
 
 
 def silhouette_of(
     df: DataFrame, columns: Sequence[str], label: str, row_id: str, standardize: bool = False, sample_rows: int | None = None,
+    euclidean: bool = False,
 ) -> DataFrame:
     """Mean silhouette of labels the table already carries, over all complete rows, in squared distance.
 
-    With ``sample_rows`` the Euclidean silhouette of a seeded sample of that
-    many rows instead. A missing label is a cluster of its own.
+    A missing label is a cluster of its own; labels may be as many as rows. With ``euclidean`` the distance is
+    Euclidean, over all pairs of rows, for up to EXACT_ROWS rows and GATHERED_LABELS labels; with ``sample_rows``
+    it is that of a seeded sample.
     """
     points, names = _points(df, columns, row_id, standardize, label, sample_rows)
     if sample_rows is not None:
@@ -133,17 +299,23 @@ def silhouette_of(
         return sample_silhouettes(points, names, matrix, {0: labels}).select("silhouette", "n")
     center = _center(points, names)
     moved = [F.col(x) - F.lit(float(c)) for x, c in zip(names, center)]
-    # One row for each cluster.
-    found = points.groupBy("label").agg(
+    clusters = materialize(points.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.sum(m) for m in moved]).alias("s"),
-        F.sum(sum((m * m for m in moved), F.lit(0.0))).alias("q")).orderBy("label").collect()
-    place = {r["label"]: i for i, r in enumerate(found)}
-    stats = (np.array([float(r["n"]) for r in found]), np.array([r["s"] for r in found]).reshape(-1, len(names)),
-             np.array([r["q"] for r in found]))
+        F.sum(sum((m * m for m in moved), F.lit(0.0))).alias("q")), "cluster-sums")
+    if row_count(clusters) > GATHERED_LABELS:
+        if euclidean:
+            raise ValueError(f"Euclidean silhouettes of all rows are for up to {GATHERED_LABELS} labels")
+        return _scores_by_table(points, names, center, clusters)
+    found = clusters.orderBy("label").collect()
+    known = pa.array([r["label"] for r in found], pa.string())
+    sizes = np.array([float(r["n"]) for r in found])
+    stats = (sizes, np.array([r["s"] for r in found]).reshape(-1, len(names)), np.array([r["q"] for r in found]))
 
     def codes(batch, x):
-        return {0: np.array([place[v] for v in batch.column("label").to_pylist()], dtype=np.int64)}
+        return {0: pc.index_in(batch.column("label"), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)}
 
+    if euclidean:
+        return _euclidean_scores(points, names, {0: sizes}, codes).select("silhouette", "n")
     return _mean_scores(points, names, center, {0: stats}, codes).select("squared_silhouette", "n")
 
 
@@ -155,15 +327,15 @@ def _center(points: DataFrame, names: Sequence[str]) -> np.ndarray:
 
 def silhouette_by_k(
     df: DataFrame, columns: Sequence[str], max_k: int, row_id: str, standardize: bool = False, sample_rows: int | None = None,
-    cluster: Callable[[DataFrame, Sequence[str], Sequence[tuple[int, int]]], list[Fit]] = fit_all,
+    cluster: Callable[[DataFrame, Sequence[str], Sequence[tuple[int, int]]], list[Fit]] = fit_all, euclidean: bool = False,
 ) -> DataFrame:
     """Mean silhouette for k = 2 up to min(max_k, rows/3), clustering all complete rows for each k.
 
-    Distances are squared; with ``sample_rows`` a seeded sample of that many rows
-    is clustered and scored in Euclidean distance instead.
+    Distances are squared. With ``euclidean`` they are Euclidean, over all pairs of rows, for up to EXACT_ROWS
+    rows; with ``sample_rows`` a seeded sample of that many rows is clustered and scored in Euclidean distance.
     """
     points, names = _points(df, columns, row_id, standardize, rows=sample_rows)
-    n, measure = row_count(points), "squared_silhouette" if sample_rows is None else "silhouette"
+    n, measure = row_count(points), "silhouette" if euclidean or sample_rows is not None else "squared_silhouette"
     distinct = points.select(*names).distinct().limit(max_k).count()
     ks = range(2, min(max_k, n // 3, distinct) + 1)
     if n < MIN_SILHOUETTE_ROWS or not ks:
@@ -195,6 +367,8 @@ def silhouette_by_k(
     def codes(batch, x):
         return {k: nearest(x, centers[k])[0] for k in ks}
 
+    if euclidean:
+        return _euclidean_scores(points, names, {k: sums[k].reshape(d + 2, k)[0] for k in ks}, codes).orderBy("k")
     return _mean_scores(points.select(*names), names, middle, clusters, codes).orderBy("k")
 
 

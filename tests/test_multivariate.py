@@ -313,6 +313,51 @@ def test_silhouette_rules(spark):
     assert got["squared_silhouette"] == pytest.approx(sum((b - a) / max(a, b) for a, b in ab) / 5) and got["n"] == 5
 
 
+def _plain_silhouette(x, labels, power):
+    away = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) ** power
+    values = []
+    for i, own in enumerate(labels):
+        mine = labels == own
+        if mine.sum() == 1 or mine.all():
+            values.append(0.0)
+            continue
+        a = away[i, mine].sum() / (mine.sum() - 1)
+        b = min(away[i, labels == o].mean() for o in set(labels) - {own})
+        values.append(0.0 if max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(values)
+
+
+@pytest.mark.parametrize("block, gathered", [(2048, 1024), (7, 1024), (7, 3)])
+def test_silhouettes_of_all_rows(spark, monkeypatch, block, gathered):
+    monkeypatch.setattr(diagnostics, "_BLOCK_ROWS", block)
+    monkeypatch.setattr(diagnostics, "GATHERED_LABELS", gathered)
+    rng = np.random.default_rng(5)
+    labels = np.array([f"c{i}" for i in rng.integers(0, 6, 120)] + ["alone", "twins", "twins"])
+    x = np.vstack([rng.normal(0, 2, (121, 3)), np.ones((2, 3))])
+    df, axes = _frame(spark, x, g=[str(v) for v in labels])
+    df = df.repartition(4)
+    got = diagnostics.silhouette_of(df, axes, "g", "id").first()
+    assert got["squared_silhouette"] == pytest.approx(_plain_silhouette(x, labels, 2)) and got["n"] == 123
+    if gathered < 10:
+        with pytest.raises(ValueError):
+            diagnostics.silhouette_of(df, axes, "g", "id", euclidean=True)
+        return
+    got = diagnostics.silhouette_of(df, axes, "g", "id", euclidean=True).first()
+    assert got["silhouette"] == pytest.approx(_plain_silhouette(x, labels, 1)) and got["n"] == 123
+    one = diagnostics.silhouette_of(df.withColumn("one", F.lit("x")), axes, "one", "id", euclidean=True).first()
+    assert one["silhouette"] == 0 and one["n"] == 123
+    monkeypatch.setattr(diagnostics, "EXACT_ROWS", 122)
+    with pytest.raises(ValueError):
+        diagnostics.silhouette_of(df, axes, "g", "id", euclidean=True)
+
+
+def test_labels_as_many_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(diagnostics, "GATHERED_LABELS", 10)
+    df, axes = _frame(spark, np.arange(40.0).reshape(-1, 1), g=[str(i) for i in range(40)])
+    got = diagnostics.silhouette_of(df, axes, "g", "id").first()
+    assert got["squared_silhouette"] == 0 and got["n"] == 40
+
+
 def test_suggest_k_finds_the_blobs(spark):
     rng = np.random.default_rng(3)
     df, axes = _frame(spark, np.vstack([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (6, 0), (0, 6))]))

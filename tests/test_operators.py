@@ -167,8 +167,9 @@ def test_natural_order_and_crosstab(spark):
     assert cells[("Cluster 2", "g")] == 2 and cells[(None, "g")] == 5 and cells[("Noise", None)] == 1
 
 
-@pytest.mark.parametrize("groups", [4, 501])
-def test_composition_has_one_shape_at_every_width(spark, tiny_hot, groups):
+@pytest.mark.parametrize("groups, block", [(4, 1000), (501, 1000), (501, 60)])
+def test_composition_has_one_shape_at_every_width(spark, tiny_hot, monkeypatch, groups, block):
+    monkeypatch.setattr(crosstab, "_LABELS_PER_BLOCK", block)
     df = spark.createDataFrame([("a", f"g{i % groups}") for i in range(3 * groups)] + [("b", "g0")], "c string, g string")
     rows = {(r["row"], r["column"]): (r["n"], r["percent"]) for r in crosstab.composition(df, "c", "g").collect()}
     assert len(rows) == 2 * groups and rows[("a", "g1")] == (3, 100.0 / groups)
