@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from surveyloom.functions import names
 from surveyloom.functions.numeric import (
-    as_number, can_hold_numbers, col, finite, is_text, label_of, number_of, number_of_stripped, number_text, round_half_up,
+    as_number, can_hold_numbers, col, finite, is_text, label_of, number_of_stripped, number_text, round_half_up,
     strip,
 )
+from surveyloom.operators.column_facts import gather_facts
 from surveyloom.plans.ranking import nearest_rank, order_statistics
 
 # Limits of the column kinds, the small-cell threshold and the
@@ -66,9 +67,9 @@ def value_counts(df: DataFrame, columns: Sequence[str], labels: bool = True) ->
 def scan_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_distinct: bool = True) -> DataFrame:
     """One row per column: missing, numeric or not, range, distinct values, kind.
 
-    With ``exact_distinct=False`` the distinct count of high-cardinality columns
-    is a sketch; the kind is still exact, because every column whose sketch is
-    anywhere near a limit is counted in full.
+    One pass finds all but the distinct counts above 50 with a bounded amount leaving each task; columns with
+    more than that are counted in full in a second one, or with ``exact_distinct=False`` estimated from the
+    sketch of the first. The kind is the same either way. Up to 50 texts are told apart by 64-bit hashes.
     """
     columns = list(columns or df.columns)
     parts = [
@@ -81,69 +82,52 @@ def scan_columns(df: DataFrame, columns: Sequence[str] | None = None, exact_dist
     return out
 
 
-def _cells_and_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns c0, c1 ... (cells under the load rules) and m0, m1 ... (their numbers).
+def _cells_to_scan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What ``gather_facts`` reads: numbers of number columns, hashes, numbers and flags of text, hashes of the rest.
 
-    Text is stripped and read as a number once here, not in every aggregate.
+    Text is stripped once here, and hashes leave the JVM in its place.
     """
-    cells = df.select(*[present(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    return cells.select("*", *[
-        (number_of_stripped(F.col(f"c{i}")) if is_text(df, c) else number_of(F.col(f"c{i}"), df.schema[c].dataType))
-        .alias(f"m{i}") for i, c in enumerate(columns)
-    ])
+    dtypes = [df.schema[c].dataType for c in columns]
+    numbers = [can_hold_numbers(t) and not is_text(df, c) for c, t in zip(columns, dtypes)]
+    cells = df.select(*[
+        as_number(df, c).alias(f"m{i}") if numbers[i] else
+        (present(df, c) if is_text(df, c) else col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
+    views = []
+    for i, c in enumerate(columns):
+        if numbers[i]:
+            views.append(F.col(f"m{i}"))
+            continue
+        cell = F.col(f"c{i}")
+        views.append(F.when(cell.isNotNull(), F.xxhash64(cell)).alias(f"h{i}"))
+        if is_text(df, c):
+            views += [number_of_stripped(cell).alias(f"m{i}"), cell.isin("true", "false").alias(f"t{i}")]
+    return cells.select(*views)
 
 
 def _scan_batch(df, columns, first, exact_distinct):
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(columns):
-        number, cell = F.col(f"m{i}"), F.col(f"c{i}")
-        aggregates += [F.count(cell).alias(f"present{i}"), F.min(number).alias(f"min{i}"), F.max(number).alias(f"max{i}")]
-        if is_text(df, name):
-            aggregates.append(F.bool_and(cell.isin("true", "false")).alias(f"flag{i}"))
-        elif can_hold_numbers(df.schema[name].dataType):
-            aggregates.append(F.bool_and(number.isin(0.0, 1.0)).alias(f"flag{i}"))
-        if not exact_distinct:
-            aggregates.append(F.approx_count_distinct(cell).alias(f"approx{i}"))
-    totals = _cells_and_numbers(df, columns).agg(*aggregates)
-    rows = F.array(*[
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(first + i).cast("int").alias("position"),
-            F.lit(i).alias("idx"),
-            (F.col("rows") - F.col(f"present{i}")).alias("missing"),
-            F.col(f"min{i}").isNotNull().alias("is_numeric"),
-            F.col(f"min{i}").alias("min"),
-            F.col(f"max{i}").alias("max"),
-            (F.coalesce(F.col(f"flag{i}"), F.lit(False)) if can_hold_numbers(df.schema[name].dataType)
-             else F.lit(False)).alias("boolean_like"),
-            F.lit(not is_text(df, name) and can_hold_numbers(df.schema[name].dataType)).alias("numbers"),
-            (F.lit(None).cast("bigint") if exact_distinct else F.col(f"approx{i}")).alias("approx"),
-        )
-        for i, name in enumerate(columns)
-    ])
-    scan = totals.select(F.inline(rows))
-    counted = columns
-    if not exact_distinct:
-        rows = scan.collect()
-        scan = df.sparkSession.createDataFrame(rows, scan.schema)
-        near = {r["idx"] for r in rows if r["approx"] <= 2 * TOO_MANY_ABOVE}
-        counted = [c for i, c in enumerate(columns) if i in near]
-    scan = scan.join(_distinct(df, columns, counted), "idx", "left")
-    unique = F.coalesce("exact", "approx", F.lit(0))
-    kind = (
-        F.when(F.col("numbers") & (unique > CONTINUOUS_ABOVE), "continuous")
-        .when(~F.col("numbers") & (unique > TOO_MANY_ABOVE), "too-many")
-        .otherwise("categorical")
-    )
+    found = gather_facts(_cells_to_scan(df, columns), len(columns), TOO_MANY_ABOVE)
+    rows, many = [], []
+    for i, (name, facts) in enumerate(zip(columns, found)):
+        exact, estimate = facts.distinct()
+        if exact is None:
+            many.append(name)
+        able = can_hold_numbers(df.schema[name].dataType)
+        numbers = able and not is_text(df, name)
+        kind = ("continuous" if numbers and estimate > CONTINUOUS_ABOVE
+                else "too-many" if not numbers and estimate > TOO_MANY_ABOVE else "categorical")
+        rows.append((i, name, first + i, facts.rows - facts.present, facts.lo is not None, facts.lo, facts.hi, estimate, kind,
+                     able and facts.present > 0 and facts.flag))
+    scan = df.sparkSession.createDataFrame(
+        rows, "idx int, column string, position int, missing bigint, is_numeric boolean, min double, max double, "
+        "known bigint, kind string, boolean_like boolean")
+    unique = F.col("known")
+    if exact_distinct and many:
+        scan, unique = scan.join(_distinct(df, columns, many), "idx", "left"), F.coalesce("exact", "known")
     return scan.select(
-        "column", "position", "missing", "is_numeric", "min", "max",
-        unique.cast("bigint").alias("n_unique"), kind.alias("kind"), "boolean_like",
-    )
+        "column", "position", "missing", "is_numeric", "min", "max", unique.alias("n_unique"), "kind", "boolean_like")
 
 
 def _distinct(df, columns, counted):
-    if not counted:
-        return df.sparkSession.createDataFrame([], "idx int, exact bigint")
     place = {name: i for i, name in enumerate(columns)}
     real = F.element_at(F.array(*[F.lit(place[c]) for c in counted]), F.col("idx") + 1)
     return (

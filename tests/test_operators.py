@@ -134,6 +134,31 @@ def test_scan_kinds(spark):
         assert rows["digits"]["is_numeric"] and rows["blank"]["missing"] == n and rows["flag"]["boolean_like"]
 
 
+def test_scan_of_odd_columns(spark):
+    rows = [(-0.0, "true", None, [1], 1e300), (0.0, " false ", None, None, float("nan")), (None, "", None, [None], float("inf"))]
+    df = spark.createDataFrame(rows, "zero double, flag string, none int, list array<int>, wide double").withColumn(
+        "list", F.col("list").cast("string"))
+    for table, n in ((df, 3), (df.limit(0), 0), (df.repartition(3), 3)):
+        got = {r["column"]: r for r in profile.scan_columns(table).collect()}
+        assert got["none"]["missing"] == n and not got["none"]["is_numeric"] and not got["none"]["boolean_like"]
+        assert got["zero"]["n_unique"] == min(n, 1) and got["flag"]["boolean_like"] == got["zero"]["boolean_like"] == (n > 0)
+        assert got["wide"]["missing"] == n - min(n, 1) and got["wide"]["max"] == (1e300 if n else None)
+        assert got["flag"]["n_unique"] == got["list"]["n_unique"] == (2 if n else 0)
+        assert {r["kind"] for r in got.values()} == {"categorical"}
+
+
+@pytest.mark.parametrize("n, parts", [(50, 7), (51, 1), (51, 7), (4000, 3), (40000, 5)])
+def test_scan_counts_many_values(spark, n, parts):
+    df = spark.range(3 * n).repartition(parts).select(
+        (F.col("id") % n).alias("number"), F.concat(F.lit("t"), F.col("id") % n).alias("text"), F.lit(1.5).alias("one"))
+    for exact in (True, False):
+        got = {r["column"]: r for r in profile.scan_columns(df, exact_distinct=exact).collect()}
+        for c in ("number", "text"):
+            assert got[c]["n_unique"] == n if exact or n <= 50 else abs(got[c]["n_unique"] - n) <= max(1, 0.12 * n)
+        assert got["text"]["kind"] == ("too-many" if n > 50 else "categorical") and got["one"]["n_unique"] == 1
+        assert (got["number"]["min"], got["number"]["max"]) == (0, n - 1) and not got["number"]["boolean_like"]
+
+
 def test_default_choices(spark):
     df = spark.createDataFrame([(i, i * 1.0, i % 2, f"c{i % 3}", f"s{i % 3}") for i in range(30)],
                                "user_id int, v double, flag int, cat string, cat2 string")
