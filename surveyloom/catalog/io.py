@@ -99,6 +99,25 @@ def csv_header_audit(spark, folder):
     return found.select("kind", "n", "sample_lines", F.array_join("columns", ",").alias("columns"))
 
 
+@query("""SELECT 'plain' AS file, 'no-delimiter' AS kind, CAST(1 AS BIGINT) AS n, 'entry' AS columns, count(*) AS records FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'numbers', 'headerless', 3, '1,2.5,-3', count(*) FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'binary', 'unreadable-header', 1, 'cu' || chr(1) || 'st', count(*) FROM orders HAVING count(*) > 0""")
+def csv_odd_headers(spark, folder):
+    """Files without a delimiter, with numbers where names belong, and with a control character in a name; their rows load."""
+    orders = table(spark, folder, "orders")
+    key, cust, status = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    files = {"plain": ("entry", F.concat(status, key)), "numbers": ("1,2.5,-3", F.concat_ws(",", key, cust, status)),
+             "binary": ("key,cu\x01st,status", F.concat_ws(",", key, cust, status))}
+    found = None
+    for tag, (head, line) in files.items():
+        loaded = csv_table.read_csv(spark, _text_files(orders.select("o_orderkey", line.alias("value")), head, tag))
+        heads = loaded.audit.filter("kind in ('no-delimiter', 'headerless', 'unreadable-header')")
+        part = heads.select(F.lit(tag).alias("file"), "kind", "n", F.array_join("columns", ",").alias("columns"),
+                            F.lit(loaded.table.count()).cast("bigint").alias("records"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 _BROKEN = """SELECT *, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) + 1 AS number,
     CASE WHEN o_orderkey % 50 = 7 THEN 'too-few-cells' WHEN o_orderkey % 70 = 9 THEN 'too-many-cells' END AS kind FROM orders"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from surveyloom.catalog.common import rounded, sql_round, table
 from surveyloom.functions.numeric import as_number, round_half_up
 from surveyloom.operators import dbscan as grid
-from surveyloom.operators import diagnostics, impute, kmeans, pca, projection, sample
+from surveyloom.operators import diagnostics, impute, kmeans, missing, pca, projection, sample
 
 QUERIES = {}
 CHECKS = {}
@@ -172,6 +172,30 @@ def pca_run_registry(spark, folder):
     return pca.latest_runs(records).select("label", "k", "rows_used")
 
 
+@query("SELECT 'trust' AS label, 'PC1_trust,PC2_trust' AS columns, CAST(2 AS INTEGER) AS k, count(*) AS rows_used, "
+       "CAST(0 AS BIGINT) AS unscored FROM lineitem")
+def pca_derived_label(spark, folder):
+    """A run without a label is named after what its variables' names share."""
+    items = table(spark, folder, "lineitem").select(*[F.col(c).alias(f"trust_{i}") for i, c in enumerate(MEASURES, 1)])
+    run = pca.run_pca(items, items.columns, k=2, label=None)
+    unscored = run.table.filter(" or ".join(f"{c} is null" for c in run.columns)).count()
+    return pca.run_record(run).select("label", F.lit(",".join(run.columns)).alias("columns"), "k", "rows_used",
+                                      F.lit(unscored).cast("bigint").alias("unscored"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\" FROM (SELECT {v} AS v FROM orders) HAVING count(TRY_CAST(trim(v) AS DOUBLE)) = 0" for c, v in [
+        ("status", "o_orderstatus"), ("priority", "o_orderpriority"), ("rare", "CASE WHEN o_orderkey % 50 = 7 THEN ' 12 ' ELSE 'n/a' END"),
+        ("day", "strftime(o_orderdate, '%Y-%m-%d')"), ("never", "'n/a'"), ("total", "CAST(o_totalprice AS VARCHAR)")]))
+def unusable_axes(spark, folder):
+    """Columns without a single number; one number in fifty rows is enough."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+        F.when(F.col("o_orderkey") % 50 == 7, " 12 ").otherwise("n/a").alias("rare"), F.col("o_orderdate").alias("day"),
+        F.lit("n/a").alias("never"), F.col("o_totalprice").alias("total"))
+    return spark.createDataFrame([(c,) for c in missing.unusable_columns(orders, orders.columns)], "column string")
+
+
 # a components table as another tool would write it: one name in other case, one
 # variable the dataset lacks, one unreadable loading
 COMPONENTS = [("l_quantity", "0.8", 0.1), (" L_ExtendedPrice", "0.5", -0.4), ("l_discount", "n/a", 0.7), ("l_weight", "0.3", 0.3)]
