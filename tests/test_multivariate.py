@@ -358,6 +358,31 @@ def test_labels_as_many_as_rows(spark, monkeypatch):
     assert got["squared_silhouette"] == 0 and got["n"] == 40
 
 
+@pytest.mark.parametrize("d", [1, 2, 5])
+def test_many_labels_meet_near_clusters_only(spark, monkeypatch, d):
+    monkeypatch.setattr(diagnostics, "GATHERED_LABELS", 10)
+    monkeypatch.setattr(diagnostics, "_ROWS_AT_ONCE", 64)
+    monkeypatch.setattr(diagnostics, "_CLUSTERS_AT_ONCE", 16)
+    rng = np.random.default_rng(8)
+    middles = rng.uniform(0, 100, (400, d))
+    labels = np.concatenate([np.arange(400), rng.integers(0, 400, 1600)])
+    x = middles[labels] + rng.normal(0, 3, (2000, d))
+    x[7] = 1e5  # one row far away from all others
+    df, axes = _frame(spark, x, g=[str(v) for v in labels])
+    met, whole = [], diagnostics._reachable
+
+    def counted(left, right, d):
+        pairs = whole(left, right, d)
+        met.append((pairs.count(), left.stored_rows * right.stored_rows))
+        return pairs
+
+    monkeypatch.setattr(diagnostics, "_reachable", counted)
+    got = diagnostics.silhouette_of(df.repartition(3), axes, "g", "id").first()
+    assert got["squared_silhouette"] == pytest.approx(_plain_silhouette(x, labels, 2)) and got["n"] == 2000
+    if d == 1:
+        assert met[0][0] < met[0][1] / 2
+
+
 def test_suggest_k_finds_the_blobs(spark):
     rng = np.random.default_rng(3)
     df, axes = _frame(spark, np.vstack([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (6, 0), (0, 6))]))
