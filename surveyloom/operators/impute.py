@@ -25,6 +25,9 @@ MIN_ROWS = 3
 # Steps replayed before the rows are stored as they stand.
 _CARRY = 8
 
+# Numbers that the statistics of all patterns of gaps may take; with more, iterations pass over the rows.
+_PATTERN_NUMBERS = 1 << 18
+
 
 @dataclass
 class Step:
@@ -40,6 +43,21 @@ class Step:
         return np.where(gaps, scores @ self.vectors * self.sd + self.mean, x)
 
 
+    def carry(self, maps: np.ndarray, shift: np.ndarray, gaps: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The update as a change of the affine map by which rows with these gaps, seen from ``start``, follow from their observed cells."""
+        project = (self.vectors.T * self.shrink) @ self.vectors / self.sd[:, None] * self.sd
+        mean = self.mean - start
+        return np.where(gaps, maps @ project, maps), np.where(gaps, (shift - mean) @ project + mean, shift)
+
+
+def _after(gaps: np.ndarray, steps: Sequence[Step], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The affine map from observed cells to completed rows after all steps, for rows with these gaps."""
+    maps, shift = np.eye(len(gaps)), np.zeros(len(gaps))
+    for step in steps:
+        maps, shift = step.carry(maps, shift, gaps, start)
+    return maps, shift
+
+
 @dataclass
 class IterativeFill:
     columns: list[str]
@@ -68,10 +86,25 @@ class IterativeFill:
         gap = reduce(Column.__or__, [col(c).isNull() for c in columns])
 
         def rebuild(batches):
+            known = {}
             for batch in batches:
                 x = matrix_of(batch, columns)
                 gaps = np.isnan(x)
-                now, _ = _replay(np.where(gaps, start, x), gaps, steps)
+                kinds, kind = np.unique(np.packbits(gaps, axis=1), axis=0, return_inverse=True)
+                if len(kinds) * len(columns) > len(x):  # maps of so many patterns cost more than the steps
+                    now, _ = _replay(np.where(gaps, start, x), gaps, steps)
+                else:
+                    now = x.copy()
+                    if len(known) * len(columns) ** 2 > _PATTERN_NUMBERS:
+                        known.clear()
+                    for i, code in enumerate(kinds):
+                        rows = np.flatnonzero(kind.ravel() == i)
+                        gone = gaps[rows[0]]
+                        if code.tobytes() not in known:
+                            known[code.tobytes()] = _after(gone, steps, start)
+                        maps, shift = known[code.tobytes()]
+                        seen = np.where(gone, 0.0, x[rows] - start)
+                        now[np.ix_(rows, gone)] = (seen @ maps[:, gone]) + shift[gone] + start[gone]
                 arrays = [
                     pa.array(now[:, columns.index(name)]) if name in columns else batch.column(name)
                     for name in batch.schema.names
@@ -104,6 +137,63 @@ def _replay(now: np.ndarray, gaps: np.ndarray, steps: Sequence[Step]) -> tuple[n
     return now, before
 
 
+def _by_pattern(gapped: DataFrame, names: Sequence[str], start: np.ndarray) -> dict[tuple, np.ndarray] | None:
+    """For each pattern of gaps its rows' number, sums and cross products, seen from ``start`` with gaps as zeros; None if there are too many."""
+    p = len(names)
+    most = _PATTERN_NUMBERS // (1 + p + p * p)
+    marks = gapped.select(F.array(*[F.col(x).isNull() for x in names]).alias("gaps"))
+    found = sorted(tuple(r["gaps"]) for r in marks.distinct().limit(most + 1).collect())
+    if len(found) > most:
+        return None
+    place = {np.packbits(gaps).tobytes(): i for i, gaps in enumerate(found)}
+
+    def accumulate(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = matrix_of(batch, names)
+            gaps = np.isnan(x)
+            kinds, kind = np.unique(np.packbits(gaps, axis=1), axis=0, return_inverse=True)
+            order = np.argsort(kind.ravel(), kind="stable")
+            ends = np.cumsum(np.bincount(kind.ravel(), minlength=len(kinds)))
+            seen = np.where(gaps, 0.0, x - start)[order]
+            for code, lo, hi in zip(kinds, np.append(0, ends), ends):
+                rows, key = seen[lo:hi], place[code.tobytes()]
+                part = np.concatenate([[hi - lo], rows.sum(axis=0), (rows.T @ rows).ravel()])
+                totals[key] = totals[key] + part if key in totals else part
+        yield partial_batch(totals)
+
+    sums = tree_sum(gapped.select(*names).mapInArrow(accumulate, PARTIAL_SCHEMA))
+    return {found[i]: total for i, total in sums.items()}
+
+
+class _Patterns:
+    """Iterations on what the patterns of gaps add up to: a completed row is an affine map, its pattern's, of its observed cells."""
+
+    def __init__(self, totals: dict[tuple, np.ndarray], start: np.ndarray):
+        p = len(start)
+        self.start = start
+        self.gaps = [np.array(g, dtype=bool) for g in totals]
+        self.parts = [(t[0], t[1 : 1 + p], t[1 + p :].reshape(p, p)) for t in totals.values()]
+        self.maps = [(np.eye(p), np.zeros(p)) for _ in totals]
+
+    def step(self, step: Step | None) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Sums and cross products of the rows after the step, how far filled cells moved, and their size."""
+        sums, gram, moved, size = np.zeros(len(self.start)), np.zeros((len(self.start),) * 2), 0.0, 0.0
+        for i, (gaps, (n, s, g)) in enumerate(zip(self.gaps, self.parts, strict=True)):
+            before, at = self.maps[i]
+            maps, shift = (before, at) if step is None else step.carry(before, at, gaps, self.start)
+            self.maps[i] = maps, shift
+            total = s @ maps + n * shift
+            cross = np.outer(s @ maps, shift)
+            square = maps.T @ g @ maps + cross + cross.T + n * np.outer(shift, shift)
+            d, e = (maps - before)[:, gaps], (shift - at)[gaps]
+            moved += max(np.einsum("ij,ik,kj->", d, g, d) + 2 * (s @ d) @ e + n * (e @ e), 0.0)
+            away = self.start[gaps]
+            size += np.diag(square)[gaps].sum() + 2 * away @ total[gaps] + n * (away @ away)
+            sums, gram = sums + total, gram + square
+        return sums, gram, float(moved), float(size)
+
+
 def fit_iterative(
     df: DataFrame,
     columns: Sequence[str],
@@ -114,7 +204,10 @@ def fit_iterative(
 ) -> IterativeFill:
     """Fill gaps from the low-rank structure of the other columns.
 
-    Complete rows enter once, as fixed cross products. Each iteration is one
+    Complete rows enter once, as fixed cross products. Where the patterns of gaps
+    are few, so do the others: a filled row is an affine map of its observed cells
+    that only its pattern decides, so an iteration needs each pattern's cross
+    products and no row. Otherwise an iteration is one
     pass over the incomplete rows alone. These are stored as they stand every
     few iterations, beside a mark for each gap, so an iteration replays only the
     steps since then and the two hundredth costs what the tenth does. The stored
@@ -174,11 +267,20 @@ def fit_iterative(
         total = tree_sum(rows.mapInArrow(accumulate, PARTIAL_SCHEMA), plain_scan=True)[0]
         return total[2 : 2 + p], total[2 + p :].reshape(p, p), total[0], total[1]
 
-    rows = materialize(gapped.mapInArrow(begin, layout), "fills")
     steps: list[Step] = []
     recent: list[Step] = []
-    sums, gram, _, _ = measure(rows, recent)
     converged = False
+    totals = _by_pattern(gapped, names, start)
+    if totals is not None:
+        patterns = _Patterns(totals, start)
+        sums, gram, _, _ = patterns.step(None)
+        while len(steps) < max_iter and not converged:
+            steps.append(_fit_step(n, base_sums + sums, base_gram + gram, start, rank, standardize))
+            sums, gram, moved, size = patterns.step(steps[-1])
+            converged = moved <= tol * max(size, 1e-12)
+        return IterativeFill(columns, start, steps, bool(converged), rank, filled)
+    rows = materialize(gapped.mapInArrow(begin, layout), "fills")
+    sums, gram, _, _ = measure(rows, recent)
     while len(steps) < max_iter and not converged:
         if len(recent) == _CARRY:
             before, rows, recent = rows, carry(rows, recent), []

@@ -358,6 +358,24 @@ def test_labels_as_many_as_rows(spark, monkeypatch):
     assert got["squared_silhouette"] == 0 and got["n"] == 40
 
 
+def test_iterations_by_pattern_equal_those_by_rows(spark, monkeypatch):
+    """Few patterns of gaps need no pass over the rows for an iteration; many go on row by row, to the same fill."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(400, 2)) @ rng.normal(size=(2, 4)) * 10 + 1000 + rng.normal(size=(400, 4))
+    cells = [[None if g else float(v) for v, g in zip(row, gap)] for row, gap in zip(x, rng.random((400, 4)) < 0.15)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(cells)], "id long, a double, b double, c double, d double").repartition(3)
+    passes, whole = [], impute.tree_sum
+    monkeypatch.setattr(impute, "tree_sum", lambda *a, **k: passes.append(1) or whole(*a, **k))
+    found = []
+    for numbers in (impute._PATTERN_NUMBERS, 21):
+        monkeypatch.setattr(impute, "_PATTERN_NUMBERS", numbers)
+        fit = impute.fit_iterative(df, ["a", "b", "c", "d"])
+        found.append((fit, len(passes), np.array([r[1:] for r in fit.fill(df).orderBy("id").collect()])))
+    (few, one, filled), (many, _, by_row) = found
+    assert one == 1 and few.iterations == many.iterations > 3 and few.converged and many.converged
+    assert np.allclose(filled, by_row, rtol=1e-9) and not np.isnan(filled).any()
+
+
 @pytest.mark.parametrize("d", [1, 2, 5])
 def test_many_labels_meet_near_clusters_only(spark, monkeypatch, d):
     monkeypatch.setattr(diagnostics, "GATHERED_LABELS", 10)
