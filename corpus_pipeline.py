@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.llm import decontaminate, language, packing, shingles, sparse_suffixes
+from surveyloom.llm import decontaminate, language, packing, shingles, simhash, sparse_suffixes
 from surveyloom.llm.queries import VOCABULARY, piece_digests
 from surveyloom.plans.scratch import materialize
 
@@ -36,8 +36,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles of which two texts share 0.8 or more."""
-    return shingles.keep_one(docs)
+    """One document of each group of near-duplicates.
+
+    Pairs come from the Gray-order index of SimHash fingerprints and, for those that differ in more bits, from
+    buckets of least hashes; both are confirmed on whole sets of five-word shingles, of which two texts of a
+    group's link share 0.8 or more.
+    """
+    return shingles.keep_one(docs, candidates=simhash.text_pairs(docs))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, tag: str) ->
     return materialize(both.filter((100 + similarity) * shared >= similarity * total).select("u", "v"), tag)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, candidates: DataFrame | None = None,
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash and root, which rows of one group share.
 
     Words are those of simhash.fingerprints; a text's shingles are the distinct
@@ -125,11 +127,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         "first < last").select("bucket", "first"), "first-in-bucket")
     shared = materialize(met.join(first, "bucket"), "shared-buckets")
     discard(read, met)
-    nodes = materialize(shared.select("node").distinct(), "candidates")
+    given = None if candidates is None else materialize(candidates.select("u", "v"), "given-pairs")
+    met_nodes = shared.select("node") if given is None else shared.select("node").unionByName(
+        given.select(F.explode(F.array("u", "v")).alias("node")))
+    nodes = materialize(met_nodes.distinct(), "candidates")
     texts = keyed.select(F.col("text_hash").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(
         _sets(shingle), "node long, shingles array<long>, n int, parity array<long>")
     sets = materialize(texts.dropDuplicates(["node"]), "shingle-sets")
-    stars = materialize(shared.filter("node != first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    pairs = shared.filter("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    stars = materialize((pairs if given is None else pairs.unionByName(given)).distinct(), "stars")
     links = _confirmed(stars, sets, similarity, "star-links")
     roots = components(nodes, links)
     placed = materialize(shared.select("bucket", "node").join(roots, "node"), "placed")
@@ -148,6 +154,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, candidates: DataFrame | None = None,
+) -> DataFrame:
     """The documents with one of each group of near-duplicates: the least doc_id, null last; then the least text hash."""
-    return keep_least(docs, near_duplicates(docs, shingle, similarity))
+    return keep_least(docs, near_duplicates(docs, shingle, similarity, candidates))

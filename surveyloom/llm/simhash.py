@@ -234,6 +234,18 @@ def links(prints: DataFrame) -> DataFrame:
     return nodes.filter("u is not null").select("u", "v").unionByName(across)
 
 
+def text_pairs(docs: DataFrame) -> DataFrame:
+    """(u, v), text hashes: distinct texts of one fingerprint with the least of them, and the least ones across every link."""
+    prints = materialize(fingerprints(docs).select("print", "text_hash").distinct(), "text-prints")
+    least = materialize(prints.groupBy("print").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")), "prints")
+    same = prints.join(least.filter("first < last"), "print").filter("text_hash != first").select(
+        F.col("first").alias("u"), F.col("text_hash").alias("v"))
+    ends = [least.select(F.col("print").alias(end), F.col("first").alias(f"text_{end}")) for end in "uv"]
+    across = links(least.select("print")).distinct().join(ends[0], "u").join(ends[1], "v").select(
+        F.least("text_u", "text_v").alias("u"), F.greatest("text_u", "text_v").alias("v"))
+    return same.unionByName(across)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, print, text_hash, root and component_id.
 

@@ -6,6 +6,8 @@ import random
 import sys
 from pathlib import Path
 
+import pyarrow as pa
+
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
@@ -71,5 +73,28 @@ def test_the_stage_keeps_the_least_of_each_group(spark, tmp_path):
         assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted(min(g) for g in grouped(rows))
 
 
+def test_the_stage_goes_through_the_simhash_index(spark, tmp_path, monkeypatch):
+    """Without buckets in common, what fingerprints link is still found, and what is less similar than asked for is not."""
+    rng = random.Random(4)
+    base = sentence(rng, 400)
+    words = base.split()
+    given = [(1, base), (2, " ".join([*words[:-1], "end"])), (3, base + "  "), (4, sentence(rng, 90)), (5, "a b"), (6, "A  b")]
+    whole = shingles._bands
+
+    def alone(size):
+        bands = whole(size)
+
+        def unmet(batches):
+            for batch in bands(batches):
+                nodes = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[n] for n in nodes], pa.list_(pa.int64()))], names=batch.schema.names)
+        return unmet
+
+    monkeypatch.setattr(shingles, "_bands", alone)
+    docs = frame(spark, given)
+    assert {r.doc_id for r in shingles.keep_one(docs).collect()} == {1, 2, 3, 4, 5, 6}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()} == {1, 4, 5}
+
+
 def test_no_texts(spark):
     assert shingles.keep_one(frame(spark, [], clash=False)).collect() == []
