@@ -9,10 +9,13 @@ most promising down until no other row can enter the result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,8 @@ from surveyloom.operators.search import MIN_TERM, SEPARATOR_PATTERN, TOP_HITS, s
 from surveyloom.plans.scratch import discard, materialize
 
 BUCKETS = 64
+# Tasks, and files, that a folder is dealt to when it is written.
+_SLICES = 8
 
 
 def _hay(texts: Sequence[str]) -> Column:
@@ -32,12 +37,22 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
-def _grams(hay: Column) -> Column:
-    """The distinct trigrams inside runs of letters that a term can hold."""
-    runs = F.filter(F.array_distinct(F.split(hay, SEPARATOR_PATTERN)), lambda t: F.length(t) >= MIN_TERM)
-    pieces = F.transform(runs, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t) - (MIN_TERM - 1)), lambda i: F.substr(t, i, F.lit(MIN_TERM))))
-    return F.array_distinct(F.flatten(pieces))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, keys): the rows of each batch that hold a trigram inside a run of letters that a term can hold."""
+    held = re.compile(SEPARATOR_PATTERN.replace("[^", "[").rstrip("+") + f"{{{MIN_TERM},}}").findall
+    for batch in batches:
+        place: dict[str, int] = {}
+        found, counts = [], np.zeros(batch.num_rows, np.int64)
+        for i, hay in enumerate(batch.column(1)):
+            grams = {t[j:j + MIN_TERM] for t in set(held(hay.as_py())) for j in range(len(t) - MIN_TERM + 1)}
+            counts[i] = len(grams)
+            found.extend([place.setdefault(g, len(place)) for g in grams])
+        gram = np.array(found, np.int64)
+        order = np.argsort(gram, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(gram, minlength=len(place))))
+        rows = np.repeat(np.arange(batch.num_rows), counts)[order]
+        keys = pa.LargeListArray.from_arrays(pa.array(ends), batch.column(0).take(pa.array(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), keys.cast(pa.list_(keys.type.value_type))], names=["gram", "_keys"])
 
 
 def term_grams(term: str) -> list[str]:
@@ -55,8 +70,8 @@ class SearchIndex:
 
     def _read(self, table: str) -> DataFrame:
         """A stored table; its schema is known, so an empty one reads as well."""
-        key = T.StructField("_key", self.schema[self.key].dataType)
-        fields = {"texts": list(self.schema.fields), "postings": [key, T.StructField("gram", T.StringType())]}[table]
+        keys = T.StructField("_keys", T.ArrayType(self.schema[self.key].dataType))
+        fields = {"texts": list(self.schema.fields), "postings": [T.StructField("gram", T.StringType()), keys]}[table]
         whole = T.StructType([*fields, T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(whole).parquet(f"{self.path}/{table}")
 
@@ -65,7 +80,7 @@ class SearchIndex:
         table = self._read("postings")
         wanted = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(
             _bucket(F.col("gram"), self.buckets)).distinct().collect()]
-        return table.filter(F.col("bucket").isin(wanted) & F.col("gram").isin(list(grams))).select("gram", "_key")
+        return table.filter(F.col("bucket").isin(wanted) & F.col("gram").isin(list(grams))).select("gram", F.explode("_keys").alias("_key"))
 
     def texts(self, keys: DataFrame) -> DataFrame:
         """The stored rows of these keys, from the folders they lie in."""
@@ -115,18 +130,20 @@ def build_index(df: DataFrame, path: str, texts: Sequence[str], key: str, bucket
     """Write the index of ``df`` to ``path`` and return it.
 
     Rows that share a key are found together; a row without a key cannot be
-    looked up and is an error. Postings are dealt out by trigram and key, so the
-    rows of a trigram that most texts hold spread over many tasks and files.
+    looked up and is an error. A posting is a trigram with its rows of one batch, so
+    what is dealt out and sorted is far fewer rows than trigrams and rows pair up to,
+    and those of a trigram that most texts hold stay many small ones.
     """
     if any(c in df.columns for c in ("_key", "score", "bucket")):
         raise ValueError("columns _key, score and bucket are the index's own")
     if not df.filter(col(key).isNull()).isEmpty():
         raise ValueError(f"rows without {key} cannot be indexed")
     stored = df.withColumn("bucket", _bucket(col(key), buckets))
-    stored.repartitionByRange("bucket", col(key)).write.partitionBy("bucket").parquet(f"{path}/texts")
+    stored.repartition("bucket", _bucket(F.struct(col(key)), _SLICES)).write.partitionBy("bucket").parquet(f"{path}/texts")
     index = SearchIndex(df.sparkSession, path, list(texts), key, buckets, df.schema)
-    grams = index._read("texts").select(col(key).alias("_key"), F.explode(_grams(_hay(texts))).alias("gram")).withColumn(
+    kind = T.StructType([T.StructField("gram", T.StringType()), T.StructField("_keys", T.ArrayType(df.schema[key].dataType))])
+    grams = index._read("texts").select(col(key).alias("_key"), _hay(texts).alias("hay")).mapInArrow(_postings, kind).withColumn(
         "bucket", _bucket(F.col("gram"), buckets))
-    (grams.repartitionByRange("bucket", "gram", "_key").sortWithinPartitions("bucket", "gram", "_key")
+    (grams.repartition("bucket", _bucket(F.struct("gram"), _SLICES)).sortWithinPartitions("bucket", "gram")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     return index

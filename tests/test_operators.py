@@ -287,6 +287,16 @@ def test_search_index_reads_the_postings_it_needs(spark, tmp_path):
     assert [r["i"] for r in texts_read.collect()] == [900]
 
 
+def test_search_index_stores_a_posting_for_many_rows(spark, tmp_path):
+    """Rows of one batch that share a trigram are one posting, and a row is in it once."""
+    df = spark.createDataFrame([(i, f"same WORDS\u00b2 same words\u00b2, x{i:03d}") for i in range(60)] + [(60, None), (61, "ab")], "i int, body string").coalesce(1)
+    index = search_index.build_index(df, str(tmp_path / "index"), ["body"], "i", buckets=4)
+    assert sorted(r["_key"] for r in index.postings(["ds\u00b2"]).collect()) == list(range(60))
+    stored = index._read("postings").filter("gram = 'sam'")
+    assert stored.count() <= index._read("texts").rdd.getNumPartitions() < 60
+    assert index.postings(["x01"]).count() == 10 and index.postings(["e w", " sa"]).count() == 0
+
+
 def test_search_index_needs_keys_and_its_own_names(spark, tmp_path):
     with pytest.raises(ValueError):
         search_index.build_index(spark.createDataFrame([(None, "abc")], "i int, body string"), str(tmp_path / "a"), ["body"], "i")
