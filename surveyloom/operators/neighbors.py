@@ -142,29 +142,6 @@ def percentiles(distances: DataFrame, n: int, shares: Sequence[int]) -> dict[str
     return ranked.agg(*held).first().asDict()
 
 
-
-
-def _within(names: Sequence[str], eps2: float, fold):
-    def measure(batches):
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = left.values, right.values
-                ids, values = fold(a.field("id").to_numpy(), a.field("w").to_numpy(), b.field("id").to_numpy(),
-                                   b.field("w").to_numpy(), _squared(_matrix(a, names), _matrix(b, names)) <= eps2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64())], names=["id", "v"])
-    return measure
-
-
-def _count(ids, _w, _others, weights, hit):
-    return ids, hit @ weights
-
-
-def _least_label(ids, _w, _others, labels, hit):
-    """The least label of the rows within reach of each row; labels are not negative."""
-    reached = hit.any(axis=1)
-    return ids[reached], np.where(hit[reached], labels[None, :], np.iinfo(np.int64).max).min(axis=1)
-
-
 def forest(ids: np.ndarray, others: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the hits connect: each row to its first hit, and hits of one row to each other."""
     left, right = np.nonzero(hit)
@@ -181,23 +158,3 @@ def forest(ids: np.ndarray, others: np.ndarray, hit: np.ndarray) -> tuple[np.nda
             break
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
-
-
-class RadiusGraph:
-    """Places (id, w and coordinates) within ``eps`` of each other, for any number of axes: the grid takes the widest ones, distances all."""
-
-    def __init__(self, places: DataFrame, names: Sequence[str], eps: float):
-        self.names, self.eps, self.places = list(names), eps, places
-        self.axes, self.low, _ = grid_axes(places, names)
-
-    def _fold(self, asking: DataFrame, held: DataFrame, fold) -> DataFrame:
-        pairs = _pack_pairs(asking, held, self.axes, self.names, self.low, self.eps * (1 + 1e-9))
-        return pairs.mapInArrow(_within(self.names, self.eps * self.eps, fold), "id long, v long")
-
-    def neighbour_counts(self, asking: DataFrame) -> DataFrame:
-        """(id, v): rows within eps of each of some places, their own included."""
-        return self._fold(asking, self.places, _count).groupBy("id").agg(F.sum("v").alias("v"))
-
-    def least_label(self, asking: DataFrame, labelled: DataFrame) -> DataFrame:
-        """(id, label): the least ``w`` of the labelled places within eps."""
-        return self._fold(asking, labelled, _least_label).groupBy("id").agg(F.min("v").alias("label"))

@@ -466,6 +466,38 @@ def test_dbscan_on_many_axes_where_rows_crowd(spark, tiny_hot, monkeypatch, d, p
     assert [got[i] for i in range(len(x))] == _expected_clusters(x, eps, m)
 
 
+def test_dbscan_on_many_axes_asks_in_rounds(spark, monkeypatch):
+    """Crowds wider than a cell: few rows are left to meet all others, and those of one large cluster do not meet again."""
+    for name, value in (("_FIRST", 150), ("_EACH", 1), ("_MORE", 3), ("_PACK", 32), ("_FILLED", 8)):
+        monkeypatch.setattr(wide_grid, name, value)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.5, (700, 6)), rng.normal(1.8, 0.4, (500, 6)), np.full((7, 6), -3.0), rng.uniform(-3, 4, (30, 6))])
+    x = rng.permutation(x)
+    df, axes = _frame(spark, x, parts=3)
+    compared, pairs = [], wide_grid.WideGrid._pairs
+
+    def counted(self, *args, **more):
+        made = pairs(self, *args, **more)
+        compared.append(made.agg(F.sum(F.size("a").cast("long") * F.size("b"))).first()[0] or 0)
+        return made
+
+    monkeypatch.setattr(wide_grid.WideGrid, "_pairs", counted)
+    got = {r["row_id"]: r["label"] for r in dbscan.dbscan_labels(df, axes, 1.0, 4, "id").collect()}
+    assert [got[i] for i in range(len(x))] == _expected_clusters(x, 1.0, 4)
+    assert len(compared) >= 4 and sum(compared) < len(x) ** 2, compared
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_rows_within_reach_are_told_by_the_plain_sum(offset):
+    x = np.random.default_rng(2).integers(-6, 7, (300, 6)) * 0.1 + offset
+    total = np.zeros((len(x), len(x)))
+    for j in range(6):
+        total += (x[:, j, None] - x[None, :, j]) ** 2
+    for eps in (0.2, 0.3, 0.7, float(np.sqrt(total[0, 1]))):
+        assert np.array_equal(wide_grid.within(x, x, eps * eps), total <= eps * eps)
+    assert np.array_equal(wide_grid.within(x, x[:1], total[5, 0]), total[:, :1] <= total[5, 0])
+
+
 def test_run_takes_its_label_from_the_variables(spark):
     x = np.random.default_rng(1).normal(size=(40, 2))
     df = spark.createDataFrame(pd.DataFrame({"mood_1": x[:, 0], "mood_2": x[:, 1]}))
