@@ -116,6 +116,30 @@ def test_alignment_of_small_blocks(spark, monkeypatch):
     assert small.equals(large)
 
 
+def test_shared_ends_of_tokens_are_found_in_order():
+    """Ends of tokens are sorted already; a token without bytes repeats an end."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 300):
+        a, b = (np.sort(rng.integers(0, 2 * n + 1, size)) for size in (n, n // 2 + n % 2))
+        assert alignment._shared(a, b).tolist() == np.intersect1d(a, b).tolist()
+        assert alignment._shared(b, a).tolist() == np.intersect1d(a, b).tolist()
+
+
+def test_ids_come_without_places_of_characters(monkeypatch):
+    """Places of characters are half of the work of the first tokenizer, and nothing reads them."""
+    both = alignment.Pair(queries.VOCABULARY, queries.PIECES)
+    plain = both.a
+
+    class Fast:
+        encode_batch_fast = plain.encode_batch_fast
+
+    monkeypatch.setattr(both, "a", Fast())
+    for _, text in odd_texts(5, 40, 200) + [(0, "a <|endoftext|> b\u2003c  d")]:
+        if text and alignment.MARK not in text:
+            found = both.tokens(f" {text}".encode())
+            assert found is None or found[0] == plain.encode(f" {text}", add_special_tokens=False).ids
+
+
 def test_no_documents(spark):
     none = frame(spark, [], clash=False)
     assert byte_pairs.decode(byte_pairs.encode(none, queries.RANKS), queries.RANKS).collect() == []
