@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyloom.llm.words import WHITE, Words, list_column, minimisers, range_hashes, slices, split_words, text_bytes
-from surveyloom.plans.scratch import materialize
+from surveyloom.plans.scratch import discard, materialize, release_shuffles
 
 WINDOW = 50
 PHRASE = 8
@@ -77,12 +77,17 @@ def recurring(read: DataFrame) -> DataFrame:
 
     Counting combines map-side; a phrase that a third of the documents hold is
     one row of the counts. These are stored, so that the join has nothing but
-    shuffled rows below it and Spark can split a hot phrase. Documents with a
-    null doc_id take no part.
+    shuffled rows below it and Spark can split a hot phrase. The result is stored
+    too: what was shuffled for it is gone before whole texts are. Documents with
+    a null doc_id take no part.
     """
     each = read.filter("doc_id is not null").select(*KEY, F.explode("phrases").alias("p")).select(*KEY, "p.gram", "p.place")
     shared = materialize(each.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), "shared")
-    return each.join(shared, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("phrases"))
+    found = materialize(
+        each.join(shared, "gram").groupBy(*KEY).agg(F.collect_set(F.struct("gram", "place")).alias("phrases")), "recurring")
+    discard(shared)
+    release_shuffles(read.sparkSession)
+    return found
 
 
 def repeated_starts(windows: DataFrame, run: tuple[str, ...]) -> DataFrame:

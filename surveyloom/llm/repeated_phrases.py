@@ -109,7 +109,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     read = read_phrases(docs)
-    runs = materialize(prepared(docs).join(recurring(read), list(KEY)).mapInArrow(_locate, _RUNS), "runs")
+    phrases = recurring(read)
+    runs = materialize(prepared(docs).join(phrases, list(KEY)).mapInArrow(_locate, _RUNS), "runs")
+    discard(phrases)
+    release_shuffles(docs.sparkSession)
     owners = materialize(runs.groupBy("gram", "block").agg(F.min("doc_id").alias("owner")), "run-owners")
     heads = F.when(F.col("doc_id") == F.col("owner"), F.col("hashes"))
     owned = materialize(runs.join(owners, ["gram", "block"]).withColumn("hashes", heads), "owned-runs")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from surveyloom.llm.simhash import keep_least
 from surveyloom.llm.words import WHITE, list_column, mix, range_hashes, slices, split_words, text_bytes
 from surveyloom.plans.components import components
-from surveyloom.plans.scratch import discard, materialize
+from surveyloom.plans.scratch import discard, materialize, release_shuffles
 from surveyloom.plans.skew import lookup
 
 SHINGLE = 5
@@ -127,6 +127,7 @@ def near_duplicates(
         "first < last").select("bucket", "first"), "first-in-bucket")
     shared = materialize(met.join(first, "bucket"), "shared-buckets")
     discard(read, met)
+    release_shuffles(docs.sparkSession)
     given = None if candidates is None else materialize(candidates.select("u", "v"), "given-pairs")
     met_nodes = shared.select("node") if given is None else shared.select("node").unionByName(
         given.select(F.explode(F.array("u", "v")).alias("node")))
@@ -134,22 +135,30 @@ def near_duplicates(
     texts = keyed.select(F.col("text_hash").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(
         _sets(shingle), "node long, shingles array<long>, n int, parity array<long>")
     sets = materialize(texts.dropDuplicates(["node"]), "shingle-sets")
+    release_shuffles(docs.sparkSession)
     pairs = shared.filter("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     stars = materialize((pairs if given is None else pairs.unionByName(given)).distinct(), "stars")
     links = _confirmed(stars, sets, similarity, "star-links")
+    discard(stars, *([] if given is None else [given]))
+    release_shuffles(docs.sparkSession)
     roots = components(nodes, links)
     placed = materialize(shared.select("bucket", "node").join(roots, "node"), "placed")
+    discard(shared, roots)
     mixed = materialize(placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select(
         "bucket"), "mixed-buckets")
     # What the bucket's first member was compared with needs no second look.
     parities = sets.select("node", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)])
     open_ = materialize(placed.join(mixed, "bucket").join(first, "bucket").filter("node != first").drop("first").join(
         parities, "node"), "open")
+    discard(placed, mixed, first)
     pair = F.expr(f"u.bucket = v.bucket and u.node < v.node and u.root != v.root and {_may_be_similar(similarity)}")
     across = materialize(open_.alias("u").join(open_.alias("v"), pair).select(
         F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct(), "across")
     found = _confirmed(across, sets, similarity, "across-links")
+    discard(open_, across, sets)
     groups = components(nodes, links.unionByName(found)).select(F.col("node").alias("text_hash"), "root")
+    discard(nodes, links, found)
+    release_shuffles(docs.sparkSession)
     return lookup(stored, groups, ["text_hash"], rows=stored.stored_rows).select(
         "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
 

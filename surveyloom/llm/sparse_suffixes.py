@@ -142,12 +142,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans): for each document with words to remove, (start, size, owner) of its repeated windows."""
     read = read_phrases(docs)
-    suffixes = materialize(prepared(docs).join(recurring(read), list(KEY)).mapInArrow(_select, _SUFFIXES), "suffixes")
+    phrases = recurring(read)
+    discard(read)
+    suffixes = materialize(prepared(docs).join(phrases, list(KEY)).mapInArrow(_select, _SUFFIXES), "suffixes")
+    # The texts shuffled for them go before they are shuffled themselves.
+    discard(phrases)
+    release_shuffles(docs.sparkSession)
     order = ("suffix", "left", "n", "doc_id", "text_hash", "first")
     compared = materialize(
         suffixes.repartitionByRange(F.substring("suffix", 1, BEGINNING), "doc_id").sortWithinPartitions(*order)
         .mapInArrow(_compare, _COMPARED), "compared")
-    discard(read, suffixes)
+    discard(suffixes)
     release_shuffles(docs.sparkSession)
     run = ("head_doc", "head_hash", "head_first")
     rows = compared.withColumn("head_doc", F.col("owner"))

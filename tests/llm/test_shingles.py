@@ -12,7 +12,8 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from surveyloom.llm import shingles  # noqa: E402
+from surveyloom.llm import shingles, sparse_suffixes  # noqa: E402
+from surveyloom.plans.scratch import scratch_root  # noqa: E402
 from test_llm_operators import awkward_texts, frame, sentence  # noqa: E402
 
 
@@ -98,3 +99,21 @@ def test_the_stage_goes_through_the_simhash_index(spark, tmp_path, monkeypatch):
 
 def test_no_texts(spark):
     assert shingles.keep_one(frame(spark, [], clash=False)).collect() == []
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark):
+    """What a stage leaves on disk lies beside all that the next one writes."""
+    place = Path(scratch_root(spark)) / "surveyloom"
+    rng = random.Random(12)
+    passage = sentence(rng, 80)
+    docs = frame(spark, [(i, f"{sentence(rng, 20)} {passage}") for i in range(6)])
+
+    def left(work):
+        before = {p.name for p in place.glob("*")}
+        count = work().count()
+        return count, {p.name.rsplit("-", 1)[0] for p in place.glob("*") if p.name not in before}
+
+    count, kept = left(lambda: shingles.near_duplicates(docs))
+    assert count == 6 and kept <= {"texts", "roots"}
+    count, kept = left(lambda: sparse_suffixes.repeated_spans(docs))
+    assert count == 5 and not kept & {"phrases", "shared", "recurring", "suffixes", "compared", "repeated-starts"}
