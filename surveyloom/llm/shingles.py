@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from surveyloom.llm.simhash import keep_least
 from surveyloom.llm.words import WHITE, list_column, mix, range_hashes, slices, split_words, text_bytes
 from surveyloom.plans.components import components
+from surveyloom.plans.membership import split_by_keys
 from surveyloom.plans.scratch import discard, materialize, release_shuffles
 from surveyloom.plans.skew import lookup
 
@@ -132,9 +133,10 @@ def near_duplicates(
     met_nodes = shared.select("node") if given is None else shared.select("node").unionByName(
         given.select(F.explode(F.array("u", "v")).alias("node")))
     nodes = materialize(met_nodes.distinct(), "candidates")
-    texts = keyed.select(F.col("text_hash").alias("node"), "text").join(nodes, "node", "left_semi").mapInArrow(
-        _sets(shingle), "node long, shingles array<long>, n int, parity array<long>")
-    sets = materialize(texts.dropDuplicates(["node"]), "shingle-sets")
+    # Texts that met no other stay where they are; of the rest one copy each is moved, before it becomes a set.
+    possible, _ = split_by_keys(keyed.select(F.col("text_hash").alias("node"), "text"), F.col("node"), nodes, F.col("node"))
+    texts = possible.dropDuplicates(["node"]).join(nodes, "node", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(shingle), "node long, shingles array<long>, n int, parity array<long>"), "shingle-sets")
     release_shuffles(docs.sparkSession)
     pairs = shared.filter("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     stars = materialize((pairs if given is None else pairs.unionByName(given)).distinct(), "stars")

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from surveyloom.llm.words import WHITE, slices, split_words, text_bytes
 from surveyloom.plans.components import components
-from surveyloom.plans.scratch import materialize
+from surveyloom.plans.membership import split_by_keys
+from surveyloom.plans.scratch import discard, materialize
 
 SHINGLE = 3
 DISTANCE = 3
@@ -273,13 +274,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with one of each ``root`` of ``found`` (doc_id, text_hash, root): the least doc_id, null last; then the least text hash."""
-    each = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    each = materialize(found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "each")
     chosen = materialize(each.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash", "copies")).alias("c")).select(
         "c.doc_id", "c.text_hash", "c.copies"), "chosen")
-    same = F.expr("cast(d.doc_id as bigint) <=> c.doc_id and xxhash64(d.text) = c.text_hash")
     once, repeated = chosen.filter("copies = 1"), chosen.filter("copies > 1")
-    kept = docs.alias("d").join(once.alias("c"), same).select("d.*")
+    # Only documents that are not the one row chosen of their group are moved, and the few that look like them.
+    others = materialize(each.alias("e").join(once.alias("c"), F.expr("e.doc_id <=> c.doc_id and e.text_hash = c.text_hash"), "left_anti")
+                         .select(F.xxhash64("doc_id", "text_hash").alias("key")), "not-chosen")
+    discard(each)
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    unsure, kept = split_by_keys(docs, key, others, F.col("key"))
+    same = F.expr("cast(d.doc_id as bigint) <=> c.doc_id and xxhash64(d.text) = c.text_hash")
+    kept = kept.unionByName(unsure.alias("d").join(once.alias("c"), same).select("d.*"))
     if repeated.isEmpty():  # no row stands twice
         return kept
-    return kept.unionByName(docs.alias("d").join(repeated.alias("c"), same).select("d.*").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(unsure.alias("d").join(repeated.alias("c"), same).select("d.*").dropDuplicates(["doc_id", "text"]))

@@ -117,3 +117,37 @@ def test_tables_that_nothing_reads_any_more_are_deleted(spark):
     assert count == 6 and kept <= {"texts", "roots"}
     count, kept = left(lambda: sparse_suffixes.repeated_spans(docs))
     assert count == 5 and not kept & {"phrases", "shared", "recurring", "suffixes", "compared", "repeated-starts"}
+
+
+def test_texts_that_met_no_other_and_are_kept_are_not_moved(spark, tmp_path, monkeypatch):
+    """Of 300 long texts two are near-duplicates and one is a copy: shuffles hold a small part of all text."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnop  ") for _ in range(8000)) for _ in range(298)]
+    given = list(enumerate([*texts, texts[0], texts[1] + " end"]))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().endswith(".data")}
+
+    def moved(work):
+        before = shuffled()
+        return work(), sum(n for name, n in shuffled().items() if name not in before)
+
+    moves, store = {}, shingles.materialize
+
+    def stored(df, tag):
+        table, moves[tag] = moved(lambda: store(df, tag))
+        return table
+
+    monkeypatch.setattr(shingles, "materialize", stored)
+    frame(spark, given).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+        _, moves["kept"] = moved(lambda: left.write.parquet(f"{tmp_path}/kept"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == list(range(298))
+    whole = sum(len(t) for _, t in given)
+    assert moves["shingle-sets"] < whole / 8 and moves["kept"] < whole / 8, moves

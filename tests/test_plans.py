@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.plans import ranking, vectors
+from surveyloom.plans import membership, ranking, vectors
 from surveyloom.plans.components import components
 from surveyloom.plans.scratch import materialize
 from surveyloom.plans.skew import lookup
@@ -120,3 +120,17 @@ def test_materialize_counts_rows(spark):
     stored = materialize(spark.range(17), "rows")
     assert stored.stored_rows == 17 == stored.count()
     assert materialize(spark.range(17).filter("id < 0"), "none").stored_rows == 0
+
+
+@pytest.mark.parametrize("keys, most", [(0, 1 << 26), (50, 1 << 26), (6000, 1 << 26), (6000, 1 << 15)])
+def test_rows_are_split_by_keys_without_loss(spark, monkeypatch, keys, most):
+    """No row with one of the keys is taken for one without, however few bits there are; names may be any."""
+    monkeypatch.setattr(membership, "MOST_BITS", most)
+    rows = spark.range(20000).selectExpr("id as `_bits`", "cast(if(id % 3 = 0, null, id) as string) as `a.b`", "id as `_row`")
+    among = spark.range(keys).selectExpr("xxhash64(id) as key")
+    there, rest = membership.split_by_keys(rows, F.xxhash64("_row"), among, F.col("key"))
+    assert there.dtypes == rest.dtypes == rows.dtypes
+    found, left = ({tuple(r) for r in t.collect()} for t in (there, rest))
+    assert not found & left and found | left == {tuple(r) for r in rows.collect()}
+    assert {r[0] for r in found} >= set(range(keys))
+    assert len(found) <= keys + 20000 * (0.3 if most < 1 << 20 else 0.1)
