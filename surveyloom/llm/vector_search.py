@@ -3,9 +3,10 @@
 Rows are dealt over shards by a hash of their own number. Each shard becomes one stored
 row: its vectors in the order of a KD-tree with median splits, and the tight
 bounding box of every node. Queries go through in blocks, each block against
-each shard of the same dimension. A shard is walked best first: the node whose
-box allows the highest score comes next, and the walk ends when no box can beat
-the k-th score known. Queries first meet their home shard; the k-th score found
+each shard of the same dimension. A shard is walked best first, by all queries of a
+block that can still find something in a node: the node whose box allows the highest
+score comes next, and a query goes on into those boxes only that can still beat
+the k-th score it knows. Queries first meet their home shard; the k-th score found
 there travels with them to all others.
 """
 
@@ -19,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.llm.meetings import Best, groups, matrix, meet, narrow, numbers
 from surveyloom.plans.scratch import materialize
 
 SHARD_ROWS = 4096
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 1024
 LEAF_ROWS = 64
 SCALE = 1024
 
 _SHARD = "shard long, dim int, rows binary, ids binary, vectors binary, nodes binary, boxes binary"
+_BLOCK = "home_group int, dim int, rows binary, ids binary, vectors binary, homes binary, least binary"
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -67,93 +70,163 @@ def _build(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, table, np.array(boxes, np.int64)
 
 
+def _one(values: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x], kinds[t]) for x, (_, t) in zip(values, fields, strict=True)], names=[c for c, _ in fields])
+
+
+def _by_length(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) for each length of the lists."""
+    dims, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    begin = np.cumsum(dims) - dims
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, values[begin[at][:, None] + np.arange(dim)]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A tree for each shard and length; the rows of a shard follow each other."""
+    held: dict[int, list] = {}
+    at = None
+
+    def built() -> Iterator[pa.RecordBatch]:
+        for dim, parts in held.items():
+            rows, ids, vectors = (np.concatenate(c) for c in zip(*parts, strict=True))
+            first = np.lexsort((rows, ids))
+            order, nodes, boxes = _build(vectors[first])
+            order = first[order]
+            yield _one([at, dim, rows[order].tobytes(), ids[order].tobytes(), narrow(vectors[order]).tobytes(), nodes.tobytes(),
+                        narrow(boxes).tobytes()], _SHARD)
+
     for batch in batches:
-        for shard, dim, rows, ids, v in zip(*(batch.column(i) for i in range(5)), strict=True):
-            rows, ids = (x.values.to_numpy(zero_copy_only=False) for x in (rows, ids))
-            vectors = v.values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim.as_py())
-            at = np.argsort(ids)
-            order, nodes, boxes = _build(vectors[at])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([shard.as_py()], pa.int64()), pa.array([dim.as_py()], pa.int32()),
-                *(pa.array([np.ascontiguousarray(x, np.int64).tobytes()], pa.binary())
-                  for x in (rows[at][order], ids[at][order], vectors[at][order], nodes, boxes)),
-            ], names=["shard", "dim", "rows", "ids", "vectors", "nodes", "boxes"])
+        shards = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for i, j in zip(edges, edges[1:]):
+            if i == j:
+                continue
+            if at != int(shards[i]):
+                yield from built()
+                held, at = {}, int(shards[i])
+            rows, ids = (batch.column(c).to_numpy()[i:j] for c in (1, 2))
+            for dim, here, vectors in _by_length(batch.column(3).slice(i, j - i)):
+                held.setdefault(dim, []).append((rows[here], ids[here], vectors))
+    yield from built()
+
+
+def _pack(size: int):
+    """Queries in blocks of one home group and one length; those of a group follow each other."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        at = None
+
+        def packed(dim: int) -> Iterator[pa.RecordBatch]:
+            whole = [np.concatenate(c) for c in zip(*held.pop(dim), strict=True)]
+            for i in range(0, len(whole[0]), size):
+                rows, ids, homes, known, least, vectors = (c[i:i + size] for c in whole)
+                yield _one([at, dim, rows.tobytes(), ids.tobytes(), narrow(vectors).tobytes(), homes.tobytes(),
+                            np.where(known, least, np.iinfo(np.int64).min).tobytes()], _BLOCK)
+
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(places)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if at != int(places[i]):
+                    for dim in list(held):
+                        yield from packed(dim)
+                    at = int(places[i])
+                rows, ids, homes = (batch.column(c).to_numpy()[i:j] for c in (1, 2, 3))
+                least = batch.column(4).slice(i, j - i)
+                known, least = least.is_valid().to_numpy(zero_copy_only=False), least.fill_null(0).to_numpy(zero_copy_only=False)
+                for dim, here, vectors in _by_length(batch.column(5).slice(i, j - i)):
+                    parts = held.setdefault(dim, [])
+                    parts.append((rows[here], ids[here], homes[here], known[here], least[here], vectors))
+                    if sum(len(p[0]) for p in parts) >= size:
+                        yield from packed(dim)
+        for dim in list(held):
+            yield from packed(dim)
+    return pack
+
+
+def _most(x: np.ndarray) -> int:
+    """The greatest absolute value, at least 1."""
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)), 1)
+
+
+def _length(x: np.ndarray) -> float:
+    """The greatest Euclidean length of the rows, rounded up."""
+    return float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max(initial=0.0)) * (1 + 1e-9)
 
 
 class _Tree:
     def __init__(self, row: dict):
-        dim = row["dim"]
-        self.rows, self.ids = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids"))
-        self.vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(self.ids), dim)
-        self.nodes = np.frombuffer(row["nodes"], np.int64).reshape(-1, 4)
-        boxes = np.frombuffer(row["boxes"], np.int64).reshape(len(self.nodes), 2 * dim)
-        self.low, self.high = boxes[:, :dim], boxes[:, dim:]
-        self.most = max(int(np.abs(boxes).max(initial=0)), 1)
-        self.doubles: tuple | None = None
-
-    def numbers(self, query: np.ndarray) -> tuple:
-        """Doubles while every sum of products is exact in them, else integers."""
-        largest = self.most * max(int(np.abs(query).max(initial=0)), 1) * len(query)
-        if largest >= 2**63:
+        self.shard, self.dim = row["shard"].as_py(), row["dim"].as_py()
+        self.rows, self.ids = numbers(row["rows"]), numbers(row["ids"])
+        self.nodes = numbers(row["nodes"]).reshape(-1, 4)
+        boxes = matrix(row["boxes"], len(self.nodes), 2 * self.dim).astype(np.int64)
+        self.exact = matrix(row["vectors"], len(self.rows), self.dim).astype(np.int64), boxes[:, :self.dim], boxes[:, self.dim:]
+        self.most = _most(boxes)
+        self.longest = _length(np.maximum(*(np.abs(x.astype(np.float64)) for x in self.exact[1:])))
+        self.floats: dict[type, tuple] = {}
+
+    def numbers(self, queries: np.ndarray) -> tuple:
+        """Floats while every sum of products is exact in them, else integers.
+
+        The products of a query and a vector or a corner of a box, and so all sums of some of them, stay below the
+        product of their lengths.
+        """
+        if self.most * _most(queries) * self.dim >= 2**63:
             raise ValueError("inner products leave 64 bits")
-        if largest >= 2**53:
-            return query, self.vectors, self.low, self.high
-        if self.doubles is None:
-            self.doubles = tuple(x.astype(np.float64) for x in (self.vectors, self.low, self.high))
-        return query.astype(np.float64), *self.doubles
-
-    def search(self, query_row: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
-        """(score, -vec_id) of up to k rows that can still be among the best; ``least`` is a k-th score known."""
-        q, vectors, low, high = self.numbers(query)
-        bound = np.where(q >= 0, high, low) @ q
-        best: list[tuple[int, int]] = []
-        heap = [(-bound[0], 0)]
+        largest = self.longest * _length(queries)
+        kind = np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else np.int64
+        if kind is np.int64:
+            return queries, *self.exact
+        if kind not in self.floats:
+            self.floats[kind] = tuple(np.ascontiguousarray(x, kind) for x in self.exact)
+        return queries.astype(kind), *self.floats[kind]
+
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, places: np.ndarray, best: Best) -> None:
+        """Enter the rows that can be among the best of the queries, which have these ``places`` in ``best``."""
+        q, vectors, low, high = self.numbers(queries)
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        heap = [(-bound[:, 0].max(initial=0), 0, np.arange(len(q)))]
         while heap:
-            top, node = heapq.heappop(heap)
-            floor = best[0][0] if len(best) == k else least
-            if floor is not None and -top < floor:
-                break
-            begin, end, left, right = self.nodes[node]
+            _, node, alive = heapq.heappop(heap)
+            alive = alive[bound[alive, node] >= best.floor[places[alive]]]
+            if not len(alive):
+                continue
+            begin, end, left, right = self.nodes[node].tolist()
             if left >= 0:
-                heapq.heappush(heap, (-bound[left], int(left)))
-                heapq.heappush(heap, (-bound[right], int(right)))
+                for child in (left, right):
+                    heapq.heappush(heap, (-bound[alive, child].max(), child, alive))
                 continue
-            scores = vectors[begin:end] @ q
-            hopeful = np.arange(end - begin) if floor is None else np.flatnonzero(scores >= floor)
-            for i in hopeful:
-                if self.rows[begin + i] == query_row:
-                    continue
-                entry = (int(scores[i]), -int(self.ids[begin + i]))
-                if least is not None and entry[0] < least:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return best
+            scores = (q if len(alive) == len(q) else q[alive]) @ vectors[begin:end].T
+            hits = np.flatnonzero(scores >= best.floor[places[alive]].astype(scores.dtype)[:, None])
+            asked, row = np.divmod(hits, end - begin)
+            other = begin + row
+            own = self.rows[other] == query_rows[alive[asked]]
+            if own.any():
+                asked, row, other = asked[~own], row[~own], other[~own]
+            best.add(places[alive[asked]], scores[asked, row].astype(np.int64), self.ids[other])
 
 
-def _search(k: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                tree = _Tree(row)
-                found = [
-                    (q["row_id"], q["vec_id"], -other, score)
-                    for q in row["queries"]
-                    for score, other in tree.search(q["row_id"], np.array(q["v"], np.int64), k, q["least"])
-                ]
-                columns = list(zip(*found, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
-    return search
-
-
-def _blocks(queries: DataFrame, *keys: str) -> DataFrame:
-    packed = F.collect_list(F.struct("row_id", "vec_id", "v", "least"))
-    return queries.groupBy("dim", *keys, "block").agg(packed.alias("queries"))
+def _ask(k: int, at_home: bool):
+    """A block's best rows in the shards that are, or are not, the homes of its queries."""
+    def ask(trees: list[_Tree], block: dict) -> pa.RecordBatch:
+        dim, rows, ids, homes = block["dim"].as_py(), numbers(block["rows"]), numbers(block["ids"]), numbers(block["homes"])
+        queries = matrix(block["vectors"], len(rows), dim).astype(np.int64)
+        best = Best(len(rows), k, numbers(block["least"]))
+        for tree in trees:
+            if tree.dim == dim:
+                places = np.flatnonzero((homes == tree.shard) == at_home)
+                if len(places):
+                    tree.search(rows[places], queries[places], places, best)
+        key, score, other = best.settle()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (rows[key], ids[key], other, score)], names=["query_row", "query_id", "vec_id", "score"])
+    return ask
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -171,23 +244,25 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec_id
     than k candidates all are returned, with none no row. Products that leave
     64 bits raise an error.
     """
+    spark = table.sparkSession
     rows = materialize(integer_vectors(table, vec_id, vector).withColumn("dim", F.size("v")), "vectors")
     shards = max(1, -(-rows.stored_rows // SHARD_ROWS))
     home = F.pmod(F.xxhash64("row_id"), F.lit(shards))
     trees = materialize(
-        rows.groupBy(home.alias("shard"), "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row_id", "v"))).alias("r"))
-        .select("shard", "dim", F.col("r.row_id").alias("rows"), F.col("r.vec_id").alias("ids"), F.col("r.v").alias("v"))
-        .mapInArrow(_shards, _SHARD), "trees")
-    per_block = max(1, -(-rows.stored_rows // (every * BLOCK_QUERIES)))
-    queries = rows.filter(F.col("vec_id") % every == 0).select(
-        "row_id", "vec_id", "v", "dim", home.alias("home"), F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(per_block)).alias("block"))
+        rows.select(home.alias("shard"), "row_id", "vec_id", "v").repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, _SHARD),
+        "trees")
+    widest = rows.agg(F.max("dim")).first()[0] or 0
+    count = groups(shards, SHARD_ROWS * widest, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    group = F.pmod(F.col("shard"), F.lit(count))
+    queries = rows.filter(F.col("vec_id") % every == 0).select("row_id", "vec_id", home.alias("home"), "v")
 
-    first = _blocks(queries.withColumn("least", F.lit(None).cast("long")).withColumn("shard", F.col("home")), "shard")
-    at_home = materialize(trees.join(first, ["shard", "dim"]).mapInArrow(_search(k), _FOUND), "home")
+    near = queries.select(F.pmod("home", F.lit(count)).cast("int").alias("home_group"), "row_id", "vec_id", "home", F.lit(None).cast("long").alias("least"), "v")
+    first = near.repartition(count, "home_group").sortWithinPartitions("home_group").mapInArrow(_pack(BLOCK_QUERIES), _BLOCK)
+    at_home = materialize(meet(trees, first, group, count, _Tree, _ask(k, True), _FOUND, F.col("home_group")), "home")
     kth = at_home.groupBy("query_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select(
         F.col("query_row").alias("row_id"), F.when(F.col("n") >= k, F.col("s")).alias("least"))
-    onward = _blocks(queries.join(kth, "row_id", "left")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn(
-        "queries", F.expr(f"filter(queries, q -> pmod(xxhash64(q.row_id), {shards}) <> shard)"))
-    elsewhere = trees.join(onward, ["shard", "dim"]).mapInArrow(_search(k), _FOUND)
+    onward = queries.join(kth, "row_id", "left").select(F.lit(-1).alias("home_group"), "row_id", "vec_id", "home", "least", "v")
+    per_block = max(1, -(-rows.stored_rows // (every * BLOCK_QUERIES)))
+    blocks = materialize(onward.repartition(per_block).mapInArrow(_pack(BLOCK_QUERIES), _BLOCK), "blocks")
+    elsewhere = meet(trees, blocks, group, count, _Tree, _ask(k, False), _FOUND)
     return _best(at_home.unionByName(elsewhere), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
