@@ -1,8 +1,8 @@
 """Hard negatives by exact inner products of packed integers.
 
 Rows are stored once and packed into chunks where they are read; anchors are
-packed into blocks as well. Every block of anchors meets every chunk, and a task
-holds one of each. Within a chunk the components of several rows, biased to be
+packed into blocks as well. Every block of anchors meets every chunk: a task
+holds the chunks of one group, and the blocks pass one by one. Within a chunk the components of several rows, biased to be
 zero or more, lie in separate fields of one wide integer; an anchor's biased
 component is multiplied with it once for all of them, the sums never leave
 their fields, and the bias is taken out again when the fields are read. While
@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.llm.meetings import Best, groups, matrix, meet, narrow, numbers
 from surveyloom.plans.scratch import materialize
 
 SCALE = 256
@@ -31,10 +32,12 @@ BLOCK_ANCHORS = 1024
 LEAST, MOST = 80, 100  # a negative's score in hundredths of the positive's
 
 _EXACT_BITS = 53
+_LARGEST = np.iinfo(np.int64).max
 _WIDE_FIELDS = 16
+_STRIPE = 1 << 20  # scores held at once
 _PACKED_BITS = 33
 _PACKED = "pack long, dim int, low long, high long, row_ids binary, ids binary, labels binary, vectors binary"
-_POSITIVES = "anchor_row long, anchor_id long, other_row long, vec_id long, score long"
+_POSITIVES = "anchor_row long, anchor_id long, vec_id long, score long"
 _NEGATIVES = "anchor_row long, place int, vec_id long, score long"
 
 
@@ -44,7 +47,7 @@ class Fields:
     def __init__(self, candidates: np.ndarray, least: int, most: int):
         """``least`` and ``most`` bound the components of the anchors."""
         self.n, self.dim = candidates.shape
-        self.least = least
+        self.least, self.most = least, most
         self.bias = int(candidates.min(initial=0))
         biased = candidates - self.bias
         self.sums = candidates.sum(axis=1)
@@ -67,13 +70,17 @@ class Fields:
         """Inner products, a row for each anchor."""
         biased = anchors - self.least
         product = biased.astype(self.words.dtype) @ self.words
+        mask, words = (1 << self.bits) - 1, product.shape[1]
+        found = np.empty((len(anchors), words * self.fields), np.int64)
         if self.exact:
             product = product.astype(np.int64)
-        mask = (1 << self.bits) - 1
-        parts = [((product >> (k * self.bits)) & mask).astype(np.int64) for k in range(self.fields)]
-        found = np.concatenate(parts, axis=1)[:, :self.n]
+        for k in range(self.fields):
+            found[:, k * words:(k + 1) * words] = (product >> (k * self.bits)) & mask
+        found = found[:, :self.n]
         # sum (a - least)(c - bias) = score - least sum c - bias sum (a - least)
-        return found + self.least * self.sums + self.bias * biased.sum(axis=1)[:, None]
+        found += self.least * self.sums
+        found += self.bias * biased.sum(axis=1)[:, None]
+        return found
 
 
 def _pack(size: int):
@@ -84,7 +91,7 @@ def _pack(size: int):
         def packed(dim: int, rows: list) -> pa.RecordBatch:
             nonlocal number
             row, ids, labels, vectors = (np.concatenate([r[i] for r in rows]) for i in range(4))
-            made = [number, dim, int(labels.min()), int(labels.max()), row.tobytes(), ids.tobytes(), labels.tobytes(), vectors.tobytes()]
+            made = [number, dim, int(labels.min()), int(labels.max()), row.tobytes(), ids.tobytes(), labels.tobytes(), narrow(vectors).tobytes()]
             number += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays(
@@ -113,36 +120,50 @@ def _pack(size: int):
     return pack
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
-    """The k places of ``among`` with the highest scores, ties by smaller id; all if there are fewer."""
-    if len(among) > k:
-        least = np.partition(scores[among], len(among) - k)[len(among) - k]
-        among = among[scores[among] >= least]
-    return among[np.lexsort((ids[among], -scores[among]))[:k]]
+class _Chunk:
+    """A chunk of candidates, and their fields for the anchors met so far."""
 
+    def __init__(self, row: dict):
+        self.dim, self.low, self.high = (row[c].as_py() for c in ("dim", "low", "high"))
+        self.rows, self.ids, self.labels = (numbers(row[c]) for c in ("row_ids", "ids", "labels"))
+        self.vectors = matrix(row["vectors"], len(self.rows), self.dim)
+        self.fields: Fields | None = None
 
-def _numbers(value, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), kind)
+    def scores(self, anchors: np.ndarray) -> np.ndarray:
+        least, most = int(anchors.min(initial=0)), int(anchors.max(initial=0))
+        fields = self.fields
+        if fields is None or least < fields.least or most > fields.most:
+            candidates = self.vectors.astype(np.int64)
+            if fields is not None:
+                fields = Fields(candidates, min(least, fields.least), max(most, fields.most))
+            if fields is None or not fields.exact:
+                fields = Fields(candidates, least, most)
+            if fields.exact:
+                self.fields = fields
+        return fields.scores(anchors)
+
+
+class _Block:
+    """A block of anchors."""
 
+    def __init__(self, row: dict):
+        self.dim, self.low, self.high = (row[c].as_py() for c in ("dim", "low", "high"))
+        self.rows, self.ids, self.labels = (numbers(row[c]) for c in ("row_ids", "ids", "labels"))
+        self.vectors = matrix(row["vectors"], len(self.rows), self.dim).astype(np.int64)
 
-class _Meeting:
-    """A block of anchors and a chunk of candidates."""
 
-    def __init__(self, row: dict):
-        dim = row["dim"].as_py()
-        self.anchor_rows, self.anchor_ids, self.anchor_labels = (_numbers(row[f"anchor_{c}"]) for c in ("row_ids", "ids", "labels"))
-        self.rows, self.ids, self.labels = (_numbers(row[c]) for c in ("row_ids", "ids", "labels"))
-        anchors = _numbers(row["anchor_vectors"]).reshape(len(self.anchor_rows), dim)
-        fields = Fields(_numbers(row["vectors"]).reshape(len(self.rows), dim), int(anchors.min(initial=0)), int(anchors.max(initial=0)))
-        self.scores = fields.scores(anchors)
+def _hits(scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, candidate, score) where the score is not below the anchor's least."""
+    found = np.flatnonzero(scores >= least[:, None])
+    anchor, candidate = np.divmod(found, scores.shape[1])
+    return anchor, candidate, scores.ravel()[found]
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Meeting, dict]]:
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = {name: batch.column(i)[at] for i, name in enumerate(batch.schema.names)}
-            yield _Meeting(row), row
-        pa.default_memory_pool().release_unused()
+def _stripes(chunk: _Chunk, block: _Block, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchors, scores) of the anchors ``at``, a few at a time."""
+    step = max(1, _STRIPE // max(1, len(chunk.rows)))
+    for i in range(0, len(at), step):
+        yield at[i:i + step], chunk.scores(block.vectors[at[i:i + step]])
 
 
 def _table(columns: list, kinds: list, schema: str) -> pa.RecordBatch:
@@ -150,38 +171,54 @@ def _table(columns: list, kinds: list, schema: str) -> pa.RecordBatch:
 
 
 def _positives(k: int):
-    def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, _ in _meetings(batches):
-            found = [[] for _ in range(5)]
-            for i, label in enumerate(m.anchor_labels):
-                among = np.flatnonzero((m.labels == label) & (m.rows != m.anchor_rows[i]))
-                best = _best(m.scores[i], m.ids, among, k)
-                for column, values in zip(found, (np.full(len(best), m.anchor_rows[i]), np.full(len(best), m.anchor_ids[i]),
-                                                  m.rows[best], m.ids[best], m.scores[i][best]), strict=True):
-                    column.append(values)
-            yield _table([np.concatenate(c) for c in found], [pa.int64()] * 5, _POSITIVES)
+    """A block's best rows of its anchors' labels in some chunks."""
+    def positives(chunks: list[_Chunk], row: dict) -> pa.RecordBatch:
+        block = _Block(row)
+        best = Best(len(block.rows), k)
+        for chunk in chunks:
+            at = np.flatnonzero((block.labels >= chunk.low) & (block.labels <= chunk.high))
+            if chunk.dim != block.dim or not len(at):
+                continue
+            for anchors, scores in _stripes(chunk, block, at):
+                fits = (chunk.labels == block.labels[anchors, None]) & (chunk.rows != block.rows[anchors, None])
+                scores = np.where(fits, scores, -_LARGEST)
+                floor = np.maximum(best.floor[anchors], 1 - _LARGEST)
+                if (floor == 1 - _LARGEST).any() and scores.shape[1] > k:
+                    floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
+                anchor, other, score = _hits(scores, floor)
+                best.add(anchors[anchor], score, chunk.ids[other])
+        key, score, ids = best.settle()
+        return _table([block.rows[key], block.ids[key], ids, score], [pa.int64()] * 4, _POSITIVES)
     return positives
 
 
-def _negatives(k: int, least: int, most: int):
-    def negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, row in _meetings(batches):
-            found = [[] for _ in range(4)]
-            wanted = _numbers(row["wanted"]).reshape(len(m.anchor_rows), -1)
-            counts = _numbers(row["wanted_counts"])
-            for i, label in enumerate(m.anchor_labels):
-                others, seen = np.flatnonzero(m.labels != label), {}
-                scores = m.scores[i][others]
-                for place, score in enumerate(wanted[i][:counts[i]].tolist(), 1):
-                    best = seen.get(score)
-                    if best is None:
-                        # 100 n <= most p and 100 n >= least p, in integers
-                        high, low = most * score // 100, -(-least * score // 100)
-                        best = seen[score] = _best(m.scores[i], m.ids, others[(scores <= high) & (scores >= low)], k)
-                    for column, values in zip(found, (np.full(len(best), m.anchor_rows[i]), np.full(len(best), place),
-                                                      m.ids[best], m.scores[i][best]), strict=True):
-                        column.append(values)
-            yield _table([np.concatenate(c) for c in found], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], _NEGATIVES)
+def _negatives(k: int, positives: int, least: int, most: int):
+    """A block's best rows of other labels under each positive in some chunks."""
+    def negatives(chunks: list[_Chunk], row: dict) -> pa.RecordBatch:
+        block = _Block(row)
+        n = len(block.rows)
+        # least * p <= 100 s <= most * p, in integers wide enough; a place without a positive has none.
+        wanted = numbers(row["wanted"]).reshape(n, positives)
+        if int(np.abs(wanted).max(initial=0)) * max(abs(least), abs(most)) >= _LARGEST:
+            wanted = wanted.astype(object)
+        empty = np.arange(positives) >= numbers(row["wanted_counts"])[:, None]
+        low = np.where(empty, _LARGEST, np.clip(-(-least * wanted // 100), -_LARGEST, _LARGEST)).astype(np.int64)
+        high = np.where(empty, -_LARGEST, np.clip(most * wanted // 100, -_LARGEST, _LARGEST)).astype(np.int64)
+        best = Best(n * positives, k, low.ravel())
+        for chunk in chunks:
+            if chunk.dim != block.dim or block.low == block.high == chunk.low == chunk.high:
+                continue
+            for anchors, scores in _stripes(chunk, block, np.arange(n)):
+                floor = best.floor.reshape(n, positives)[anchors]
+                anchor, other, score = _hits(scores, floor.min(axis=1))
+                kept = chunk.labels[other] != block.labels[anchors[anchor]]
+                anchor, other, score = anchors[anchor[kept]], other[kept], score[kept]
+                for place in range(positives):
+                    fits = np.flatnonzero((score >= low[anchor, place]) & (score <= high[anchor, place]))
+                    best.add(anchor[fits] * positives + place, score[fits], chunk.ids[other[fits]])
+        key, score, ids = best.settle()
+        anchor, place = np.divmod(key, positives)
+        return _table([block.rows[anchor], place + 1, ids, score], [pa.int64(), pa.int32(), pa.int64(), pa.int64()], _NEGATIVES)
     return negatives
 
 
@@ -191,7 +228,7 @@ def _wanted(k: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                anchors = _numbers(row.column(batch.schema.get_field_index("anchor_row_ids"))[0])
+                anchors = numbers(row.column(batch.schema.get_field_index("row_ids"))[0])
                 known = {p["anchor_row"]: p["scores"] for p in row.column(batch.schema.get_field_index("positives"))[0].as_py() or []}
                 scores, counts = np.zeros((len(anchors), k), np.int64), np.zeros(len(anchors), np.int64)
                 for i, anchor in enumerate(anchors.tolist()):
@@ -237,40 +274,32 @@ def mine(table: DataFrame, positives: int = 5, negatives: int = 5, least: int =
     vectors of their own length; empty ones score 0. Other columns are not looked at; an empty table gives no
     rows. Products that could leave 64 bits raise an error.
 
-    A block of 1,024 anchors is copied to each chunk of 4,096 rows, which moves a
-    few hundredths of a byte for each product computed, at any size.
+    Blocks of 1,024 anchors pass groups of chunks of 4,096 rows, so anchors are copied once for each group.
     """
+    spark = table.sparkSession
     rows = materialize(integer_rows(table, vec_id, vector, label), "vectors")
     order = rows.select("row_id", "vec_id", "label", "v")
     chunks = materialize(order.sortWithinPartitions("label").mapInArrow(_pack(CHUNK_ROWS), _PACKED), "chunks")
     few = max(1, -(-rows.stored_rows // (every * BLOCK_ANCHORS)))
     anchors = order.filter(F.col("vec_id") % every == 0).repartition(few).sortWithinPartitions("label")
-    names = [c.split()[0] for c in _PACKED.split(", ")]
-    blocks = materialize(anchors.mapInArrow(_pack(BLOCK_ANCHORS), _PACKED).select(
-        *[F.col(c).alias(c if c == "dim" else f"anchor_{c}") for c in names]), "blocks")
-    columns = max(1, chunks.stored_rows)
-    column = F.pmod(F.xxhash64("pack"), F.lit(columns)).cast("int").alias("column")
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column")
-    dealt = chunks.select("*", column)
-    near = F.expr("b.dim = c.dim and b.column = c.column and anchor_low <= high and low <= anchor_high")
-    met = blocks.select("*", everywhere).alias("b").join(dealt.alias("c"), near).select("b.*", *[f"c.{n}" for n in names if n != "dim"])
-    by_score = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "vec_id", "other_row")
-    found = met.mapInArrow(_positives(positives), _POSITIVES).withColumn("place", F.row_number().over(by_score))
+    blocks = materialize(anchors.mapInArrow(_pack(BLOCK_ANCHORS), _PACKED), "blocks")
+    widest = chunks.agg(F.max("dim")).first()[0] or 0
+    count = groups(chunks.stored_rows, CHUNK_ROWS * widest, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    group = F.pmod(F.xxhash64("pack"), F.lit(count))
+    by_score = Window.partitionBy("anchor_row").orderBy(F.desc("score"), "vec_id")
+    found = meet(chunks, blocks, group, count, _Chunk, _positives(positives), _POSITIVES).withColumn("place", F.row_number().over(by_score))
     best = materialize(found.filter(F.col("place") <= positives), "positives")
 
     # A block has at most BLOCK_ANCHORS anchors, so what it is handed is bounded.
-    of_block = blocks.select("anchor_pack", "anchor_row_ids").mapInArrow(_anchor_rows, "anchor_pack long, anchor_row long")
+    of_block = blocks.select("pack", "row_ids").mapInArrow(_anchor_rows, "pack long, anchor_row long")
     scores = best.groupBy("anchor_row").agg(F.array_sort(F.collect_list(F.struct("place", "score"))).alias("s")).select(
         "anchor_row", F.col("s.score").alias("scores"))
-    handed = of_block.join(scores, "anchor_row").groupBy("anchor_pack").agg(F.collect_list(F.struct("anchor_row", "scores")).alias("positives"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-    asking = materialize(blocks.join(handed, "anchor_pack").select(*blocks.columns, "positives").mapInArrow(
-        _wanted(positives), f"{fields}, wanted binary, wanted_counts binary"), "asking-blocks")
-    unlike = F.expr("b.dim = c.dim and b.column = c.column and (anchor_low < anchor_high or low < high or anchor_low != low)")
-    met = asking.select("*", everywhere).alias("b").join(dealt.alias("c"), unlike).select("b.*", *[f"c.{n}" for n in names if n != "dim"])
+    handed = of_block.join(scores, "anchor_row").groupBy("pack").agg(F.collect_list(F.struct("anchor_row", "scores")).alias("positives"))
+    asking = materialize(blocks.join(handed, "pack").select(*blocks.columns, "positives").mapInArrow(
+        _wanted(positives), f"{_PACKED}, wanted binary, wanted_counts binary"), "asking-blocks")
     by_score = Window.partitionBy("anchor_row", "place").orderBy(F.desc("score"), "vec_id")
-    ranked = met.mapInArrow(_negatives(negatives, least, most), _NEGATIVES).withColumn("rank", F.row_number().over(by_score)).filter(
-        F.col("rank") <= negatives)
+    under = meet(chunks, asking, group, count, _Chunk, _negatives(negatives, positives, least, most), _NEGATIVES)
+    ranked = under.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= negatives)
     return ranked.withColumnRenamed("score", "negative_score").join(
         best.select("anchor_row", "place", "anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")),
         ["anchor_row", "place"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", "negative_score")
@@ -279,5 +308,5 @@ def mine(table: DataFrame, positives: int = 5, negatives: int = 5, least: int =
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for pack, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = _numbers(rows)
-            yield _table([np.full(len(ids), pack), ids], [pa.int64(), pa.int64()], "anchor_pack long, anchor_row long")
+            ids = numbers(rows)
+            yield _table([np.full(len(ids), pack), ids], [pa.int64(), pa.int64()], "pack long, anchor_row long")

@@ -13,7 +13,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
-from surveyloom.llm import meetings, vector_search  # noqa: E402
+import brute_tokens  # noqa: E402
+from surveyloom.llm import hard_negatives, meetings, vector_search  # noqa: E402
 
 
 def copies_broadcast(df):
@@ -82,3 +83,30 @@ def test_narrow_numbers_come_back(x):
 
     x = np.array(x, np.int64)
     assert np.array_equal(meetings.matrix(pa.scalar(meetings.narrow(x).tobytes(), pa.binary()), *x.shape), x)
+
+
+def test_anchors_copied_for_chunks_are_not_broadcast(spark, monkeypatch, small_broadcasts):
+    monkeypatch.setattr(hard_negatives, "CHUNK_ROWS", 20)
+    asked, whole = [], hard_negatives.materialize
+    monkeypatch.setattr(hard_negatives, "materialize", lambda df, tag: asked.append((tag, df)) or whole(df, tag))
+    rng = random.Random(5)
+    made = [(i, [rng.uniform(-1, 1) for _ in range(64)], rng.randrange(3)) for i in range(900)]
+    found = hard_negatives.mine(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int").repartition(3))
+    assert sorted(map(tuple, found.collect())) == sorted(brute_tokens.hard_negatives(made))
+    positives = dict(asked)["positives"]
+    positives.collect()
+    assert not copies_broadcast(found) and not copies_broadcast(positives)
+
+
+@pytest.mark.parametrize("values", [0, 1 << 22])
+def test_anchors_with_ties_and_many_labels(spark, monkeypatch, values):
+    monkeypatch.setattr(hard_negatives, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", 2)
+    monkeypatch.setattr(hard_negatives, "_STRIPE", 45)
+    monkeypatch.setattr(meetings, "GROUP_VALUES", values)
+    rng = random.Random(6)
+    made = [(i, [0.5, rng.choice((0.25, -0.25, 300.0))], rng.randrange(40 if i % 2 else 2)) for i in range(700)]
+    made += [(700, [], 1), (701, [], 1), (702, [], 2), (800, [0.0, 0.0], 1), (100, [0.5, 0.25], 0)]
+    rng.shuffle(made)
+    found = hard_negatives.mine(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int").repartition(4))
+    assert sorted(map(tuple, found.collect())) == sorted(brute_tokens.hard_negatives(made))
