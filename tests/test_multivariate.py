@@ -351,6 +351,23 @@ def test_silhouettes_of_all_rows(spark, monkeypatch, block, gathered):
         diagnostics.silhouette_of(df, axes, "g", "id", euclidean=True)
 
 
+@pytest.mark.parametrize("d", [1, 2])
+def test_euclidean_silhouettes_of_blocks_far_apart(spark, monkeypatch, d):
+    """Blocks far apart meet in the nodes of their boxes, to the digits of the sums over all pairs."""
+    monkeypatch.setattr(diagnostics, "_BLOCK_ROWS", 32)
+    monkeypatch.setattr(diagnostics, "_BLOCKS_AT_ONCE", 4)
+    rng = np.random.default_rng(d)
+    x = np.vstack([rng.normal(c, 1.0, (150, d)) for c in (0.0, 30.0, 1e5)] + [np.full((50, d), 7.0), rng.uniform(-1e3, 1e3, (20, d))])
+    labels = np.array([f"c{i}" for i in rng.integers(0, 4, len(x) - 3)] + ["alone", "twins", "twins"])
+    df, axes = _frame(spark, x, g=[str(v) for v in labels])
+    got = diagnostics.silhouette_of(df.repartition(3), axes, "g", "id", euclidean=True).first()
+    assert got["silhouette"] == pytest.approx(_plain_silhouette(x, labels, 1), rel=1e-10) and got["n"] == len(x)
+    one, other = (diagnostics._Block(m, np.zeros((len(m), 1), int), 1) for m in (x[:150], x[300:450]))
+    one.add(other)
+    direct = np.sqrt(((x[:150, None] - x[None, 300:450]) ** 2).sum(axis=2)).sum(axis=1)
+    assert one.beyond(other) and not one.sums.any() and np.allclose(one.total()[:, 0], direct, rtol=1e-12)
+
+
 def test_labels_as_many_as_rows(spark, monkeypatch):
     monkeypatch.setattr(diagnostics, "GATHERED_LABELS", 10)
     df, axes = _frame(spark, np.arange(40.0).reshape(-1, 1), g=[str(i) for i in range(40)])
